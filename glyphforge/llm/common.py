@@ -44,7 +44,7 @@ LOWER[0x41:0x5B] += 32
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Texts are hashed in pieces of about this many bytes, cut between words.
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 
 def powers(base: int, n: int) -> np.ndarray:
