@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, classify, jaccard, langid, media, mixing
+from . import ann, chat, classify, jaccard, langid, media, mixing, pieces, shards
 from .common import fold, table
 
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
@@ -61,6 +62,23 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ["doc_id"]).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def tokenizer_file() -> str:
+    """The SentencePiece model: the file named by GLYPHFORGE_PIECES, else the installed public one."""
+    if path := os.environ.get("GLYPHFORGE_PIECES"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(tokenizer_file()))
+
+
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.materialise(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -70,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_matroska_media": op7_matroska_media,
     "op8_language_id": op8_language_id,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_training_order": op10_training_order,
 }
 
 _SOURCE_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT"
