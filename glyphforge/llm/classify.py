@@ -72,3 +72,18 @@ def score(docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame
             yield pa.RecordBatch.from_arrays([*kept, pa.array(model.predict(texts), pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
     return rows.mapInArrow(scores, schema)
+
+
+def keep(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
+    """The rows of docs that score `threshold` or more, all their columns; all rows without a model."""
+    if model is None:
+        return docs
+    model.prior = 0.0
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(model.predict(texts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHasher, chunks, cut, joined, mix
@@ -464,3 +464,12 @@ def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
     out = rows.join(best, "cid", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """One row of each component, that with the smallest id; all columns. Rows with a null id stay."""
+    found = join(docs)
+    gone = found.filter("doc_id IS NOT NULL AND component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").filter(F.col("doc_id").isNotNull())
+    first = left.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("_nth = 1").drop("_nth")
+    return first.unionByName(docs.filter(F.col("doc_id").isNull()))

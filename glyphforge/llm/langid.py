@@ -162,3 +162,15 @@ def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
 
     return rows.mapInArrow(run, schema)
+
+
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose language is not rejected, all their columns."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rejected = model.predict(batch.column(at).cast(pa.binary()).to_pylist())[2]
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)

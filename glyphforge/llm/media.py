@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Element ids of the Matroska specification.
 EBML, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x1A45DFA3, 0x4282, 0x4287, 0x4285
@@ -324,16 +325,19 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, column: str = "text", media: str = "media") -> DataFrame:
-    """`docs` with a binary column holding the padded UTF-8 text as Matroska PCM."""
-    schema = docs.schema.add(media, "binary") if media not in docs.columns else docs.schema
+    """`docs` with a binary column, new or replaced, holding the padded UTF-8 text as Matroska PCM."""
+    if media == column:
+        raise ValueError("the media column needs a name of its own")
+    docs = docs.drop(media)
     at = docs.columns.index(column)
+    schema = T.StructType([*docs.schema, T.StructField(media, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stored = [write_pcm(padded(t or b"")) for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stored, pa.binary())], names=[*batch.schema.names, media])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stored, pa.binary())], names=schema.names)
 
-    return docs.drop(media).mapInArrow(run, schema) if media in docs.columns else docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 _PACKET = "packet int, track long, timestamp_ns long, byte_offset long, byte_size long, keyframe boolean, cluster int, block int, lacing string, error string"

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
@@ -394,7 +395,7 @@ def _strings(texts: list[bytes | None]) -> list[str | None]:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, columns: list[str], text: str = "text") -> DataFrame:
     """`columns` of docs and `ids`, array of int, for every row."""
-    schema = docs.select(*columns).schema.add("ids", "array<int>")
+    schema = docs.select(*columns).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = vocabulary.ready()
