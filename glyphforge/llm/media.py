@@ -340,7 +340,7 @@ def encode(docs: DataFrame, column: str = "text", media: str = "media") -> DataF
     return docs.mapInArrow(run, schema)
 
 
-_PACKET = "packet int, track long, timestamp_ns long, byte_offset long, byte_size long, keyframe boolean, cluster int, block int, lacing string, error string"
+_PACKET = "packet integer, track long, timestamp_ns long, byte_offset long, byte_size long, keyframe boolean, cluster integer, block integer, lacing string, error string"
 
 
 def packets(media: DataFrame, id_col: str, column: str) -> DataFrame:

@@ -94,12 +94,12 @@ def emit(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """
     columns = docs.columns
     tagged = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in columns]))
-    shares = mix(tagged, seed, row_id="_row").select(F.col("doc_id").alias("_doc"), F.col("_row").alias("_share_of"), "size", "taken")
-    shares = shares.withColumn("_share", F.row_number().over(Window.partitionBy("_doc", "_share_of").orderBy("taken"))).filter("taken > 0")
+    shares = mix(tagged, seed, row_id="_row").select(F.col("doc_id").alias("_doc"), F.col("_row").alias("_share_of"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    shares = shares.withColumn("_share", F.row_number().over(Window.partitionBy("_doc", "_share_of").orderBy("_taken"))).filter("_taken > 0")
     numbered = tagged.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy("_row")))
     both = numbered.join(shares, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_share_of")) & (F.col("_nth") == F.col("_share")))
-    both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
-    left = F.col("taken") - (F.col("_copy") - 1) * F.col("size")
+    both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
+    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    text = F.when(left >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), left.cast("int")), ""))
+    text = F.when(left >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), left.cast("int")), ""))
     return both.withColumn("text", text).select(*columns)
