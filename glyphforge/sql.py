@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +14,26 @@ from .plans.charts import Spec
 from .sources.charts import Catalog, bundled
 
 
+class Made:
+    """What a function makes of its arguments, kept by each worker for itself."""
+
+    def __init__(self, make) -> None:
+        self.make, self.kept = make, {}
+
+    def __call__(self, *key):
+        if key not in self.kept:
+            self.kept[key] = self.make(*key)
+        return self.kept[key]
+
+    def __reduce__(self):
+        return Made, (self.make,)
+
+
 def register(spark: SparkSession, catalog: Catalog | None = None) -> None:
     catalog = catalog or bundled()
 
-    @lru_cache(maxsize=64)
-    def reader(lang: str, output: str) -> Segmenter:
-        return Segmenter(Spec(catalog.load(lang), output=output))
-
-    @lru_cache(maxsize=64)
-    def converter(source: str, target: str) -> Converter:
-        return Converter(source, target, catalog=catalog)
+    reader = Made(lambda lang, output: Segmenter(Spec(catalog.load(lang), output=output)))
+    converter = Made(lambda source, target: Converter(source, target, catalog=catalog))
 
     def rows(f, *series):
         return pd.Series([None if any(x is None for x in r) else f(*r) for r in zip(*series, strict=True)], dtype=object)
