@@ -13,11 +13,13 @@ links' component and nothing per pair.
 3. Within a shingle's list of classes, the smallest digest is its anchor; every class joins
    the groups of its anchors.  Two classes that share a prefix shingle share its anchor's
    group, and a list adds one row per member, not one per pair.
-4. A group is a signature tree: leaves hold sets, nodes hold the OR of their members'
-   bitmaps, their size range and their largest number of shingles beyond one per bit.  A
-   dual traversal drops node pairs whose largest possible overlap is too small, or whose
-   members are already connected, and intersects the sets that remain.  Groups above GROUP
-   members are dealt into parts, and each pair of parts is a task of its own.
+4. A group is a signature tree: leaves hold bitmaps of two bits or more a shingle, nodes
+   the OR of their members' bitmaps, their size range and their largest number of shingles
+   beyond one per bit.  A dual traversal drops node pairs whose largest possible overlap is
+   too small.  A first pass over bitmaps alone finds the members that have any possible
+   partner; only their sets are fetched, and a second pass over the trees intersects them,
+   leaving out node pairs whose members are already connected.  Groups above GROUP members
+   are dealt into parts, and each pair of parts is a task of its own.
 5. Links become components by alternating large-star and small-star rounds.
 
 Defined cases: null, empty and blank texts have size 0 and link with nothing; with fewer
@@ -40,7 +42,6 @@ from .common import WordHasher, chunks, cut, joined, mix
 WIDTH = 5
 CELL_BITS = 20
 BLOCKS = 64  # the sketch travels in so many pieces
-BITMAP_WORDS = 16  # of 64 bits
 LEAF = 24
 FAN = 4
 GROUP = 2048
@@ -98,6 +99,13 @@ def unpack5(b: bytes) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
+def bitmap(u: np.ndarray) -> np.ndarray:
+    """A bitmap over the upper 40 bits of the hashes, a power of two of 64-bit words, at least two bits a hash."""
+    words = 1 << max(0, (len(u) - 1) // 32).bit_length()
+    spot = (((u & np.uint64(0xFFFFFFFFFF000000)) * _FACTORS[1]) >> np.uint64(32)).astype(np.int64) & (64 * words - 1)
+    return np.packbits(np.bincount(spot, minlength=64 * words).astype(bool), bitorder="little").view(np.uint64)
+
+
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
@@ -131,8 +139,8 @@ def crowding(docs: DataFrame) -> np.ndarray:
 
 # ---------------------------------------------------------------- candidates
 
-_POSTS = "bucket int, doc_id long, n long, cid long, tokens binary, cids binary"
-_MET = "doc_id long, n long, cid long, anchors binary, members binary"
+_POSTS = "bucket int, doc_id long, n long, cid long, bits binary, tokens binary, cids binary"
+_MET = "doc_id long, n long, cid long, bits binary, anchors binary, members binary"
 
 
 def postings(docs: DataFrame, crowd: np.ndarray, buckets: int) -> DataFrame:
@@ -140,17 +148,19 @@ def postings(docs: DataFrame, crowd: np.ndarray, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = Shingler(), set()
-        schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("tokens", pa.binary()), ("cids", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("bits", pa.binary()), ("tokens", pa.binary()), ("cids", pa.binary())])
         for batch in batches:
-            ids, sizes, cids, tokens, owners = batch.column(0), [], [], [], []
+            ids, sizes, cids, bits, tokens, owners = batch.column(0), [], [], [], [], []
             for h in shingle(_texts(batch, 1)):
                 u = np.unique(h)
                 sizes.append(len(u))
                 if not len(u):
                     cids.append(None)
+                    bits.append(None)
                     continue
                 name = digest(u)
                 cids.append(name)
+                bits.append(bitmap(u).tobytes())
                 if name not in seen:
                     seen.add(name)
                     by_crowd = np.argsort(crowd[(u >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")
@@ -161,7 +171,7 @@ def postings(docs: DataFrame, crowd: np.ndarray, buckets: int) -> DataFrame:
             if not n:
                 continue
             home = [(c or 0) % buckets for c in cids]
-            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
             if tokens:
                 t, c = np.concatenate(tokens), np.concatenate(owners)
                 where = ((t & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -171,7 +181,7 @@ def postings(docs: DataFrame, crowd: np.ndarray, buckets: int) -> DataFrame:
                 edges = np.concatenate((np.searchsorted(where, used), [len(where)]))
                 parts = list(zip(edges[:-1], edges[1:], strict=True))
                 null = pa.nulls(len(used), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), null, null, null, pa.array([pack5(t[a:e]) for a, e in parts], pa.binary()), pa.array([c[a:e].tobytes() for a, e in parts], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), null, null, null, pa.nulls(len(used), pa.binary()), pa.array([pack5(t[a:e]) for a, e in parts], pa.binary()), pa.array([c[a:e].tobytes() for a, e in parts], pa.binary())], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, _POSTS)
 
@@ -198,7 +208,7 @@ def meet(posts: DataFrame, partitions: int) -> DataFrame:
         return unique_pairs(anchor[other], c[other])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("anchors", pa.binary()), ("members", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("bits", pa.binary()), ("anchors", pa.binary()), ("members", pa.binary())])
         at, tokens, cids, found = None, [], [], []
 
         def close():
@@ -208,13 +218,13 @@ def meet(posts: DataFrame, partitions: int) -> DataFrame:
                 cids.clear()
 
         for batch in batches:
-            post = batch.column(4).is_valid()
+            post = batch.column(5).is_valid()
             rows = batch.filter(pa.compute.invert(post))
             if rows.num_rows:
                 null = pa.nulls(rows.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), rows.column(3), null, null], schema=schema)
+                yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), rows.column(3), rows.column(4), null, null], schema=schema)
             rows = batch.filter(post)
-            for bucket, t, c in zip(rows.column(0).to_pylist(), rows.column(4).to_pylist(), rows.column(5).to_pylist(), strict=True):
+            for bucket, t, c in zip(rows.column(0).to_pylist(), rows.column(5).to_pylist(), rows.column(6).to_pylist(), strict=True):
                 if bucket != at:
                     close()
                     at = bucket
@@ -226,7 +236,7 @@ def meet(posts: DataFrame, partitions: int) -> DataFrame:
             step = 1 << 16
             for i in range(0, len(a), step):
                 null = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([null, null, null, pa.array([a[i : i + step].tobytes()], pa.binary()), pa.array([b[i : i + step].tobytes()], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([null, null, null, pa.nulls(1, pa.binary()), pa.array([a[i : i + step].tobytes()], pa.binary()), pa.array([b[i : i + step].tobytes()], pa.binary())], schema=schema)
 
     return posts.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _MET)
 
@@ -288,24 +298,29 @@ def sets_of(docs: DataFrame, admitted: np.ndarray) -> DataFrame:
 
 
 class Node:
-    __slots__ = ("bits", "least", "most", "excess", "kids", "rows")
+    __slots__ = ("bits", "least", "most", "excess", "kids", "rows", "each", "beyond")
 
-    def __init__(self, bits, least, most, excess, kids, rows):
-        self.bits, self.least, self.most, self.excess, self.kids, self.rows = bits, least, most, excess, kids, rows
+    def __init__(self, rows, size, each, beyond, kids=None):
+        self.rows, self.each, self.beyond, self.kids = rows, each, beyond, kids
+        self.least, self.most = int(size.min()), int(size.max())
+        if kids is None:
+            self.bits, self.excess = np.bitwise_or.reduce(each, axis=0), int(beyond.max())
+        else:
+            self.bits, self.excess = np.bitwise_or.reduce([k.bits for k in kids], axis=0), max(k.excess for k in kids)
 
 
 class Forest:
-    """The sets of one group, their bitmaps, and the components found so far."""
-
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sets = sets
-        self.size = np.array([len(s) for s in sets])
-        self.bits = np.zeros((len(sets), BITMAP_WORDS), dtype=np.uint64)
-        for i, s in enumerate(sets):
-            spot = ((s * _FACTORS[1]) >> np.uint64(54)).astype(np.int64)
-            np.bitwise_or.at(self.bits[i], spot >> 6, np.uint64(1) << (spot & 63).astype(np.uint64))
-        self.excess = self.size - np.bitwise_count(self.bits).sum(axis=1)
-        self.root = np.arange(len(sets))
+    """One group's bitmaps and sizes, its sets if they are there, and what is known of its members.
+
+    Without sets, members with a possible partner are flagged; with sets, members that link
+    are connected.
+    """
+
+    def __init__(self, sizes: list[int], bits: list[np.ndarray], sets: list[np.ndarray] | None = None) -> None:
+        self.size, self.bits, self.sets = np.asarray(sizes), bits, sets
+        self.words = np.array([len(b) for b in bits])
+        self.root = np.arange(len(bits))
+        self.flag = np.zeros(len(bits), dtype=bool)
 
     def find(self, i: int) -> int:
         while self.root[i] != i:
@@ -313,32 +328,59 @@ class Forest:
             i = self.root[i]
         return int(i)
 
-    def tree(self, rows: np.ndarray) -> Node:
-        """Leaves hold rows of like size; a node sums up FAN nodes below it."""
-        rows = rows[np.lexsort((self.bits[rows, 0], self.size[rows]))]
-        level = [self._node(rows[i : i + LEAF], None) for i in range(0, len(rows), LEAF)]
+    def tree(self, rows: np.ndarray, words: int) -> Node:
+        """Over rows whose bitmaps have `words` words, or twice as many and are folded."""
+        rows = rows[np.argsort(self.size[rows], kind="stable")]
+        each = np.stack([b if len(b) == words else b[:words] | b[words:] for b in (self.bits[r] for r in rows)])
+        beyond = self.size[rows] - np.bitwise_count(each).sum(axis=1, dtype=np.int64)
+        cut_at = range(0, len(rows), LEAF)
+        level = [Node(rows[i : i + LEAF], self.size[rows[i : i + LEAF]], each[i : i + LEAF], beyond[i : i + LEAF]) for i in cut_at]
         while len(level) > 1:
-            level = [self._node(np.concatenate([n.rows for n in level[i : i + FAN]]), level[i : i + FAN]) for i in range(0, len(level), FAN)]
+            level = [self._over(level[i : i + FAN]) for i in range(0, len(level), FAN)]
         return level[0]
 
-    def _node(self, rows, kids) -> Node:
-        return Node(np.bitwise_or.reduce(self.bits[rows], axis=0), int(self.size[rows].min()), int(self.size[rows].max()), int(self.excess[rows].max()), kids, rows)
-
-    def one(self, node: Node) -> int:
-        """The component of all rows of a node, or -1 if there are several."""
-        first = self.find(int(node.rows[0]))
-        return first if all(self.find(int(r)) == first for r in node.rows[1:]) else -1
+    def _over(self, kids: list[Node]) -> Node:
+        rows = np.concatenate([k.rows for k in kids])
+        return Node(rows, self.size[rows], None, None, kids)
+
+    def within(self, rows: np.ndarray) -> None:
+        """All pairs of rows. Sizes of a link differ by a quarter at most, and so widths by a factor of two."""
+        for w in np.unique(self.words[rows]).tolist():
+            own = rows[self.words[rows] == w]
+            tree = self.tree(own, w)
+            if len(own) > 1:
+                self.join(tree, tree)
+            wider = rows[(self.words[rows] == 2 * w) & (4 * self.size[rows] <= 5 * self.size[own].max())]
+            if len(wider):
+                self.join(tree, self.tree(wider, w))
+
+    def between(self, left: np.ndarray, right: np.ndarray) -> None:
+        for w in np.unique(self.words[left]).tolist():
+            own = left[self.words[left] == w]
+            for other, at in ((w, w), (2 * w, w), (w // 2, w // 2)):
+                theirs = right[self.words[right] == other]
+                if at and len(theirs):
+                    self.join(self.tree(own, at), self.tree(theirs, at))
+
+    def settled(self, a: Node, b: Node) -> bool:
+        """Whether no pair of these nodes can tell anything new."""
+        if self.sets is None:
+            return bool(self.flag[a.rows].all() and self.flag[b.rows].all())
+        first = self.find(int(a.rows[0]))
+        return all(self.find(int(r)) == first for r in b.rows) and all(self.find(int(r)) == first for r in a.rows)
 
     def join(self, a: Node, b: Node) -> None:
+        """Dual traversal of two trees, or of a tree with itself."""
         stack = [(a, b)]
         while stack:
             a, b = stack.pop()
             if 5 * a.most < 4 * b.least or 5 * b.most < 4 * a.least:
                 continue
-            shared = int(np.bitwise_count(a.bits & b.bits).sum()) + min(a.excess, b.excess)
-            if 9 * min(a.most, b.most, shared) < 4 * (a.least + b.least):
-                continue
-            if (x := self.one(a)) >= 0 and x == self.one(b):
+            if a is not b:
+                shared = int(np.bitwise_count(a.bits & b.bits).sum(dtype=np.int64)) + min(a.excess, b.excess)
+                if 9 * min(a.most, b.most, shared) < 4 * (a.least + b.least):
+                    continue
+            if self.settled(a, b):
                 continue
             if a.kids is None and b.kids is None:
                 self._leaves(a, b)
@@ -354,10 +396,17 @@ class Forest:
             i, j = np.triu_indices(len(a.rows), 1)
         else:
             i, j = (x.ravel() for x in np.indices((len(a.rows), len(b.rows))))
-        i, j = a.rows[i], b.rows[j]
-        shared = np.bitwise_count(self.bits[i] & self.bits[j]).sum(axis=1) + np.minimum(self.excess[i], self.excess[j])
-        able = 9 * np.minimum(np.minimum(self.size[i], self.size[j]), shared) >= 4 * (self.size[i] + self.size[j])
-        for x, y in zip(i[able].tolist(), j[able].tolist(), strict=True):
+        m, n = self.size[a.rows[i]], self.size[b.rows[j]]
+        near = (4 * m <= 5 * n) & (4 * n <= 5 * m)
+        i, j, m, n = i[near], j[near], m[near], n[near]
+        shared = np.bitwise_count(a.each[i] & b.each[j]).sum(axis=1, dtype=np.int64) + np.minimum(a.beyond[i], b.beyond[j])
+        able = 9 * np.minimum(np.minimum(m, n), shared) >= 4 * (m + n)
+        i, j = a.rows[i[able]], b.rows[j[able]]
+        if self.sets is None:
+            self.flag[i] = True
+            self.flag[j] = True
+            return
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
             if (p := self.find(x)) != (q := self.find(y)) and self.linked(x, y):
                 self.root[max(p, q)] = min(p, q)
 
@@ -370,52 +419,74 @@ class Forest:
         return 9 * int((t[at] == s).sum()) >= 4 * (len(s) + len(t))
 
 
-def links(groups: DataFrame) -> DataFrame:
-    """(a, b): star links that connect what each group of (anchor, i, j, part, cid, members) connects."""
+_TASK = "anchor long, i int, j int, part int, cid long"
 
-    def solve(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        names = [r[2] for r in rows]
-        forest = Forest([unpack5(r[3]) for r in rows])
-        part = np.array([r[1] for r in rows])
-        i, j = rows[0][0]
-        if i == j:
-            tree = forest.tree(np.arange(len(rows)))
-            forest.join(tree, tree)
-        else:
-            left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-            if len(left) and len(right):
-                forest.join(forest.tree(left), forest.tree(right))
-        roots = [forest.find(k) for k in range(len(rows))]
-        pairs = [(names[r], names[k]) for k, r in enumerate(roots) if r != k]
-        return [p[0] for p in pairs], [p[1] for p in pairs]
+
+def _by_task(solve, schema: pa.Schema):
+    """Runs of rows that share (anchor, i, j) go to `solve`, whose columns are returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows, a, b = None, [], [], []
+        at, rows, out = None, [], [[] for _ in schema]
 
         def close():
             if len(rows) > 1:
-                x, y = solve(rows)
-                a.extend(x)
-                b.extend(y)
+                for column, values in zip(out, solve(at, rows), strict=True):
+                    column.extend(values)
             rows.clear()
 
         for batch in batches:
-            anchor, i, j, part, cid = (batch.column(c).to_pylist() for c in range(5))
-            members = batch.column(5)
-            for k in range(batch.num_rows):
-                if (key := (anchor[k], i[k], j[k])) != at:
+            columns = [batch.column(c).to_pylist() for c in range(batch.num_columns)]
+            for row in zip(*columns, strict=True):
+                if row[:3] != at:
                     close()
-                    at = key
-                rows.append(((i[k], j[k]), part[k], cid[k], members[k].as_py()))
-            if a:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-                a.clear()
-                b.clear()
+                    at = row[:3]
+                rows.append(row[3:])
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                out = [[] for _ in schema]
         close()
-        if a:
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    return run
 
-    return groups.mapInArrow(run, "a long, b long")
+
+def _traverse(forest: Forest, at: tuple, parts: list[int]) -> None:
+    _, i, j = at
+    if i == j:
+        forest.within(np.arange(len(parts)))
+    else:
+        part = np.asarray(parts)
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        if len(left) and len(right):
+            forest.between(left, right)
+
+
+def possible(tasks: DataFrame) -> DataFrame:
+    """The rows of (anchor, i, j, part, cid, n, bits) that may link with another of their task, without n and bits."""
+
+    def solve(at: tuple, rows: list[tuple]) -> list[list]:
+        forest = Forest([r[2] for r in rows], [np.frombuffer(r[3], dtype=np.uint64) for r in rows])
+        _traverse(forest, at, [r[0] for r in rows])
+        kept = [rows[k] for k in np.flatnonzero(forest.flag).tolist()]
+        return [[at[0]] * len(kept), [at[1]] * len(kept), [at[2]] * len(kept), [r[0] for r in kept], [r[1] for r in kept]]
+
+    schema = pa.schema([("anchor", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.int32()), ("cid", pa.int64())])
+    return tasks.mapInArrow(_by_task(solve, schema), _TASK)
+
+
+def links(tasks: DataFrame) -> DataFrame:
+    """(a, b): star links that connect what each task of (anchor, i, j, part, cid, members) connects."""
+
+    def solve(at: tuple, rows: list[tuple]) -> list[list]:
+        sets = [unpack5(r[2]) for r in rows]
+        forest = Forest([len(s) for s in sets], [bitmap(s) for s in sets], sets)
+        _traverse(forest, at, [r[0] for r in rows])
+        roots = [forest.find(k) for k in range(len(rows))]
+        pairs = [(rows[r][1], rows[k][1]) for k, r in enumerate(roots) if r != k]
+        return [[p[0] for p in pairs], [p[1] for p in pairs]]
+
+    return tasks.mapInArrow(_by_task(solve, pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -449,15 +520,18 @@ def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
     classes = rows.filter("cid IS NOT NULL AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"))
     pairs = unpacked(met).distinct()
     pairs = cut(pairs.unionByName(pairs.select("anchor", F.col("anchor").alias("cid")).distinct()))
-    involved = cut(pairs.select("cid").distinct().join(classes, "cid"))
-    sets = sets_of(docs, filter_of(involved.select(F.col("rep").alias("doc_id")))).join(involved, "cid").filter("doc_id = rep").select("cid", "members").dropDuplicates(["cid"])
     # groups above the limit are dealt into parts; a member meets each part once
     sizes = pairs.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
     tasks = pairs.join(sizes, "anchor").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tasks = tasks.select("anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cid")
-    grouped = tasks.join(sets, "cid").select("anchor", "i", "j", "part", "cid", "members").repartition(partitions, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
-    found = links(grouped)
+    key = ("anchor", "i", "j")
+    dealt = lambda df: df.repartition(partitions, *key).sortWithinPartitions(*key)
+    signed = met.filter("anchors IS NULL").join(classes, "cid").filter("doc_id = rep").select("cid", "n", "bits")
+    able = cut(possible(dealt(tasks.join(signed, "cid").select(*key, "part", "cid", "n", "bits"))))
+    involved = cut(able.select("cid").distinct().join(classes, "cid"))
+    sets = sets_of(docs, filter_of(involved.select(F.col("rep").alias("doc_id")))).join(involved, "cid").filter("doc_id = rep").select("cid", "members").dropDuplicates(["cid"])
+    found = links(dealt(able.join(sets, "cid").select(*key, "part", "cid", "members")))
     named = found.join(classes.select(F.col("cid").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b")
     labels = components(cut(named.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
     best = classes.join(labels, classes["rep"] == labels["node"], "left").select("cid", F.coalesce("component", "rep").alias("component_id"))
