@@ -140,7 +140,7 @@ def crowding(docs: DataFrame) -> np.ndarray:
 # ---------------------------------------------------------------- candidates
 
 _POSTS = "bucket int, doc_id long, n long, cid long, bits binary, tokens binary, cids binary"
-_MET = "doc_id long, n long, cid long, bits binary, anchors binary, members binary"
+_MET = "doc_id long, n long, cid long, bits binary, home int, anchors binary, members binary"
 
 
 def postings(docs: DataFrame, crowd: np.ndarray, buckets: int) -> DataFrame:
@@ -208,7 +208,7 @@ def meet(posts: DataFrame, partitions: int) -> DataFrame:
         return unique_pairs(anchor[other], c[other])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("bits", pa.binary()), ("anchors", pa.binary()), ("members", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("bits", pa.binary()), ("home", pa.int32()), ("anchors", pa.binary()), ("members", pa.binary())])
         at, tokens, cids, found = None, [], [], []
 
         def close():
@@ -222,7 +222,7 @@ def meet(posts: DataFrame, partitions: int) -> DataFrame:
             rows = batch.filter(pa.compute.invert(post))
             if rows.num_rows:
                 null = pa.nulls(rows.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), rows.column(3), rows.column(4), null, null], schema=schema)
+                yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), rows.column(3), rows.column(4), pa.nulls(rows.num_rows, pa.int32()), null, null], schema=schema)
             rows = batch.filter(post)
             for bucket, t, c in zip(rows.column(0).to_pylist(), rows.column(5).to_pylist(), rows.column(6).to_pylist(), strict=True):
                 if bucket != at:
@@ -233,21 +233,38 @@ def meet(posts: DataFrame, partitions: int) -> DataFrame:
         close()
         if found:
             a, b = unique_pairs(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
-            step = 1 << 16
-            for i in range(0, len(a), step):
-                null = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([null, null, null, pa.nulls(1, pa.binary()), pa.array([a[i : i + step].tobytes()], pa.binary()), pa.array([b[i : i + step].tobytes()], pa.binary())], schema=schema)
+            if not len(a):
+                return
+            # packed by the anchor's home: what other tasks find of the same pairs meets there
+            home = (a % partitions).astype(np.int32)
+            order = np.argsort(home, kind="stable")
+            a, b, home = a[order], b[order], home[order]
+            used = np.unique(home)
+            parts = list(zip(np.searchsorted(home, used), np.append(np.searchsorted(home, used[1:]), len(home)), strict=True))
+            null = pa.nulls(len(used), pa.int64())
+            pack = lambda x: pa.array([x[i:e].tobytes() for i, e in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays([null, null, null, pa.nulls(len(used), pa.binary()), pa.array(used), pack(a), pack(b)], schema=schema)
 
     return posts.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _MET)
 
 
-def unpacked(met: DataFrame) -> DataFrame:
+def distinct_pairs(met: DataFrame, partitions: int) -> DataFrame:
+    """(anchor, cid): each pair that the tasks of `meet` found once, and each anchor with itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, members = [], []
         for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pydict({"anchor": np.frombuffer(a, dtype=np.int64), "cid": np.frombuffer(b, dtype=np.int64)})
+            anchors += batch.column(0).to_pylist()
+            members += batch.column(1).to_pylist()
+        if anchors:
+            a, b = (np.frombuffer(b"".join(x), dtype=np.int64) for x in (anchors, members))
+            own = np.unique(a)
+            a, b = unique_pairs(np.concatenate((a, own)), np.concatenate((b, own)))
+            for i in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_pydict({"anchor": a[i : i + (1 << 16)], "cid": b[i : i + (1 << 16)]})
 
-    return met.filter("anchors IS NOT NULL").select("anchors", "members").mapInArrow(run, "anchor long, cid long")
+    packed = met.filter("anchors IS NOT NULL").repartition(partitions, "home").select("anchors", "members")
+    return packed.mapInArrow(run, "anchor long, cid long")
 
 
 def filter_of(ids: DataFrame) -> np.ndarray:
@@ -518,8 +535,7 @@ def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
     met = cut(meet(postings(docs, crowding(docs), 4 * partitions), partitions))
     rows = met.filter("anchors IS NULL").select("doc_id", "n", "cid")
     classes = rows.filter("cid IS NOT NULL AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"))
-    pairs = unpacked(met).distinct()
-    pairs = cut(pairs.unionByName(pairs.select("anchor", F.col("anchor").alias("cid")).distinct()))
+    pairs = cut(distinct_pairs(met, partitions))
     # groups above the limit are dealt into parts; a member meets each part once
     sizes = pairs.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
