@@ -1,4 +1,4 @@
-"""Command line: glyphforge LANG [TEXT] [--to LANG] [--ipa] [--sep S] [--charts FOLDER] [--list]"""
+"""Command line: glyphforge LANG [TEXT] [--to LANG] [--ipa] [--sep S] [--charts FOLDER] [--lines] [--list]"""
 
 from __future__ import annotations
 
@@ -21,6 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--ipa", action="store_true", help="sounds by way of the shared spelling")
     p.add_argument("--sep", help="between units")
     p.add_argument("--charts", help="a folder of chart files")
+    p.add_argument("--lines", action="store_true", help="convert standard input line by line, as it comes")
     p.add_argument("--list", action="store_true")
     args = p.parse_args(argv)
     catalog = bundled()
@@ -30,14 +31,23 @@ def main(argv: list[str] | None = None) -> int:
         for code, entry in catalog.registry().items():
             print(f"{code}\t{entry.get('name') or ''}")
         return 0
-    text = sys.stdin.read() if args.text is None else args.text
     try:
         if args.ipa:
-            print(convert_to_ipa(text, args.lang, sep=" " if args.sep is None else args.sep, catalog=catalog))
+            sep = " " if args.sep is None else args.sep
+            convert = lambda x: convert_to_ipa(x, args.lang, sep=sep, catalog=catalog)
         elif args.to:
-            print(Converter(args.lang, args.to, catalog=catalog).convert(text, args.sep or ""))
+            to = Converter(args.lang, args.to, catalog=catalog)
+            convert = lambda x: to.convert(x, args.sep or "")
         else:
-            print(G2P(args.lang, catalog=catalog).convert(text, " " if args.sep is None else args.sep))
+            reader = G2P(args.lang, catalog=catalog)
+            convert = lambda x: reader.convert(x, " " if args.sep is None else args.sep)
+        if args.text is not None:
+            print(convert(args.text))
+        elif args.lines:
+            for line in sys.stdin:
+                print(convert(line.rstrip("\n")), flush=True)
+        else:
+            print(convert(sys.stdin.read()))
     except LanguageNotFoundError as e:
         print(e.args[0], file=sys.stderr)
         return 1

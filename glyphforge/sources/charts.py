@@ -89,6 +89,48 @@ def load_rules(code: str, catalog: Catalog | None = None) -> dict:
     return (catalog or bundled()).load(code)
 
 
+# ---------------------------------------------------------------- side tables, one small JSON file each
+
+
+def _value(spark: SparkSession, path: str):
+    import json
+
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def read_plain(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Codes of languages declared to be written in plain a-z: a JSON array, or an object by code."""
+    return tuple(_value(spark, path))
+
+
+def read_fallback(spark: SparkSession, path: str) -> tuple[dict[str, str], frozenset[str]]:
+    """Spellings of letters that no chart covers, and characters to drop."""
+    found = _value(spark, path)
+    return found.get("spell", {}), frozenset(found.get("drop", []))
+
+
+def read_payloads(spark: SparkSession, path: str) -> dict[str, str]:
+    """Named payloads of the proxy code."""
+    return _value(spark, path).get("payloads", {})
+
+
+def read_votes(spark: SparkSession, path: str) -> dict[str, dict[str, int]]:
+    """Votes by sound and spelling of a published survey, for `shared_from_votes`."""
+    return {sound: entry["votes"] for sound, entry in _value(spark, path)["phonemes"].items()}
+
+
+def vote_rows(spark: SparkSession, votes: dict[str, dict[str, int]]) -> DataFrame:
+    """The same as (ipa, grapheme, votes) rows."""
+    return spark.createDataFrame([(i, g, n) for i, counts in votes.items() for g, n in counts.items()], "ipa string, grapheme string, votes long")
+
+
+def universal_non_alphabetic(catalog: Catalog | None = None) -> dict[str, str]:
+    """Sounds whose shared spelling is no plain a-z text."""
+    import re
+
+    return {s: g for s, g in (catalog or bundled()).shared.write.items() if g and not re.fullmatch("[a-z]+", g)}
+
+
 # ---------------------------------------------------------------- relations
 
 

@@ -1,5 +1,7 @@
 """Votes, coverage, checks and builders on small made-up charts; file sources; streams; SQL; command line."""
 
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +177,23 @@ def test_chart_folder(spark, tmp_path):
     assert catalog.registry()["aa"]["name"] == "Aa (north)"
 
 
+def test_side_tables(spark, tmp_path):
+    from glyphforge.plans.charts import Shared, shared_from_votes
+
+    (tmp_path / "plain.json").write_text('["aa", "zz"]')
+    (tmp_path / "fallback.json").write_text('{"spell": {"ŋ": "ng"}, "drop": ["͡"]}')
+    (tmp_path / "escapes.json").write_text('{"payloads": {"ɔ": "o"}}')
+    (tmp_path / "votes.json").write_text('{"phonemes": {"k": {"votes": {"k": 2, "c": 1}}}}')
+    assert ch.Catalog({}, plain=ch.read_plain(spark, str(tmp_path / "plain.json"))).is_plain("zz")
+    assert ch.read_fallback(spark, str(tmp_path / "fallback.json")) == ({"ŋ": "ng"}, frozenset("͡"))
+    assert ch.read_payloads(spark, str(tmp_path / "escapes.json")) == {"ɔ": "o"}
+    votes = ch.read_votes(spark, str(tmp_path / "votes.json"))
+    assert shared_from_votes(votes).write["k"] == "k"
+    assert rows(an.vote_winners(ch.vote_rows(spark, votes)), "ipa", "grapheme") == [("k", "k")]
+    assert ch.universal_non_alphabetic() == {}
+    assert ch.universal_non_alphabetic(ch.Catalog({}, shared=Shared(write={"ʘ": "ʘ", "k": "k"}))) == {"ʘ": "ʘ"}
+
+
 # ---------------------------------------------------------------- streams, SQL, command line
 
 
@@ -200,9 +219,11 @@ def test_sql_functions(spark):
     assert [tuple(r) for r in got] == [(0, 0, "ny", "ɲ"), (0, 1, "i", "i"), (2, 0, "k", "k"), (2, 1, "a", "a")]
 
 
-def test_command_line(capsys):
+def test_command_line(capsys, monkeypatch):
     assert cli.main(["dyu", "nyini"]) == 0 and capsys.readouterr().out == "ny i n i\n"
     assert cli.main(["bez", "kúu", "--to", "universal"]) == 0 and capsys.readouterr().out == "kuu\n"
     assert cli.main(["dyu", "nyini", "--ipa", "--sep", ""]) == 0 and capsys.readouterr().out == "ɲini\n"
+    monkeypatch.setattr("sys.stdin", io.StringIO("nyini\nkpako\n"))
+    assert cli.main(["dyu", "--lines"]) == 0 and capsys.readouterr().out == "ny i n i\nkp a k o\n"
     assert cli.main(["zzz", "a"]) == 1 and "zzz" in capsys.readouterr().err
     assert cli.main(["--list"]) == 0 and "dyu\t" in capsys.readouterr().out
