@@ -3,7 +3,7 @@
 A text becomes a vector of hashed byte 1-, 2- and 3-grams of its lower-cased letters (all
 else counts as a space), weighted sqrt(tf) * idf and normalised.  Each language has several
 centroids from spherical k-means over a bounded sample (SAMPLE texts of a language at most,
-of up to LONGEST bytes each); the prediction is the language of the closest by cosine.  A
+of up to LONGEST bytes each; LANGUAGES languages at most); the prediction is the language of the closest by cosine.  A
 text farther from it than any of the language's own samples, by REACH, is rejected.
 
 Defined cases: null texts and texts without a letter are `und`, score 0, rejected; a null id
@@ -30,6 +30,7 @@ SAMPLE = 300
 LONGEST = 64 << 10
 CENTROIDS = 3
 REACH = 0.25
+LANGUAGES = 1000
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.zeros(256, dtype=bool)
@@ -134,9 +135,15 @@ def fit(texts: list[bytes], languages: list[str]) -> Model:
 def sample(docs: DataFrame, allowed: Column) -> tuple[list[bytes], list[str]]:
     """A bounded sample of each language's texts, by a hash of the id."""
     rows = docs.filter(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").filter(F.octet_length("text") <= LONGEST)
-    rate = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(1.5 * SAMPLE) / F.col("count")).alias("rate"))
+    # a count per language, so that texts need not move to be sampled
+    counted = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(counted) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not counted:
+        return [], []
+    rate = F.element_at(F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, 1.5 * SAMPLE / r["count"]))]), F.col("lang"))
     share = (F.xxhash64("doc_id").cast("double") / F.lit(2.0**64)) + F.lit(0.5)
-    some = rows.withColumn("h", share).join(rate, "lang").filter(F.col("h") <= F.col("rate")).select("lang", "h", F.encode("text", "UTF-8").alias("b")).collect()
+    some = rows.withColumn("h", share).filter(F.col("h") <= rate).select("lang", "h", F.encode("text", "UTF-8").alias("b")).collect()
     texts, names, taken = [], [], {}
     for r in sorted(some, key=lambda r: (r["lang"], r["h"], bytes(r["b"]))):
         if taken.get(r["lang"], 0) < SAMPLE and _LETTER.search(bytes(r["b"]).decode("utf-8")):
