@@ -187,7 +187,9 @@ def fit(texts: list[bytes], labels: np.ndarray, config: Config) -> Model:
     """
     rng = np.random.default_rng(config.seed)
     feats = Features(config)
-    grams, counts, cuts = [], [], [0]
+    # one buffer for all n-grams, of which only what is filled takes memory
+    ids = np.empty((len(GRAMS) + 1 + config.pairs) * (sum(map(len, texts)) + len(texts)), dtype=np.int32)
+    filled, counts, cuts = 0, [], [0]
     for lo, hi in chunks(texts):
         b, offsets = joined(texts[lo:hi])
         starts, g = feats.matrix(b)
@@ -195,10 +197,12 @@ def fit(texts: list[bytes], labels: np.ndarray, config: Config) -> Model:
         owner = np.searchsorted(starts, rows, side="right") - 1
         flat = g[rows]
         keep = flat != 0
-        grams.append(flat[keep])
+        kept = flat[keep]
+        ids[filled : filled + len(kept)] = kept
+        filled += len(kept)
         counts.append(np.bincount(np.repeat(owner, keep.sum(axis=1)), minlength=len(starts)))
         cuts.extend(cuts[-1] + np.searchsorted(starts, offsets[1:]))
-    ids, per_word = np.concatenate(grams), np.concatenate(counts)
+    ids, per_word = ids[:filled], np.concatenate(counts)
     word_at = np.concatenate(([0], np.cumsum(per_word)))
     cuts = np.asarray(cuts)
     y = np.asarray(labels, dtype=float)
