@@ -170,7 +170,7 @@ def postings(docs: DataFrame, crowd: np.ndarray, buckets: int) -> DataFrame:
             n = len(sizes)
             if not n:
                 continue
-            home = [(c or 0) % buckets for c in cids]
+            home = [((c or 0) + i) % buckets for i, c in enumerate(cids)]  # copies need not meet
             yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
             if tokens:
                 t, c = np.concatenate(tokens), np.concatenate(owners)
