@@ -20,6 +20,7 @@ from .operators import convert as cv
 from .operators import proxy as px
 from .operators import segment as sg
 from .plans.charts import UNIVERSAL, Spec
+from .session import spread
 from .sources import charts as ch
 from .sources import files as fl
 
@@ -39,7 +40,7 @@ def query(name: str, sql: str | None = None):
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
 
 
 def spec(lang: str, **options) -> Spec:

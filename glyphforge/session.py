@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "glyphforge", cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -21,3 +21,9 @@ def local_session(app: str = "glyphforge", cores: str | int = "*", partitions: i
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its files give fewer partitions than that; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
