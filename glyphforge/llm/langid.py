@@ -4,7 +4,9 @@ A text becomes a vector of hashed byte 1-, 2- and 3-grams of its lower-cased let
 else counts as a space), weighted sqrt(tf) * idf and normalised.  Each language has several
 centroids from spherical k-means over a bounded sample (SAMPLE texts of a language at most,
 of up to LONGEST bytes each; LANGUAGES languages at most); the prediction is the language of the closest by cosine.  A
-text farther from it than any of the language's own samples, by REACH, is rejected.
+text is rejected whose cosine is below REACH of the LOW quantile that the language's samples
+reach when held back from the centroids.  Short texts have low cosines in any language, so
+the quantile is that of samples cut to as many letters, by the steps of SPANS.
 
 Defined cases: null texts and texts without a letter are `und`, score 0, rejected; a null id
 has held_out false; ties go to the language first by code point; repeated rows agree; an
@@ -29,7 +31,10 @@ SIZES = (1, 2, 3)
 SAMPLE = 300
 LONGEST = 64 << 10
 CENTROIDS = 3
-REACH = 0.25
+FOLDS = 5
+LOW = 0.05
+REACH = 0.5
+SPANS = (1, 8, 16, 32, 64, 128)
 LANGUAGES = 1000
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -59,6 +64,11 @@ def counts(texts: list[bytes]) -> np.ndarray:
     return out.reshape(n, d)
 
 
+def letters(text: bytes) -> np.ndarray:
+    """Running count of the bytes of a lower-cased text that belong to letters."""
+    return np.cumsum(_KEEP[np.frombuffer(text, dtype=np.uint8)])
+
+
 def lowered(text: bytes) -> bytes:
     return text.decode("utf-8", "replace").lower().encode("utf-8", "replace")
 
@@ -68,7 +78,7 @@ class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray  # unit rows
     idf: np.ndarray
-    limit: np.ndarray  # least cosine of each centroid's language
+    limit: np.ndarray  # least cosine of each centroid's language, a column for each of SPANS
 
     def vectors(self, texts: list[bytes]) -> np.ndarray:
         x = np.sqrt(counts(texts)).astype(np.float32) * self.idf
@@ -90,11 +100,12 @@ class Model:
                 rows = ready[at : min(hi, at + 64)]
                 near = self.vectors(rows) @ self.centroids.T
                 best = near.argmax(axis=1)
+                span = np.searchsorted(SPANS, [max(1, letters(t)[-1]) for t in rows], side="right") - 1
                 for k, c in enumerate(best):
                     i = index[at + k]
                     names[i] = self.languages[c]
                     score[i] = min(1.0, max(0.0, float(near[k, c])))
-                    rejected[i] = near[k, c] < self.limit[c]
+                    rejected[i] = near[k, c] < self.limit[c, span[k]]
         return names, score, rejected
 
 
@@ -111,13 +122,34 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def reached(model: Model, texts: list[bytes], x: np.ndarray) -> list[float]:
+    """For each of SPANS the LOW quantile of the cosines of one language's texts, held back in folds."""
+    if len(texts) == 1:  # one half against the other
+        half = letters(texts[0]).searchsorted(letters(texts[0])[-1] // 2, side="right")
+        texts = [t for t in (texts[0][:half], texts[0][half:]) if t]
+        x = model.vectors(texts)
+    fold = np.arange(len(texts)) % FOLDS
+    kept = [kmeans(x[fold != f], CENTROIDS) if (fold != f).any() else x for f in range(min(FOLDS, len(texts)))]
+    runs, out = [letters(t) for t in texts], []
+    for span in SPANS:
+        found = []
+        long = [i for i, r in enumerate(runs) if r[-1] >= span]
+        for at in range(0, len(long), 64):
+            some = long[at : at + 64]
+            v = model.vectors([texts[i][: int(runs[i].searchsorted(span)) + 1] for i in some])
+            found += [float((kept[fold[i]] @ v[j]).max()) for j, i in enumerate(some)]
+        # longer texts than any sample: as the longest samples
+        out.append(float(np.quantile(found, LOW)) if found else out[-1] if out else 0.0)
+    return out
+
+
 def fit(texts: list[bytes], languages: list[str]) -> Model:
     if not texts:
-        return Model([], np.zeros((0, 1 << BITS), dtype=np.float32), np.ones(1 << BITS, dtype=np.float32), np.zeros(0))
+        return Model([], np.zeros((0, 1 << BITS), dtype=np.float32), np.ones(1 << BITS, dtype=np.float32), np.zeros((0, len(SPANS))))
     texts = [lowered(t) for t in texts]
     rows = np.concatenate([counts(texts[at : at + 64]).astype(np.float32) for at in range(0, len(texts), 64)])
     present = (rows > 0).sum(axis=0)
-    model = Model([], rows[:0], (np.log((1 + len(rows)) / (1 + present)) + 1).astype(np.float32), np.zeros(0))
+    model = Model([], rows[:0], (np.log((1 + len(rows)) / (1 + present)) + 1).astype(np.float32), np.zeros((0, len(SPANS))))
     x = np.sqrt(rows) * model.idf
     x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
     names = np.asarray(languages)
@@ -127,7 +159,8 @@ def fit(texts: list[bytes], languages: list[str]) -> Model:
         c = kmeans(own, CENTROIDS)
         centroids.append(c)
         model.languages += [language] * len(c)
-        limits += [REACH * float((own @ c.T).max(axis=1).min())] * len(c)
+        mine = [texts[i] for i in np.flatnonzero(names == language)]
+        limits += [[REACH * low for low in reached(model, mine, own)]] * len(c)
     model.centroids, model.limit = np.concatenate(centroids), np.asarray(limits)
     return model
 
