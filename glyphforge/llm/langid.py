@@ -49,6 +49,7 @@ def counts(texts: list[bytes]) -> np.ndarray:
     b, offsets = joined(texts)
     code = np.where(_KEEP[b], b, np.uint8(0x20)).astype(np.uint64)
     base = np.repeat(np.arange(n, dtype=np.int64) * d, np.diff(offsets))
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(b))  # bytes to the end of the text
     out = np.zeros(n * d, dtype=np.int64)
     packed, blank = np.zeros(len(b), dtype=np.uint64), np.ones(len(b), dtype=bool)
     space = code == 0x20
@@ -59,7 +60,7 @@ def counts(texts: list[bytes]) -> np.ndarray:
         packed = (packed[:m] << np.uint64(8)) | code[size - 1 :]
         blank = blank[:m] & space[size - 1 :]  # grams of spaces alone say nothing
         bucket = ((packed + np.uint64(size << 56)) * np.uint64(BASE) >> np.uint64(64 - BITS)).astype(np.int64)
-        use = ~blank
+        use = ~blank & (left[:m] >= size)
         out += np.bincount((bucket + base[:m])[use], minlength=n * d)
     return out.reshape(n, d)
 

@@ -1,7 +1,7 @@
 """Subword-bag embeddings with a linear softmax, trained jointly by numpy gradient descent.
 
 A word owns its hashed character 3-, 4- and 5-grams (word edges included) and itself; with
-`pairs`, also its bigram with the word before it.  An instance averages the vectors of its
+`pairs`, also its bigram with the word before it in its text.  An instance averages the vectors of its
 n-grams and goes through one linear softmax.  With two classes the softmax of an average is
 the sigmoid of an average of per-n-gram scores, so a fitted model is one table of scores:
 scoring gathers and adds, and a text of any length is read whole in bounded pieces.
@@ -40,11 +40,12 @@ class Features:
         self.config = config
         self.words = WordHasher()
 
-    def columns(self, b: np.ndarray):
+    def columns(self, b: np.ndarray, offsets: np.ndarray):
         """The starts of the words, then (offset, buckets) of each kind of n-gram.
 
         Buckets stand at the byte `offset` places after the first byte they cover, which
-        lies in the word that owns them.  Bucket 0 stands for nothing and always scores 0.
+        lies in the word that owns them.  No n-gram spans two of the texts, which begin at
+        the offsets.  Bucket 0 stands for nothing and always scores 0.
         """
         c = self.config
         hashes, starts = self.words(b, c.lower)
@@ -76,11 +77,13 @@ class Features:
             same = hashes[1:] == hashes[:-1]
             both = mix(np.where(same, np.uint64(1), hashes[1:] * np.uint64(3) + hashes[:-1]))
             pair[starts[1:]] = (both >> shift).astype(np.int32)
+            firsts = np.searchsorted(starts, offsets[:-1])
+            pair[starts[firsts[firsts < len(starts)]]] = 0
             yield 0, pair
 
-    def matrix(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def matrix(self, b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the words, and a row of buckets for each byte."""
-        kinds = self.columns(b)
+        kinds = self.columns(b, offsets)
         starts, rows = next(kinds), []
         for at, bucket in kinds:
             out = np.zeros(len(b), dtype=np.int32)
@@ -88,9 +91,9 @@ class Features:
             rows.append(out)
         return starts, np.stack(rows, axis=1)
 
-    def sums(self, b: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sums(self, b: np.ndarray, offsets: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the words, the sums of their scores and the numbers of their n-grams."""
-        kinds = self.columns(b)
+        kinds = self.columns(b, offsets)
         starts = next(kinds)
         if not len(starts):
             return starts, np.empty(0), np.empty(0)
@@ -101,6 +104,12 @@ class Features:
         return starts, np.add.reduceat(total, starts, dtype=float), np.add.reduceat(count, starts, dtype=float)
 
 
+def opened(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As `joined`, with a newline before the first text too, so that all words have both edges."""
+    b, offsets = joined([b"", *texts])
+    return b, offsets[1:]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
@@ -131,12 +140,17 @@ class Model:
 
     def _long(self, text: bytes) -> float:
         """A very long text, piece by piece; pieces end between words and windows span them by sums."""
-        at, pieces = 0, []
+        at, pieces, last = 0, [], b""
         while at < len(text):
             end = min(len(text), at + PIECE)
             while end < len(text) and not SEPARATOR[text[end]]:
                 end += 1
-            pieces.append(self.features.sums(np.frombuffer(text[at:end] + b"\n", dtype=np.uint8), self.scores)[1:])
+            # the word before the piece leads it, for the bigram, and is not counted again
+            b, offsets = opened([last + text[at:end]])
+            starts, total, count = self.features.sums(b, offsets, self.scores)
+            pieces.append((total[bool(last) :], count[bool(last) :]))
+            if len(starts):
+                last = b[starts[-1] :].tobytes().split(None, 1)[0]
             at = end
         total, count = np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
         return float(self._pool(total, count, np.array([0, len(total)]))[0])
@@ -147,8 +161,8 @@ class Model:
         return np.where(np.isnan(z), self.prior, _sigmoid(z + self.bias))
 
     def _chunk(self, texts: list[bytes]) -> np.ndarray:
-        b, offsets = joined(texts)
-        starts, total, count = self.features.sums(b, self.scores)
+        b, offsets = opened(texts)
+        starts, total, count = self.features.sums(b, offsets, self.scores)
         return self._pool(total, count, np.searchsorted(starts, offsets))
 
 
@@ -159,15 +173,19 @@ def pool(total: np.ndarray, count: np.ndarray, cuts: np.ndarray, window: int) ->
     some = np.flatnonzero(np.diff(cuts) > 0)
     if not len(some):
         return z, best
-    sums, counts = np.concatenate(([0.0], np.cumsum(total))), np.concatenate(([0.0], np.cumsum(count)))
+    # added up within each document alone, so that no sum depends on its neighbours
     if not window:
-        lo, hi = cuts[some], cuts[some + 1]
-        z[some] = (sums[hi] - sums[lo]) / np.maximum(1, counts[hi] - counts[lo])
+        lo, end = cuts[some], cuts[some[-1] + 1]
+        z[some] = np.add.reduceat(total[:end], lo) / np.maximum(1, np.add.reduceat(count[:end], lo))
         return z, best
     doc_end = np.repeat(cuts[1:][some], np.diff(cuts)[some])
     lo = np.arange(cuts[some[0]], cuts[some[0]] + len(doc_end))
-    hi = np.minimum(lo + window, doc_end)
-    means = (sums[hi] - sums[lo]) / np.maximum(1, counts[hi] - counts[lo])
+    sums, counts = total[lo], count[lo]
+    for j in range(1, window):
+        at = np.flatnonzero(lo + j < doc_end)
+        sums[at] += total[lo[at] + j]
+        counts[at] += count[lo[at] + j]
+    means = sums / np.maximum(1, counts)
     firsts = cuts[some] - lo[0]
     top = np.maximum.reduceat(means, firsts)
     z[some] = top
@@ -191,8 +209,8 @@ def fit(texts: list[bytes], labels: np.ndarray, config: Config) -> Model:
     ids = np.empty((len(GRAMS) + 1 + config.pairs) * (sum(map(len, texts)) + len(texts)), dtype=np.int32)
     filled, counts, cuts = 0, [], [0]
     for lo, hi in chunks(texts):
-        b, offsets = joined(texts[lo:hi])
-        starts, g = feats.matrix(b)
+        b, offsets = opened(texts[lo:hi])
+        starts, g = feats.matrix(b, offsets)
         rows = np.flatnonzero(g.any(axis=1))
         owner = np.searchsorted(starts, rows, side="right") - 1
         flat = g[rows]

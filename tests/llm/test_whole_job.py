@@ -3,10 +3,13 @@
 import base64
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from glyphforge.llm import langid, queries
+from glyphforge.llm import classify, langid, queries
 from glyphforge.llm.common import table
+from glyphforge.llm.subword import fit
 
 
 def test_unlearned_languages_and_encoded_junk_are_rejected(spark):
@@ -27,3 +30,22 @@ def test_unlearned_languages_and_encoded_junk_are_rejected(spark):
     assert model.predict([r.text.encode() for r in clean])[2].mean() < 0.01
     short = [" ".join(r.text.split()[:4]).encode() for r in clean]
     assert model.predict(short)[2].mean() < 0.02
+
+
+@pytest.mark.parametrize("config", [classify.TOXICITY, classify.QUALITY])
+def test_scores_do_not_depend_on_neighbours(config):
+    rng = random.Random(5)
+    words = ["river", "stone", "fool", "green", "idiot", "cloud"]
+    texts = [" ".join(rng.choices(words, k=rng.choice([1, 1, 2, 3, 40]))).encode() for _ in range(300)]
+    model = fit(texts, np.array([b"fool" in t for t in texts], dtype=int), config)
+    alone = np.array([model.predict([t])[0] for t in texts])
+    assert (model.predict(texts) == alone).all()
+    assert (model.predict(texts[::-1])[::-1] == alone).all()
+    long = b" ".join(texts * 80)
+    assert len(long) > 2 << 17
+    assert model._long(long) == pytest.approx(model._chunk([long])[0], abs=1e-9)
+
+
+def test_gram_counts_do_not_depend_on_neighbours():
+    texts = [b"ein haus", b"abc", b"x", b"the end"]
+    assert (langid.counts(texts) == np.concatenate([langid.counts([t]) for t in texts])).all()
