@@ -83,8 +83,10 @@ class Tree:
         if isinstance(node, np.ndarray):
             if len(node):
                 # a cheap bound first, then exact differences for what may enter
-                rough = np.sqrt(np.maximum(0, self.qn[active][:, None] + self.norm[node][None, :] - 2 * self.q[active] @ self.x[node].T))
-                near = rough <= self.best[active, -1][:, None] + 1e-6 * (1 + rough)
+                # (of squares, whose rounding errors grow with the norms and dimensions)
+                norms = self.qn[active][:, None] + self.norm[node][None, :]
+                rough = norms - 2 * self.q[active] @ self.x[node].T
+                near = rough <= self.best[active, -1][:, None] ** 2 + 8 * (self.x.shape[1] + 8) * np.finfo(float).eps * norms
                 some = near.any(axis=0)
                 if some.any():
                     rows, take = node[some], near.any(axis=1)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphforge.llm import classify, langid, queries
+from glyphforge.llm import ann, classify, langid, queries
 from glyphforge.llm.common import table
 from glyphforge.llm.subword import fit
 
@@ -49,3 +49,16 @@ def test_scores_do_not_depend_on_neighbours(config):
 def test_gram_counts_do_not_depend_on_neighbours():
     texts = [b"ein haus", b"abc", b"x", b"the end"]
     assert (langid.counts(texts) == np.concatenate([langid.counts([t]) for t in texts])).all()
+
+
+@pytest.mark.parametrize("norm", [1, 100, 1000, 100_000])
+def test_copies_of_any_norm_are_found_by_id(norm):
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        one = rng.standard_normal(64)
+        x = np.tile(one * norm / np.linalg.norm(one), (600, 1))
+        ids = rng.permutation(1000)[:600]
+        tree = ann.Tree(x)
+        tree.root = (0, 0.0, np.arange(1, 300), np.arange(300, 600))  # copies in two leaves
+        rows, d = tree.search(x[:1], np.array([-1]), ids, 10, 1.0)
+        assert ids[rows[0]].tolist() == sorted(ids.tolist())[:10] and (d == 0).all()
