@@ -16,9 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], *names: str) -> str | list[str]:
+    """Names made of `names` that none of the columns has, in any case; one name alone as a string."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out[0] if len(out) == 1 else out
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set one only where none is named (local tests)."""
+    """Keep the cluster's shared checkpoint folder.
+
+    Where none is named, a single machine gets one of its own (tests); a cluster must name one.
+    """
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glyphforge-checkpoint-"))
 
 

@@ -3,17 +3,20 @@
 The distinct words of a batch of texts are concatenated and indexed by a suffix array,
 built by prefix doubling to the longest piece.  Every piece of the vocabulary is binary-
 searched in it; the ranges it finds are the piece's occurrences, an edge of the lattice for
-each.  Edges are dealt to their positions, then relaxed: for BPE models, the best-scored
-edge over two neighbouring symbols is contracted, leftmost first, for all words of the batch
-at once, which is the model's own merge order; for unigram models, best scores are carried
-from left to right.  Words of a texts' batch are solved once each and kept for later batches
-in a table of at most KEPT words.
+each.  Edges are dealt to their positions.  Where no edge crosses from one character to the
+next, a word falls into segments that can be solved apart, so words of any length (unspaced
+scripts, encoded blobs) take the same way.  Then edges are relaxed: for BPE models the
+best-scored edge over two neighbouring symbols is contracted, leftmost first, which is the
+model's own merge order (short segments of a batch all at once, long ones from a queue of
+their edges); for unigram models best scores are carried from left to right.  Words are
+solved once each and kept for later batches, up to KEPT words and KEPT_CHARACTERS.
 
 A model file is read on the driver; its pieces (a fixed vocabulary) travel with the job.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; very long
-texts are split at word starts, which no piece crosses; repeated rows agree; an empty table
-gives no rows; further columns are ignored.  A space and U+2581 are one symbol to the model,
+texts are split at word starts, which no piece crosses, and very long words where no edge
+crosses; repeated rows agree; an empty table gives no rows; further columns are ignored,
+whatever their names.  A space and U+2581 are one symbol to the model,
 so a text holding U+2581 decodes with a space there and `round_trip` is false.
 """
 
@@ -31,11 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 BATCH = 1 << 17  # characters of new words indexed together
-LONG = 40  # symbols; longer words are solved one by one
+QUEUED = 64  # characters from which a segment's edges are relaxed from a queue
 KEPT = 200_000
+KEPT_CHARACTERS = 8 << 20
 
 
 @dataclass
@@ -90,6 +96,8 @@ class Tables:
         self.by_rank = np.array(order, dtype=np.int32)
         # characters get dense codes; 0 is the gap between words, 1 any character outside the vocabulary
         alphabet = sorted({ord(c) for p in self.ids for c in p})
+        if len(alphabet) > 65_000:
+            raise ValueError("more than 65,000 different characters in the pieces")
         self.code = np.ones(0x110000, dtype=np.uint16)
         self.code[alphabet] = np.arange(2, len(alphabet) + 2, dtype=np.uint16)
         self.code[0] = 0 if 0 not in alphabet else self.code[0]
@@ -101,27 +109,32 @@ class Tables:
             else:
                 long.append((len(p), i))
         self.longest = max((n for n, _ in long), default=1)
-        if self.longest > 16:
-            raise ValueError("pieces of more than 16 characters")
         long.sort()
         self.length = np.array([n for n, _ in long], dtype=np.int64)
         self.order_of = np.array([self.rank[i] for _, i in long], dtype=np.int32)
-        spelled = np.zeros((len(long), 16), dtype=np.uint64)
+        spelled = np.zeros((len(long), max(16, self.longest)), dtype=np.uint16)
         for k, (n, i) in enumerate(long):
             spelled[k, :n] = self.code[code_points(v.pieces[i])]
-        self.spelled = spelled
+        self.whole, self.spelled = spelled, spelled[:, :16].astype(np.uint64)
+        # a column of the edge table for each length that pieces have; column 0 is always empty
+        self.lengths = np.unique(self.length)
+        self.column = np.zeros(self.longest + 1, dtype=np.int64)
+        self.column[self.lengths] = np.arange(1, len(self.lengths) + 1)
         spell = [bytes([int(p[3:-1], 16)]) if v.kinds[i] == 3 else b"" if v.kinds[i] == 1 else p.encode("utf-8") for i, p in enumerate(v.pieces)]
         if (v.kinds == 2).any():
             spell[self.unknown] = " ⁇ ".encode()
         self.bytes_of = spell
         self.solved: dict[str, bytes] = {}
+        self.characters = 0  # of the words in `solved`
 
     # ------------------------------------------------------------ the suffix array
 
     def edges(self, code: np.ndarray) -> np.ndarray:
-        """ranks[p, n]: the merge rank of the piece of n characters at position p, NONE where there is none."""
+        """ranks[p, column[n]]: the merge rank of the piece of n characters at position p, NONE where there is none."""
         n = len(code)
-        ranks = np.full((n, self.longest + 1), NONE, dtype=np.int32)
+        ranks = np.full((n, len(self.lengths) + 1), NONE, dtype=np.int32)
+        if not n or not len(self.length):
+            return ranks
         wide = np.zeros(n + 16, dtype=np.uint64)
         wide[:n] = code
         key = np.zeros(n + 16, dtype=np.uint64)
@@ -146,6 +159,9 @@ class Tables:
             self._deal(ranks, order, lo[mine], hi[mine], pieces[mine])
             if span >= self.longest:
                 return ranks
+            if span == 16:
+                present = (~mine) & (hi > lo)
+                return self._beyond(ranks, code, ordered, order, pieces[present])
             # ranks of the suffixes by what is sorted so far, and the rank ranges of the pieces' halves
             new = np.ones(n, dtype=bool)
             new[1:] = ordered[1:] != ordered[:-1]
@@ -204,31 +220,84 @@ class Tables:
         d = np.where(hi < size, dense[np.minimum(hi, size - 1)], int(top)).astype(np.uint64)
         return c, np.where(hi > lo, d, c)
 
+    def _beyond(self, ranks, code, ordered, order, pieces) -> np.ndarray:
+        """Edges of pieces of more than 16 characters; doubling goes on until suffixes are ordered as far as they reach."""
+        n, span = len(code), 16
+        while len(pieces) and span < self.length[pieces].max():
+            new = np.ones(n, dtype=bool)
+            new[1:] = ordered[1:] != ordered[:-1]
+            rank = np.zeros(n + span, dtype=np.uint64)
+            rank[order] = np.cumsum(new).astype(np.uint64)
+            stage = (rank[:n] << np.uint64(32)) | rank[span : n + span]
+            order = np.argsort(stage, kind="stable")
+            ordered, span = stage[order], span * 2
+        if len(pieces):
+            wide = np.concatenate((code, np.zeros(self.longest, dtype=code.dtype)))
+            self._deal(ranks, order, *(self._bound(wide, order, pieces, right) for right in (False, True)), pieces)
+        return ranks
+
+    def _bound(self, wide, order, pieces, right: bool) -> np.ndarray:
+        """The first place in the suffix array that does not come before each piece, or that comes after it."""
+        lo, hi = np.zeros(len(pieces), dtype=np.int64), np.full(len(pieces), len(order))
+        place = np.arange(int(self.length[pieces].max()))
+        spelled, inside = self.whole[pieces][:, : len(place)], place < self.length[pieces][:, None]
+        row = np.arange(len(pieces))
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) // 2
+            text = wide[order[np.minimum(mid, len(order) - 1)][:, None] + place]
+            differ = (text != spelled) & inside
+            at = differ.argmax(axis=1)
+            sign = np.where(differ[row, at], np.sign(text[row, at].astype(np.int64) - spelled[row, at].astype(np.int64)), 0)
+            later = open_ & ((sign <= 0) if right else (sign < 0))
+            lo, hi = np.where(later, mid + 1, lo), np.where(open_ & ~later, mid, hi)
+        return lo
+
     def _deal(self, ranks, order, lo, hi, pieces) -> None:
         """An edge for each occurrence of each piece, put at its position."""
         n = np.maximum(0, hi - lo)
         total = int(n.sum())
         if total:
             at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
-            ranks[order[at], np.repeat(self.length[pieces], n)] = np.repeat(self.order_of[pieces], n)
+            ranks[order[at], np.repeat(self.column[self.length[pieces]], n)] = np.repeat(self.order_of[pieces], n)
+
+    def crossed(self, ranks: np.ndarray) -> np.ndarray:
+        """For each position whether an edge reaches over the border before it."""
+        change = np.zeros(len(ranks) + self.longest + 1, dtype=np.int32)
+        for k, n in enumerate(self.lengths.tolist(), 1):
+            at = np.flatnonzero(ranks[:, k] != NONE)
+            change[at + 1] += 1
+            change[at + n] -= 1
+        return np.cumsum(change)[: len(ranks)] > 0
 
     # ------------------------------------------------------------ relaxation
 
     def merge(self, code: np.ndarray, ranks: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths of the symbols left when no edge over two neighbours remains.
 
-        `word` numbers the word of each position, -1 in gaps.  Each round contracts the best
-        edge of every word that still has one.
+        `word` numbers the word of each position, -1 in gaps.  Words are merged by segments,
+        between which no edge leads.  Each round contracts the best edge of every segment
+        that still has one; long segments would need many rounds and take them from a queue.
         """
-        start = np.flatnonzero(word >= 0)
-        owner = word[start]
+        fresh = np.ones(len(word), dtype=bool)
+        fresh[1:] = (word[1:] != word[:-1]) | ~self.crossed(ranks)[1:]
+        segment = np.cumsum(fresh)
+        long = (np.bincount(segment) >= QUEUED)[segment] & (word >= 0)
+        start = np.flatnonzero((word >= 0) & ~long)
+        owner = segment[start]
         done_s, done_n = [], []
+        if long.any():
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], np.where(long, segment, 0), [0]))))
+            for a, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if long[a]:
+                    s, n = self.queued(ranks[a:e])
+                    done_s.append(s + a)
+                    done_n.append(n)
         size = np.ones(len(start), dtype=np.int64)
         while len(start):
             both = size[:-1] + size[1:]
             pair = np.full(len(start), NONE, dtype=np.int32)
             fits = np.flatnonzero((owner[1:] == owner[:-1]) & (both <= self.longest))
-            pair[fits] = ranks[start[fits], both[fits]]
+            pair[fits] = ranks[start[fits], self.column[both[fits]]]
             head = np.ones(len(start), dtype=bool)
             head[1:] = owner[1:] != owner[:-1]
             edge = np.flatnonzero(head)
@@ -252,6 +321,35 @@ class Tables:
         order = np.argsort(s, kind="stable")
         return s[order], n[order]
 
+    def queued(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `merge`, for one segment: edges wait in a queue by rank, then place."""
+        n = len(ranks)
+        size, after, prior = [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
+        table, width, column, longest = memoryview(np.ascontiguousarray(ranks)).cast("B").cast("i"), ranks.shape[1], self.column.tolist(), self.longest
+
+        def rank(i: int) -> int:
+            """Of the edge over symbol i and the next."""
+            both = size[i] + size[after[i]] if after[i] < n else longest + 1
+            return table[i * width + column[both]] if both <= longest else NONE
+
+        queue = [r * n + i for i in range(n) if (r := rank(i)) != NONE]
+        heapq.heapify(queue)
+        while queue:
+            r, i = divmod(heapq.heappop(queue), n)
+            # gone, or its neighbour has changed since
+            if not size[i] or rank(i) != r:
+                continue
+            j = after[i]
+            size[i] += size[j]
+            size[j], after[i] = 0, after[j]
+            if after[i] < n:
+                prior[after[i]] = i
+            for k in (i, prior[i]):
+                if k >= 0 and (r := rank(k)) != NONE:
+                    heapq.heappush(queue, r * n + k)
+        left = np.asarray(size)
+        return np.flatnonzero(left), left[left > 0]
+
     def shortest(self, code: np.ndarray, ranks: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths of the best-scored path over each word, relaxed from left to right."""
         score = self.v.scores
@@ -264,7 +362,7 @@ class Tables:
                 best[p] = 0.0
             one = self.single[code[p]]
             steps = [(1, score[one] if one >= 0 else least)]
-            steps += [(n, score[self.by_rank[ranks[p, n]]]) for n in np.flatnonzero(ranks[p] != NONE).tolist()]
+            steps += [(int(self.lengths[k - 1]), score[self.by_rank[ranks[p, k]]]) for k in np.flatnonzero(ranks[p] != NONE).tolist()]
             for n, value in steps:
                 if best[p] + value > best[p + n]:
                     best[p + n], back[p + n] = best[p] + value, n
@@ -278,38 +376,6 @@ class Tables:
         order = np.argsort(starts)
         return np.asarray(starts)[order], np.asarray(sizes)[order]
 
-    def alone(self, w: str) -> list[int]:
-        """The ids of one long word, by a queue of merges."""
-        if self.v.kind != "bpe":
-            code = self.code[code_points(w)]
-            return self._spell(w, *self.shortest(code, self.edges(code), np.zeros(len(code), dtype=np.int64)))
-        symbols: list[str | None] = list(w)
-        after, prior = list(range(1, len(w) + 1)), list(range(-1, len(w) - 1))
-        queue: list[tuple[int, int, str]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < len(symbols) and (k := self.ids.get(both := symbols[i] + symbols[j])) is not None:
-                heapq.heappush(queue, (self.rank[k], i, both))
-
-        for i in range(len(w) - 1):
-            offer(i)
-        while queue:
-            _, i, both = heapq.heappop(queue)
-            if symbols[i] is None or (j := after[i]) >= len(symbols) or symbols[i] + symbols[j] != both:
-                continue
-            symbols[i], symbols[j], after[i] = both, None, after[j]
-            if after[i] < len(symbols):
-                prior[after[i]] = i
-                offer(i)
-            if prior[i] >= 0:
-                offer(prior[i])
-        out: list[int] = []
-        for s in symbols:
-            if s is not None:
-                out += [self.ids[s]] if s in self.ids else self._fallback(s)
-        return out
-
     def _fallback(self, s: str) -> list[int]:
         return self.byte_id[list(s.encode("utf-8", "surrogatepass"))].tolist() if self.has_bytes else [self.unknown]
 
@@ -322,18 +388,38 @@ class Tables:
 
     def solve(self, words: list[str]) -> None:
         """Put the ids of new words into `solved`, as bytes of int32."""
-        short, n = [], 0
+        some, n = [], 0
         for w in words:
-            if len(w) > LONG:
-                self.solved[w] = np.asarray(self.alone(w), dtype=np.int32).tobytes()
+            if len(w) > BATCH:
+                parts = list(self._parts(w))
+                if len(parts) == 1:
+                    self._together(parts)
+                    continue
+                self.solve([p for p in dict.fromkeys(parts) if p not in self.solved])
+                self.solved[w] = b"".join(map(self.solved.__getitem__, parts))
                 continue
-            short.append(w)
+            some.append(w)
             n += len(w) + 1
             if n >= BATCH:
-                self._together(short)
-                short, n = [], 0
-        if short:
-            self._together(short)
+                self._together(some)
+                some, n = [], 0
+        if some:
+            self._together(some)
+
+    def _parts(self, w: str) -> Iterator[str]:
+        """A very long word cut where no edge crosses, into parts of at most about BATCH characters if such places allow."""
+        at, size = 0, BATCH // 2
+        while at < len(w):
+            near = w[at : at + size + self.longest]  # holds all edges that cross a border up to `size`
+            free = np.flatnonzero(~self.crossed(self.edges(self.code[code_points(near)]))[1 : size + 1]) + 1
+            if len(w) - at <= size or not len(free) and len(near) == len(w) - at:
+                yield w[at:]
+                return
+            if len(free):
+                yield w[at : at + int(free[-1])]
+                at, size = at + int(free[-1]), BATCH // 2
+            else:
+                size *= 2
 
     def _together(self, words: list[str]) -> None:
         sizes = np.array([len(w) for w in words])
@@ -344,7 +430,7 @@ class Tables:
         code[gaps], word[gaps] = 0, -1
         ranks = self.edges(code)
         start, size = (self.merge if self.v.kind == "bpe" else self.shortest)(code, ranks, word)
-        ids = np.where(size == 1, self.single[code[start]], self.by_rank[np.where(size == 1, 0, ranks[start, np.minimum(size, self.longest)])])
+        ids = np.where(size == 1, self.single[code[start]], self.by_rank[np.where(size == 1, 0, ranks[start, self.column[np.minimum(size, self.longest)]])])
         odd = np.zeros(len(words), dtype=bool)
         odd[word[start[ids < 0]]] = True
         cuts = np.searchsorted(start, edge) * 4
@@ -362,13 +448,15 @@ class Tables:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text, as bytes of int32."""
         split = [self.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.solved) > KEPT:
+        if len(self.solved) > KEPT or self.characters > KEPT_CHARACTERS:
             self.solved.clear()
+            self.characters = 0
         new: set[str] = set()
         for words in split:
             new.update(words)
         fresh = sorted(w for w in new if w not in self.solved)
         self.solve(fresh)
+        self.characters += sum(map(len, fresh))
         find = self.solved.__getitem__
         return [b"".join(map(find, words)) for words in split]
 
@@ -408,7 +496,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, columns: list[str], text: st
                 kept = [c.slice(lo, hi - lo) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*kept, ids], names=[*batch.schema.names[:-1], "ids"])
 
-    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(text).alias(fresh(columns, "text"))).mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary, columns: list[str], ids: str = "ids") -> DataFrame:

@@ -221,11 +221,39 @@ def test_occurrence_ranges_equal_plain_search(vocabulary):
     words = ["▁the", "▁international", "▁▁▁▁x", "internationalization", "▁of", "ing"]
     text = "\0".join(words) + "\0"
     ranks = tables.edges(tables.code[pieces.code_points(text)].copy())
-    found = {(p, n) for p, n in zip(*np.nonzero(ranks != pieces.NONE), strict=True)}
+    found = {(p, tables.lengths[k - 1]) for p, k in zip(*np.nonzero(ranks != pieces.NONE), strict=True)}
     want = {(p, n) for p in range(len(text)) for n in range(2, 17) if text[p : p + n] in tables.ids and len(text[p : p + n]) == n}
     assert found == want
 
 
+def test_pieces_of_any_length_are_found():
+    rng = random.Random(8)
+    spelled = sorted({"".join(rng.choice("ab") for _ in range(n)) for n in (1, 1, 2, 3, 5, 16, 17, 20, 31, 32, 33, 40, 65, 130) for _ in range(6)} | {"a", "b", "a" * 48})
+    v = pieces.Vocabulary(["<unk>", *spelled], np.array([0.0] + [-float(i) for i in range(len(spelled))]), np.array([2] + [0] * len(spelled)))
+    tables = v.ready()
+    text = "\0".join(["".join(rng.choice(spelled) for _ in range(12)) for _ in range(30)] + ["a" * 60]) + "\0"
+    ranks = tables.edges(tables.code[pieces.code_points(text)].copy())
+    found = {(p, int(tables.lengths[k - 1])): ranks[p, k] for p, k in zip(*np.nonzero(ranks != pieces.NONE), strict=True)}
+    want = {(p, len(s)): tables.rank[tables.ids[s]] for s in spelled if len(s) > 1 for p in range(len(text)) if text.startswith(s, p)}
+    assert found == want
+
+
+def test_text_without_spaces_takes_the_suffix_array(vocabulary, monkeypatch):
+    """Unspaced scripts, encoded blobs and words beyond a batch, by the same edges as all else."""
+    import base64
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_file())
+    rng = random.Random(4)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(3000)), "".join(rng.choice("カタナひらがな漢字日本語の") for _ in range(2000)), base64.b64encode(rng.randbytes(6000)).decode(), "https://example.org/" + "a-b_c/" * 500, "internationalization" * 300, "x" * 5000]
+    monkeypatch.setattr(pieces, "BATCH", 1 << 10)
+    tables = pieces.Tables(vocabulary)
+    coded = [np.frombuffer(c, dtype=np.int32).tolist() for c in tables.encode(texts)]
+    assert coded == library.encode(texts)
+    assert [tables.decode(np.array(c, dtype=np.int32)) for c in coded] == texts
+
+
 def test_unigram_relaxation_finds_the_best_path():
     v = pieces.Vocabulary(["<unk>", "▁", "a", "b", "ab", "▁a", "ba", "▁ab", "aba"], np.array([0, -3, -2, -2, -2.5, -3.2, -2.4, -6, -4.0]), np.array([2, 0, 0, 0, 0, 0, 0, 0, 0]), "unigram")
     tables = v.ready()
