@@ -1,17 +1,26 @@
 """Nearest neighbours by vantage-point trees, one per shard of vectors.
 
-Vectors are dealt by a hash of their id into shards of bounded size; each shard builds one
-tree.  Queries come in blocks, and a block meets every shard once.  In a tree, a query skips
-the far side of a ball when |d - radius| > relax * (its k-th best distance so far); relax 1
-is the exact triangle inequality, smaller values prune more and may lose neighbours.
+An upper vantage-point tree, fitted on a sample of at most FIT vectors, deals all vectors
+into leaves; a leaf of more than SHARD vectors is divided further by a hash of the id.  Each
+such shard builds a tree of its own.  A query first asks the shard it lies in, which bounds
+the distance of its k-th neighbour; then it goes to every other shard whose ball (centre and
+radius of its leaf) reaches within that bound, and to no other.  In a tree, a query skips
+the far side of a ball when |d - radius| > relax * (its k-th best distance so far), and it
+skips leaves by the same factor; relax 1 is the exact triangle inequality, smaller values
+prune more and may lose neighbours.
+
+A task holds one shard and reads queries in blocks of BLOCK; leaves (at most about
+FIT / ROUTE a dimension) with their centres, radii and sizes are all that the driver sees.
 
 Distances that decide are exact: candidates are ranked by sqrt(sum((a - b) ** 2)) in double
-precision on the original vectors, summed in dimension order.
+precision on the original vectors, summed in dimension order.  Bounds allow for rounding in
+proportion to what they compare, so that vectors of any norm or offset lose nothing.
 
 Defined cases: vectors null, empty, zero, or with null or non-finite components take no
 part, nor do rows with a null id; vectors of another dimension than the query's are no
 candidates; ties go to the smaller id; a row is no candidate of a query with its own id;
-rows that repeat an id and its vector count once; an empty table gives no rows; further columns are ignored.
+rows that repeat an id and its vector count once; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +32,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD = 8192  # vectors in a shard, about
-BLOCK = 1024  # queries in a block, at most about
+from .common import cut
+
+SHARD = 4096  # vectors in a shard, about
+BLOCK = 256  # queries in a block, at most
 LEAF = 128
+FIT = 16384  # vectors that the upper tree is fitted on, about, at most
+ROUTE = 8  # of these, as many in one of its leaves at least
 RELAX = 1.0
+_EPS = float(np.finfo(float).eps)
+
+
+def slack(dim: int, *sizes: np.ndarray) -> np.ndarray:
+    """What rounding may add to a comparison of distances of these sizes."""
+    return 16 * (dim + 8) * _EPS * sum(sizes)
+
+
+def reaches(gap: np.ndarray, best: np.ndarray, relax: float, margin: np.ndarray) -> np.ndarray:
+    """Whether a ball of radius `best` about the query may hold something beyond `gap`."""
+    return np.isinf(best) | (gap <= relax * np.where(np.isinf(best), 0.0, best) + margin)
+
+
+def spread_point(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> int:
+    """Of a few candidates, the row whose distances to some others spread most."""
+    some = rng.choice(rows, size=min(len(rows), 64), replace=False)
+    return int(some[int(np.argmax([np.var(distances(x[some], x[v])) for v in some[:5]]))])
+
+
+def distances(x: np.ndarray, point: np.ndarray) -> np.ndarray:
+    diff = x - point
+    return np.sqrt((diff * diff).sum(axis=1))
 
 
 class Tree:
@@ -41,26 +76,19 @@ class Tree:
     def _build(self, rows: np.ndarray):
         if len(rows) <= LEAF:
             return rows
-        # of a few candidates, the vantage point whose distances spread most
-        some = self.rng.choice(rows, size=min(len(rows), 64), replace=False)
-        spread = [np.var(self.distance(v, some)) for v in some[:5]]
-        at = some[int(np.argmax(spread))]
+        at = spread_point(self.x, rows, self.rng)
         rest = rows[rows != at]
-        d = self.distance(at, rest)
+        d = distances(self.x[rest], self.x[at])
         radius = float(np.median(d))
         inner = d <= radius
         if inner.all():  # all at one distance: nothing to divide by
             return rows
         return at, radius, self._build(rest[inner]), self._build(rest[~inner])
 
-    def distance(self, point: int, rows: np.ndarray) -> np.ndarray:
-        diff = self.x[rows] - self.x[point]
-        return np.sqrt((diff * diff).sum(axis=1))
-
-    def search(self, q: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers (-1: none) and distances of each query's k nearest in this tree."""
+    def search(self, q: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, relax: float, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers (-1: none) and distances of each query's k nearest in this tree, those within `bound` alone."""
         self.q, self.qn, self.own, self.ids, self.k, self.relax = q, (q * q).sum(axis=1), own, ids, k, relax
-        self.best = np.full((len(q), k), np.inf)
+        self.best = np.full((len(q), k), np.inf) if bound is None else np.repeat(bound[:, None], k, axis=1)
         self.rows = np.full((len(q), k), -1, dtype=np.int64)
         self._visit(self.root, np.arange(len(q)))
         return self.rows, self.best
@@ -86,7 +114,7 @@ class Tree:
                 # (of squares, whose rounding errors grow with the norms and dimensions)
                 norms = self.qn[active][:, None] + self.norm[node][None, :]
                 rough = norms - 2 * self.q[active] @ self.x[node].T
-                near = rough <= self.best[active, -1][:, None] ** 2 + 8 * (self.x.shape[1] + 8) * np.finfo(float).eps * norms
+                near = rough <= self.best[active, -1][:, None] ** 2 * (1 + slack(self.x.shape[1], 1.0)) + slack(self.x.shape[1], norms)
                 some = near.any(axis=0)
                 if some.any():
                     rows, take = node[some], near.any(axis=1)
@@ -99,7 +127,8 @@ class Tree:
         self._visit(inner, active[inside])
         self._visit(outer, active[~inside])
         # the other side, where the ball of the k-th best still reaches over the border
-        reach = np.abs(d - radius) <= self.relax * self.best[active, -1] + 1e-9
+        best = self.best[active, -1]
+        reach = reaches(np.abs(d - radius), best, self.relax, slack(self.x.shape[1], d, radius))
         self._visit(outer, active[inside & reach])
         self._visit(inner, active[~inside & reach])
 
@@ -119,67 +148,240 @@ def usable(vec: Column) -> Column:
     return F.coalesce((F.size(vec) > 0) & fine & F.exists(vec, lambda v: v != 0), F.lit(False))
 
 
-_PACKED = "part int, ids binary, vecs binary, dim int"
+def by_dimension(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, row numbers, matrix) of a list column without nulls."""
+    ends = column.offsets.to_numpy()
+    values, size = column.values.to_numpy(zero_copy_only=False), np.diff(ends)
+    for dim in np.unique(size).tolist():
+        rows = np.flatnonzero(size == dim)
+        yield dim, rows, values[ends[rows][:, None] + np.arange(dim)]
 
 
-def _pack(by: int):
-    """Rows (part, id, vec) sorted by part and id, repeats dropped -> one row a part and dimension, at most `by` vectors each."""
+class Router:
+    """The upper tree of one dimension: numbers the leaves that vectors fall into."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-        last, seen = None, set()
+    def __init__(self, x: np.ndarray, share: float) -> None:
+        """`share`: the part of the sample that may stay together in a leaf."""
+        self.centres: list[np.ndarray] = []
+        self.least, self.rng = max(ROUTE, int(share * len(x))), np.random.default_rng(7)
+        self.root = self._build(x)
+        self.centre = np.stack(self.centres)
 
-        def flush(key):
-            ids, vecs = zip(*held.pop(key), strict=True)
-            return pa.RecordBatch.from_pydict({"part": pa.array([key[0]], pa.int32()), "ids": [np.asarray(ids, dtype=np.int64).tobytes()], "vecs": [np.stack(vecs).tobytes()], "dim": pa.array([key[1]], pa.int32())})
+    def _build(self, x: np.ndarray):
+        if len(x) > self.least:
+            point = x[spread_point(x, np.arange(len(x)), self.rng)]
+            d = distances(x, point)
+            inner = d <= (radius := float(np.median(d)))
+            if not inner.all():
+                return point, radius, self._build(x[inner]), self._build(x[~inner])
+        self.centres.append(x.mean(axis=0))
+        return len(self.centres) - 1
 
-        for batch in batches:
-            parts = batch.column(0).to_pylist()
-            for key in [k for k in held if k[0] != parts[0]] if parts else []:
-                yield flush(key)
-            for part, i, v in zip(parts, batch.column(1).to_pylist(), batch.column(2), strict=True):
-                x = np.asarray(v.values, dtype=np.float64)
-                seen = seen if last == (part, i) else set()
-                last = (part, i)
-                if (mark := x.tobytes()) in seen:
-                    continue
-                seen.add(mark)
-                rows = held.setdefault((part, len(x)), [])
-                rows.append((i, x))
-                if len(rows) >= by:
-                    yield flush((part, len(x)))
-        for key in list(held):
-            yield flush(key)
-
-    return run
-
-
-def search(vectors: DataFrame, queries: Column, k: int = 10, relax: float = RELAX, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        out, stack = np.zeros(len(x), dtype=np.int64), [(self.root, np.arange(len(x)))]
+        while stack:
+            node, rows = stack.pop()
+            if not len(rows):
+                continue
+            if isinstance(node, int):
+                out[rows] = node
+                continue
+            inner = distances(x[rows], node[0]) <= node[1]
+            stack += [(node[2], rows[inner]), (node[3], rows[~inner])]
+        return out
+
+
+class Plan:
+    """Leaves by dimension, with the shards they are divided into and the balls that hold them."""
+
+    def __init__(self, sample: list[np.ndarray], total: int, shard: int) -> None:
+        kinds: dict[int, list[np.ndarray]] = {}
+        for v in sample:
+            kinds.setdefault(len(v), []).append(v)
+        self.shard, share = shard, shard / max(1, total)
+        self.routers = {dim: Router(np.stack(rows), share * len(sample) / len(rows)) for dim, rows in kinds.items()}
+
+    def router(self, dim: int) -> Router:
+        """Dimensions that the sample lacks have one leaf."""
+        if dim not in self.routers:
+            self.routers[dim] = Router(np.zeros((1, dim)), 1.0)
+        return self.routers[dim]
+
+    def number(self, leaves: list[tuple[int, int, int, float]]) -> int:
+        """Shard numbers for (dimension, leaf, vectors, radius) of all leaves; how many there are."""
+        self.first: dict[int, np.ndarray] = {}
+        self.subs: dict[int, np.ndarray] = {}
+        self.far: dict[int, np.ndarray] = {}
+        total = 0
+        for dim, leaf, n, far in sorted(leaves):
+            if dim not in self.first:
+                size = len(self.router(dim).centre)
+                self.first[dim], self.subs[dim], self.far[dim] = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), np.zeros(size)
+            self.first[dim][leaf], self.subs[dim][leaf], self.far[dim][leaf] = total, max(1, -(-n // self.shard)), far
+            total += int(self.subs[dim][leaf])
+        return total
+
+    def part(self, dim: int, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        leaf = self.router(dim).leaf(x)
+        spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return self.first[dim][leaf] + (spread % self.subs[dim][leaf].astype(np.uint64)).astype(np.int64)
+
+    def others(self, dim: int, q: np.ndarray, bound: np.ndarray, relax: float, home: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, queries) for each shard but the home that may hold something within the bounds."""
+        far = self.far[dim]
+        d = exact(q, self.router(dim).centre)
+        reach = reaches(np.maximum(0.0, d - far), bound[:, None], relax, slack(dim, d, far))
+        for leaf in np.flatnonzero(reach.any(axis=0) & (self.subs[dim] > 0)).tolist():
+            asks = np.flatnonzero(reach[:, leaf])
+            for part in range(int(self.first[dim][leaf]), int(self.first[dim][leaf] + self.subs[dim][leaf])):
+                if part != home:
+                    yield part, asks
+
+
+_DEALT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary()), ("bound", pa.binary())])
+_DEALT_SQL = "part int, kind int, dim int, ids binary, vecs binary, bound binary"
+_FIRST = pa.schema([("home", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary()), ("bound", pa.binary()), ("hits", pa.binary()), ("scores", pa.binary())])
+_FIRST_SQL = "home int, dim int, ids binary, vecs binary, bound binary, hits binary, scores binary"
+_HITS_SQL = "query_id long, vec_id long, score double"
+
+
+def once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In order of id; of rows that repeat an id and its vector one."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    if (ids[1:] != ids[:-1]).all():
+        return ids, x
+    seen, keep = set(), []
+    for i, (own, v) in enumerate(zip(ids.tolist(), x, strict=True)):
+        if (key := (own, v.tobytes())) not in seen:
+            seen.add(key)
+            keep.append(i)
+    return ids[keep], x[keep]
+
+
+class Shard:
+    """What a task holds of one shard: vectors and trees by dimension."""
+
+    def __init__(self) -> None:
+        self.held: dict[int, list[tuple[bytes, bytes]]] = {}
+        self.trees: dict[int, tuple[np.ndarray, Tree]] = {}
+
+    def add(self, dim: int, ids: bytes, vecs: bytes) -> None:
+        self.held.setdefault(dim, []).append((ids, vecs))
+
+    def tree(self, dim: int) -> tuple[np.ndarray, Tree] | None:
+        if dim in self.held:
+            ids, x = unpacked(self.held.pop(dim), dim)
+            self.trees[dim] = ids, Tree(x)
+        return self.trees.get(dim)
+
+
+def unpacked(rows: list[tuple[bytes, bytes]], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, x = (np.frombuffer(b"".join(r[k] for r in rows), dtype=kind) for k, kind in ((0, np.int64), (1, np.float64)))
+    return once(ids, x.reshape(-1, dim))
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 10, relax: float = RELAX, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row for which `queries` holds."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), queries.alias("asks")).filter(F.col("id").isNotNull() & usable(F.col("vec")))
-    # the counts fix the number of shards and blocks; both grow with the input
-    n, asks = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asks // BLOCK))
-    part = lambda of, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(of)).cast("int").alias("part")
-    packed = rows.select(part(shards, 1), "id", "vec").repartition(shards, "part").sortWithinPartitions("part", "id").mapInArrow(_pack(4 * SHARD), _PACKED)
-    asked = rows.filter("asks").select(part(blocks, 2), "id", "vec").repartition(blocks, "part").sortWithinPartitions("part", "id").mapInArrow(_pack(BLOCK), _PACKED)
-    # each packed block visits each shard: whole blocks are sent, never single pairs
-    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.col("dim").alias("q_dim"))
-    met = packed.join(sent.hint("shuffle_hash"), (packed["part"] == sent["part"]) & (packed["dim"] == sent["q_dim"])).select("ids", "vecs", "dim", "q_ids", "q_vecs")
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree, ids = None, None, None
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(queries, F.lit(False)).alias("asks")).filter(F.col("id").isNotNull() & usable(F.col("vec")))
+    total = rows.count()
+    share = F.xxhash64("id", F.lit(3)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    fitted = rows.filter(share < min(1.0, FIT / max(1, total))).select("vec").limit(2 * FIT).collect()
+    plan = Plan([np.asarray(r["vec"]) for r in fitted], total, shard)
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for dim, _, x in by_dimension(batch.column(0)):
+                router = plan.router(dim)
+                leaf = router.leaf(x)
+                d = distances(x, router.centre[leaf])
+                for at in np.unique(leaf).tolist():
+                    own = found.setdefault((dim, at), [0, 0.0])
+                    own[0] += int((leaf == at).sum())
+                    own[1] = max(own[1], float(d[leaf == at].max()))
+        if found:
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([x[0] for x in found], pa.int32()), "leaf": pa.array([x[1] for x in found], pa.int32()), "n": pa.array([x[0] for x in found.values()], pa.int64()), "far": [x[1] for x in found.values()]})
+
+    counted = rows.select("vec").mapInArrow(leaves, "dim int, leaf int, n long, far double").groupBy("dim", "leaf").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()
+    shards = max(1, plan.number([(r["dim"], r["leaf"], r["n"], r["far"]) for r in counted]))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                own, vecs, dim, q_ids, q_vecs = (batch.column(c)[r].as_py() for c in range(5))
-                if last != (own, dim):
-                    last, ids = (own, dim), np.frombuffer(own, dtype=np.int64)
-                    tree = Tree(np.frombuffer(vecs, dtype=np.float64).reshape(-1, dim))
-                asking = np.frombuffer(q_ids, dtype=np.int64)
-                found, d = tree.search(np.frombuffer(q_vecs, dtype=np.float64).reshape(-1, dim), asking, ids, k, relax)
-                some = found >= 0
-                yield pa.RecordBatch.from_pydict({"query_id": np.broadcast_to(asking[:, None], found.shape)[some], "vec_id": ids[found[some]], "score": d[some]})
-
-    near = met.mapInArrow(find, "query_id long, vec_id long, score double")
+            ids, asks, out = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), []
+            for dim, at, x in by_dimension(batch.column(1)):
+                part = plan.part(dim, x, ids[at])
+                for kind, some in ((0, np.arange(len(at))), (1, np.flatnonzero(asks[at]))):
+                    if not len(some):
+                        continue
+                    some = some[np.argsort(part[some], kind="stable")]
+                    edge = np.flatnonzero(np.diff(part[some], prepend=-1))
+                    for a, e in zip(edge, np.append(edge[1:], len(some)), strict=True):
+                        own = some[a:e]
+                        out.append((int(part[own[0]]), kind, dim, ids[at[own]].tobytes(), x[own].tobytes(), None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _DEALT, strict=True)], schema=_DEALT)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query in its own shard."""
+        at, own, asking = None, Shard(), {}
+
+        def close():
+            for dim, rows in asking.items():
+                q_ids, q = unpacked(rows, dim)
+                ids, tree = own.tree(dim)
+                for i in range(0, len(q), BLOCK):
+                    part, names = q[i : i + BLOCK], q_ids[i : i + BLOCK]
+                    found, d = tree.search(part, names, ids, k, relax)
+                    hits = np.where(found >= 0, ids[found], 0)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((at, dim, names.tobytes(), part.tobytes(), d[:, -1].tobytes(), hits.tobytes(), d.tobytes()), _FIRST, strict=True)], schema=_FIRST)
+
+        for batch in batches:
+            for part, kind, dim, ids, vecs, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != at:
+                    yield from close()
+                    at, own, asking = part, Shard(), {}
+                if kind == 0:
+                    own.add(dim, ids, vecs)
+                else:
+                    asking.setdefault(dim, []).append((ids, vecs))
+        yield from close()
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries to the other shards within their bounds."""
+        for batch in batches:
+            for at, dim, ids, vecs, bound, _, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names, q, most = np.frombuffer(ids, dtype=np.int64), np.frombuffer(vecs, dtype=np.float64).reshape(-1, dim), np.frombuffer(bound, dtype=np.float64)
+                for part, asks in plan.others(dim, q, most, relax, at):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, 1, dim, names[asks].tobytes(), q[asks].tobytes(), most[asks].tobytes()), _DEALT, strict=True)], schema=_DEALT)
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, Shard()
+        for batch in batches:
+            for part, kind, dim, ids, vecs, bound in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != at:
+                    at, own = part, Shard()
+                if kind == 0:
+                    own.add(dim, ids, vecs)
+                elif (met := own.tree(dim)) is not None:
+                    names = np.frombuffer(ids, dtype=np.int64)
+                    found, d = met[1].search(np.frombuffer(vecs, dtype=np.float64).reshape(-1, dim), names, met[0], k, relax, np.frombuffer(bound, dtype=np.float64))
+                    some = found >= 0
+                    yield pa.RecordBatch.from_pydict({"query_id": np.broadcast_to(names[:, None], found.shape)[some], "vec_id": met[0][found[some]], "score": d[some]})
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, hits, scores in zip(*(batch.column(c).to_pylist() for c in (2, 5, 6)), strict=True):
+                names, d = np.frombuffer(ids, dtype=np.int64), np.frombuffer(scores, dtype=np.float64).reshape(-1, k)
+                some = np.isfinite(d)
+                yield pa.RecordBatch.from_pydict({"query_id": np.broadcast_to(names[:, None], d.shape)[some], "vec_id": np.frombuffer(hits, dtype=np.int64).reshape(-1, k)[some], "score": d[some]})
+
+    together = lambda df: df.repartitionById(shards, F.col("part")).sortWithinPartitions("part", "kind")
+    dealt = rows.mapInArrow(deal, _DEALT_SQL)
+    first = cut(together(dealt).mapInArrow(home, _FIRST_SQL))
+    near = first.mapInArrow(told, _HITS_SQL)
+    if shards > 1:
+        sent = first.mapInArrow(send, _DEALT_SQL)
+        near = near.unionByName(together(dealt.filter("kind = 0").unionByName(sent)).mapInArrow(visit, _HITS_SQL))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -154,6 +154,59 @@ def test_neighbours_are_exact_and_pruning_is_tunable():
     assert 0.3 < np.mean([len(set(a) & set(b)) / 10 for a, b in zip(rows, want, strict=True)]) < 1.0
 
 
+def nearest(ids, x, asks, k):
+    d = ann.exact(x[asks], x)
+    out = {}
+    for i, row in zip(np.flatnonzero(asks), d, strict=True):
+        order = sorted((float(v), int(j)) for v, j in zip(row, ids, strict=True) if j != ids[i])[:k]
+        out[int(ids[i])] = [(j, v) for v, j in order]
+    return out
+
+
+def found_by(df):
+    out = defaultdict(list)
+    for r in df.orderBy("query_id", "rank").collect():
+        out[r.query_id].append((r.vec_id, r.score))
+    return dict(out)
+
+
+@pytest.mark.parametrize("offset,spread", [(0.0, 1.0), (100.0, 1e-6), (1e5, 1.0)])
+def test_search_over_shards_equals_brute_force(spark, offset, spread):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((12, 8)) * 4
+    x = (centres[rng.integers(0, 12, 1500)] + rng.standard_normal((1500, 8))) * spread + offset
+    x[1000:1300] = x[7]  # a large group of copies, and small ones
+    x[1300:1360] = x[:60]
+    ids = rng.permutation(5000)[:1500].astype(np.int64)
+    df = spark.createDataFrame([(int(i), v.tolist(), "e") for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, part string").repartition(5)
+    got = found_by(ann.search(df, F.col("vec_id") % 20 == 0, k=10, shard=100))
+    assert got == nearest(ids, x, ids % 20 == 0, 10)
+
+
+def test_relaxed_search_over_shards_keeps_most(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((40, 8))[rng.integers(0, 40, 3000)] * 3 + rng.standard_normal((3000, 8))
+    ids = np.arange(3000, dtype=np.int64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = nearest(ids, x, ids % 50 == 0, 10)
+    got = found_by(ann.search(df, F.col("vec_id") % 50 == 0, k=10, relax=0.8, shard=200))
+    recall = np.mean([len({i for i, _ in got.get(q, [])} & {i for i, _ in near}) / 10 for q, near in want.items()])
+    assert recall >= 0.9
+
+
+def test_a_shard_out_of_reach_is_not_asked():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.standard_normal((200, 4)), rng.standard_normal((200, 4)) + 1000])
+    plan = ann.Plan(list(x), 400, 100)
+    leaf = plan.router(4).leaf(x)
+    d = ann.distances(x, plan.router(4).centre[leaf])
+    plan.number([(4, k, int((leaf == k).sum()), float(d[leaf == k].max())) for k in np.unique(leaf)])
+    home = int(plan.part(4, x[:1], np.array([0]))[0])
+    asked = {p for p, _ in plan.others(4, x[:1], np.array([3.0]), 1.0, home)}
+    far = set(plan.part(4, x[200:], np.arange(200, 400)).tolist())
+    assert not asked & far
+
+
 # ---------------------------------------------------------------- media
 
 
