@@ -5,14 +5,19 @@ epochs first; the rest is chosen by exponential keys -ln(u) / quality, smallest
 prefix-summed to the budget.  The document on which the budget ends gives only its first
 words, so the words taken equal the budget.
 
-No task ever holds a source.  Keys fall into BUCKETS ranges per source; sums per (source,
-range) place the budget, and only rows of one (source, range) are ordered together.  One
-row per source passes through an unpartitioned window, to rank sources and to reshare
-budgets; nothing else does.
+No task ever holds a source.  Keys fall into ranges on a logarithmic scale, STEPS to each
+doubling.  Whatever the qualities of a source's documents, a range holds at most a share of
+ln(2) / (e * STEPS) of them on average (0.025 %), for that is the largest density of the
+logarithm of an exponential number.  Sums per (source, range) place the budget, and only
+rows of one (source, range) are ordered together.  Sources are ranked, and budgets reshared,
+over partitions by range with the partitions' own totals added, so any number of sources
+will do.
 
 Defined cases: a null text has no words; null sources are one source, ranked last; rows
 that tie in key and id have equal shares in any order; documents without words take
-nothing; an empty table gives no rows; further columns are ignored.
+nothing; a very long text is a document like any other; repeated rows are documents of
+their own; an empty table gives no rows; further columns are ignored by `mix` and kept by
+`emit`, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -20,9 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, fresh
 
-BUCKETS = 2048
+STEPS = 1024
 SEED = "mix-1"
 
 
@@ -42,6 +47,24 @@ def uniform(id_col: Column, seed: str = SEED) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(2.0**52)
 
 
+def ranged(rows: DataFrame, by: list[Column], sums: dict[str, str], order: list[str]) -> DataFrame:
+    """rows with running sums from the first row on, in the order of `by` (ties by `order`); no task holds all rows.
+
+    `sums` names each new column and the column that it adds up; a row's own value is left out.
+    """
+    spark, part = rows.sparkSession, fresh(rows.columns, "part")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # written, so that a partition's number stays what it was when the rows are read again
+    dealt = cut(rows.repartitionByRange(partitions, *by).withColumn(part, F.spark_partition_id()))
+    totals = dealt.groupBy(part).agg(*[F.sum(c).alias(f"{name}_all") for name, c in sums.items()])
+    lower = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = totals.select(F.col(part).alias(f"{part}_of"), *[F.coalesce(F.sum(f"{name}_all").over(lower), F.lit(0)).alias(f"{name}_off") for name in sums])
+    within = Window.partitionBy(part).orderBy(*by, *order).rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"{name}_in") for name, c in sums.items()])
+    out = local.join(F.broadcast(offsets), F.col(part) == F.col(f"{part}_of"))
+    return out.select(*rows.columns, *[(F.col(f"{name}_in") + F.col(f"{name}_off")).alias(name) for name in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
     """key, source, source_size -> with `target`: budgets by weight, none above `most` times its source.
 
@@ -49,30 +72,23 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     reach their limit first are those with the least limit by weight, so sorted by that
     ratio the full ones are a prefix and the level is one division.
     """
-    by_name, everyone = Window.orderBy(F.col("source").asc_nulls_last()), Window.partitionBy()
-    rank = (F.row_number().over(by_name) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank + 1).cast("int")).cast("double")
-    ranked = sizes.withColumn("rank", F.row_number().over(by_name)).withColumn("w", weight).withColumn("most", (F.col("source_size") * most).cast("double"))
-    by_ratio = Window.orderBy(F.col("most") / F.col("w"), "rank")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    level = (
-        ranked.withColumn("total", F.sum("source_size").over(everyone) * F.lit(share))
-        .withColumn("spent", F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-        .withColumn("weight_left", F.sum("w").over(everyone) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-        .withColumn("level", (F.col("total") - F.col("spent")) / F.col("weight_left"))
-        .withColumn("full", F.col("most") <= F.col("w") * F.col("level"))
-        .withColumn("final", F.max(F.when(~F.col("full"), F.col("level"))).over(everyone))
-    )
-    return level.select("key", "source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("w") * F.col("final")).alias("target"))
-
-
-def mix(docs: DataFrame, seed: str = SEED, buckets: int = BUCKETS, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, row_id: str | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken [, row_id] for every row of `docs`."""
+    ranked = ranged(sizes.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], {"rank": "one"}, ["key"])
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")).cast("double")
+    ranked = ranked.withColumn("w", weight).withColumn("most", (F.col("source_size") * most).cast("double"))
+    filled = ranged(ranked.withColumn("ratio", F.col("most") / F.col("w")), [F.col("ratio")], {"spent": "most", "weight_spent": "w"}, ["rank"])
+    total, weight = filled.agg(F.sum("source_size") * F.lit(share), F.sum("w")).first()
+    level = filled.withColumn("level", (F.lit(total) - F.col("spent")) / (F.lit(weight) - F.col("weight_spent")))
+    level = level.withColumn("full", F.col("most") <= F.col("w") * F.col("level"))
+    (final,) = level.agg(F.max(F.when(~F.col("full"), F.col("level")))).first()
+    return level.select("key", "source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("w") * F.lit(final).cast("double")).alias("target"))
+
+
+def mix(docs: DataFrame, seed: str = SEED, steps: int = STEPS, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the columns `more` of docs, for every row of `docs`."""
     size = n_words(F.col("text"))
-    more = [row_id] if row_id else []
     rows = docs.select("doc_id", "source", *more, size.alias("size"), quality(F.col("text"), size).alias("quality"))
     rows = rows.withColumn("draw", -F.log(uniform(F.col("doc_id"), seed)) / F.col("quality")).withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    rows = cut(rows.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1.0 - F.exp(-F.col("draw"))) * buckets)).cast("int")))
+    rows = cut(rows.withColumn("bucket", F.floor(F.log2("draw") * steps).cast("int")))
     sums = rows.groupBy("key", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(sums.groupBy("key", "source").agg(F.sum("bucket_size").alias("source_size")), weights, share, most)
     whole = F.least(F.floor(F.col("target") + 0.5).cast("long"), F.col("source_size") * most)
@@ -86,20 +102,29 @@ def mix(docs: DataFrame, seed: str = SEED, buckets: int = BUCKETS, weights: tupl
     return out.select("doc_id", *more, "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("epochs") * F.col("size") + part).alias("taken"))
 
 
+def _identity(docs: DataFrame) -> list[Column]:
+    """Two hashes of a whole row, nulls told from values; columns that hold maps go in as JSON."""
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    nulls = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in plain])
+    return [F.xxhash64(nulls, *plain), F.xxhash64(F.lit(SEED), *plain, nulls)]
+
+
 def emit(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, the last copy cut to the words left.
 
-    The columns are those of `docs`.  Rows that are alike in every column are numbered on
-    both sides, so that each takes its own share.
+    The columns are those of `docs`.  Rows are known by two hashes of all their columns; rows
+    that are alike in every column are numbered on both sides, so that each takes its own share.
     """
     columns = docs.columns
-    tagged = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in columns]))
-    shares = mix(tagged, seed, row_id="_row").select(F.col("doc_id").alias("_doc"), F.col("_row").alias("_share_of"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    shares = shares.withColumn("_share", F.row_number().over(Window.partitionBy("_doc", "_share_of").orderBy("_taken"))).filter("_taken > 0")
-    numbered = tagged.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_row").orderBy("_row")))
-    both = numbered.join(shares, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_share_of")) & (F.col("_nth") == F.col("_share")))
-    both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))))
-    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
+    one, two, one_of, two_of, size, taken, nth, share, copy = fresh(columns, "one", "two", "one_of", "two_of", "size", "taken", "nth", "share", "copy")
+    first, second = _identity(docs)
+    tagged = docs.withColumns({one: first, two: second})
+    shares = mix(tagged, seed, more=(one, two)).select(F.col(one).alias(one_of), F.col(two).alias(two_of), F.col("size").alias(size), F.col("taken").alias(taken))
+    shares = shares.withColumn(share, F.row_number().over(Window.partitionBy(one_of, two_of).orderBy(taken))).filter(F.col(taken) > 0)
+    numbered = tagged.withColumn(nth, F.row_number().over(Window.partitionBy(one, two).orderBy(one)))
+    both = numbered.join(shares, (F.col(one) == F.col(one_of)) & (F.col(two) == F.col(two_of)) & (F.col(nth) == F.col(share)))
+    both = both.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col(taken) / F.col(size)))))
+    left = F.col(taken) - (F.col(copy) - 1) * F.col(size)
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    text = F.when(left >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), left.cast("int")), ""))
-    return both.withColumn("text", text).select(*columns)
+    text = F.when(left >= F.col(size), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), left.cast("int")), ""))
+    return both.withColumn("text", text).select(*[F.col(f"`{c}`") for c in columns])

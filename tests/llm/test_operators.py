@@ -140,6 +140,40 @@ def test_mixing_prefers_quality(spark):
     assert good > 2 * poor
 
 
+def test_no_range_holds_much_of_a_source(spark):
+    """Of texts of any kind, words of 3,000 characters among them."""
+    for chars in (5, 12, 40, 3000):
+        rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("x"), chars).alias("text"))
+        draw = -F.log(mixing.uniform(F.col("doc_id"))) / mixing.quality(F.col("text"), mixing.n_words(F.col("text")))
+        most = rows.groupBy(F.floor(F.log2(draw) * mixing.STEPS)).count().agg(F.max("count")).first()[0]
+        assert most < 20_000 * 0.0015
+
+
+def plain_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
+    """Source to target, filling the least limits by weight one after another."""
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    out, left, free = {}, share * sum(sizes.values()), set(order)
+    while free:
+        level = left / sum(w[s] for s in free)
+        full = {s for s in free if most * sizes[s] <= w[s] * level}
+        if not full:
+            return out | {s: w[s] * level for s in free}
+        for s in full:
+            out[s] = most * sizes[s]
+            left -= out[s]
+        free -= full
+    return out
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(3)
+    sizes = {f"site{i}.example": rng.choice([0, 1, 5, 400, 10_000]) for i in range(700)} | {None: 77}
+    rows = spark.createDataFrame([(("=" + s) if s else "", s, n) for s, n in sizes.items()], "key string, source string, source_size long")
+    got = {r.source: r.target for r in mixing.source_targets(rows).collect()}
+    assert got == pytest.approx(plain_targets(sizes))
+
+
 # ---------------------------------------------------------------- neighbours
 
 
