@@ -5,47 +5,60 @@ lower-cased); two link when 9 * overlap >= 4 * (size + size), that is at a Jacca
 similarity of 0.8.  The result has a row per document with its set size, its number of
 links' component and nothing per pair.
 
-1. Equal sets collapse into one class, named by a digest of the set.
+1. Equal sets collapse into one class, named by a 64-bit digest of the set.  A second digest
+   travels along; where it shows that two sets share a name, these get other names and the
+   pass is repeated, so classes are told apart by 128 bits.
 2. A link needs a common shingle among the first size - ceil(0.8 size) + 1 of both sets in
    any order that all share.  The order puts shingles whose hash cell is crowded last: a
    sketch of CELLS counters over all shingles of all documents, of fixed size, tells which.
    Order decides cost alone, never the result.
 3. Within a shingle's list of classes, the smallest digest is its anchor; every class joins
    the groups of its anchors.  Two classes that share a prefix shingle share its anchor's
-   group, and a list adds one row per member, not one per pair.
-4. A group is a signature tree: leaves hold bitmaps of two bits or more a shingle, nodes
+   group, and a list adds one row per member, not one per pair.  Groups are dealt into parts
+   of GROUP members.
+4. Each part is a signature tree: leaves hold bitmaps of two bits or more a shingle, nodes
    the OR of their members' bitmaps, their size range and their largest number of shingles
    beyond one per bit.  A dual traversal drops node pairs whose largest possible overlap is
    too small.  A first pass over bitmaps alone finds the members that have any possible
    partner; only their sets are fetched, and a second pass over the trees intersects them,
-   leaving out node pairs whose members are already connected.  Groups above GROUP members
-   are dealt into parts, and each pair of parts is a task of its own.
-5. Links become components by alternating large-star and small-star rounds.
+   leaving out node pairs whose members are already connected.
+5. Parts of one group then meet.  A few representatives of each component that a group's
+   parts found go through one more tree; that connects groups of near copies, with rows in
+   proportion to the parts.  Members that are in another component than most of their group
+   even so, and only they, meet every other part in a dual traversal of both trees.  All
+   pairs whose members are not connected have then been compared.
+6. Links become components by alternating large-star and small-star rounds.  A node that
+   holds more than a HUBS-th of all edges is dealt over SALTS tasks; there are fewer than
+   HUBS of those.
 
 Defined cases: null, empty and blank texts have size 0 and link with nothing; with fewer
-than five words the whole sequence is one shingle; repeated rows are copies; a null doc_id
-keeps its row, with a null component; an empty table gives no rows; further columns are
-ignored.  Classes are told apart by 64 bits and shingles by 40 bits of their hash.
+than five words the whole sequence is one shingle; a very long text is hashed in pieces;
+repeated rows are copies; rows that share an id are one document, with the links of all; a
+null doc_id keeps its row, with a null component; an empty table gives no rows; further
+columns are ignored by `join` and kept by `keep`.  Shingles are compared by 64 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, chunks, cut, joined, mix
+from .common import WordHasher, chunks, cut, fresh, joined, mix
 
 WIDTH = 5
 CELL_BITS = 20
 BLOCKS = 64  # the sketch travels in so many pieces
 LEAF = 24
 FAN = 4
-GROUP = 2048
+GROUP = 256
 FILTER_BITS = 23
+HELD = 1 << 20  # postings of a bucket and pairs of a home, about; what a task keeps at once
+HUBS, SALTS, LEAST_HUB = 2000, 64, 256
 _FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -79,9 +92,22 @@ class Shingler:
                     yield run[:0]
 
 
-def digest(u: np.ndarray) -> int:
-    """A name of a set of hashes, as a signed 64-bit number."""
-    return int(mix(np.array([mix(u.copy()).sum() + np.uint64(len(u))], dtype=np.uint64)).view(np.int64)[0])
+@dataclass(frozen=True)
+class Namer:
+    """Names of sets of hashes: a digest, and a second one that checks it, as signed 64-bit numbers."""
+
+    shared: frozenset[int] = frozenset()  # names that two sets were found to share
+    bits: int = 64  # of the first digest; fewer in tests
+
+    def __call__(self, u: np.ndarray) -> tuple[int, int]:
+        n = np.uint64(len(u))
+        both = mix(np.array([mix(u.copy()).sum() + n, mix(u * _FACTORS[2] + _FACTORS[3]).sum() + n], dtype=np.uint64))
+        first, check = both.view(np.int64).tolist()
+        name, more = first >> (64 - self.bits), 0
+        while name in self.shared:
+            more += 1
+            name = int(mix(both[:1] + both[1:] * np.uint64(2 * more + 1)).view(np.int64)[0])
+        return name, check
 
 
 def prefix_size(n: int) -> int:
@@ -110,8 +136,8 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def crowding(docs: DataFrame) -> np.ndarray:
-    """log2 of the number of shingles in each of 2 ** CELL_BITS cells, over all documents."""
+def crowding(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """log2 of the number of shingles in each of 2 ** CELL_BITS cells, over all documents, and their sum."""
     each = (1 << CELL_BITS) // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,38 +154,43 @@ def crowding(docs: DataFrame) -> np.ndarray:
             for block, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 sums.setdefault(block, np.zeros(each, dtype=np.uint64))[:] += np.frombuffer(cells.as_buffer(), dtype=np.uint32)
         for block, cells in sums.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "cells": [np.log2(1 + cells).astype(np.uint8).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "cells": [np.log2(1 + cells).astype(np.uint8).tobytes()], "n": [int(cells.sum())]})
 
-    out = np.zeros(1 << CELL_BITS, dtype=np.uint8)
+    out, n = np.zeros(1 << CELL_BITS, dtype=np.uint8), 0
     schema = "block int, cells binary"
-    for r in docs.select("text").mapInArrow(count, schema).repartition(BLOCKS, "block").mapInArrow(total, schema).collect():
+    for r in docs.select("text").mapInArrow(count, schema).repartition(BLOCKS, "block").mapInArrow(total, f"{schema}, n long").collect():
         out[r["block"] * each : (r["block"] + 1) * each] = np.frombuffer(r["cells"], dtype=np.uint8)
-    return out
+        n += r["n"]
+    return out, n
 
 
 # ---------------------------------------------------------------- candidates
 
-_POSTS = "bucket int, doc_id long, n long, cid long, bits binary, tokens binary, cids binary"
-_MET = "doc_id long, n long, cid long, bits binary, home int, anchors binary, members binary"
+_POSTS = "bucket int, doc_id long, n long, cid long, check long, bits binary, tokens binary, cids binary"
+_MET = "doc_id long, n long, cid long, check long, bits binary, home int, anchors binary, members binary"
 
 
-def postings(docs: DataFrame, crowd: np.ndarray, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, crowd: np.ndarray, buckets: int, namer: Namer) -> DataFrame:
     """A row per document, and packed prefix postings, a row per bucket and batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = Shingler(), set()
-        schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("bits", pa.binary()), ("tokens", pa.binary()), ("cids", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("check", pa.int64()), ("bits", pa.binary()), ("tokens", pa.binary()), ("cids", pa.binary())])
         for batch in batches:
-            ids, sizes, cids, bits, tokens, owners = batch.column(0), [], [], [], [], []
+            ids, sizes, cids, checks, bits, tokens, owners = batch.column(0), [], [], [], [], [], []
+            if len(seen) > HELD // 4:
+                seen.clear()
             for h in shingle(_texts(batch, 1)):
                 u = np.unique(h)
                 sizes.append(len(u))
                 if not len(u):
                     cids.append(None)
+                    checks.append(None)
                     bits.append(None)
                     continue
-                name = digest(u)
+                name, check = namer(u)
                 cids.append(name)
+                checks.append(check)
                 bits.append(bitmap(u).tobytes())
                 if name not in seen:
                     seen.add(name)
@@ -171,7 +202,7 @@ def postings(docs: DataFrame, crowd: np.ndarray, buckets: int) -> DataFrame:
             if not n:
                 continue
             home = [((c or 0) + i) % buckets for i, c in enumerate(cids)]  # copies need not meet
-            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(checks, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
             if tokens:
                 t, c = np.concatenate(tokens), np.concatenate(owners)
                 where = ((t & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -181,7 +212,7 @@ def postings(docs: DataFrame, crowd: np.ndarray, buckets: int) -> DataFrame:
                 edges = np.concatenate((np.searchsorted(where, used), [len(where)]))
                 parts = list(zip(edges[:-1], edges[1:], strict=True))
                 null = pa.nulls(len(used), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), null, null, null, pa.nulls(len(used), pa.binary()), pa.array([pack5(t[a:e]) for a, e in parts], pa.binary()), pa.array([c[a:e].tobytes() for a, e in parts], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), null, null, null, null, pa.nulls(len(used), pa.binary()), pa.array([pack5(t[a:e]) for a, e in parts], pa.binary()), pa.array([c[a:e].tobytes() for a, e in parts], pa.binary())], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, _POSTS)
 
@@ -194,77 +225,98 @@ def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
-def meet(posts: DataFrame, partitions: int) -> DataFrame:
-    """The document rows, and (anchor, member) pairs of classes that share a prefix shingle."""
+def stars(tokens: list[bytes], cids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, member) of all classes that share a token, from one bucket's postings."""
+    t, c = unpack5(b"".join(tokens)), np.frombuffer(b"".join(cids), dtype=np.int64)
+    order = np.lexsort((c, t))
+    t, c = t[order], c[order]
+    first = np.ones(len(t), dtype=bool)
+    first[1:] = t[1:] != t[:-1]
+    anchor = c[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    other = c != anchor
+    return unique_pairs(anchor[other], c[other])
 
-    def stars(tokens: list[bytes], cids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        t, c = unpack5(b"".join(tokens)), np.frombuffer(b"".join(cids), dtype=np.int64)
-        order = np.lexsort((c, t))
-        t, c = t[order], c[order]
-        first = np.ones(len(t), dtype=bool)
-        first[1:] = t[1:] != t[:-1]
-        anchor = c[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        other = c != anchor
-        return unique_pairs(anchor[other], c[other])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("bits", pa.binary()), ("home", pa.int32()), ("anchors", pa.binary()), ("members", pa.binary())])
-        at, tokens, cids, found = None, [], [], []
+def meet(posts: DataFrame, partitions: int, homes: int) -> DataFrame:
+    """The document rows, and (anchor, member) pairs of classes that share a prefix shingle, packed by the anchor's home.
 
-        def close():
-            if tokens:
-                found.append(stars(tokens, cids))
-                tokens.clear()
-                cids.clear()
+    A task holds the postings of one bucket and at most about HELD pairs.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("check", pa.int64()), ("bits", pa.binary()), ("home", pa.int32()), ("anchors", pa.binary()), ("members", pa.binary())])
+
+    def packed(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        a, b = unique_pairs(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
+        if not len(a):
+            return
+        # what other tasks find of the same anchor meets at its home
+        home = (mix(a.view(np.uint64).copy()) % np.uint64(homes)).astype(np.int32)
+        order = np.argsort(home, kind="stable")
+        a, b, home = a[order], b[order], home[order]
+        used = np.unique(home)
+        parts = list(zip(np.searchsorted(home, used), np.append(np.searchsorted(home, used[1:]), len(home)), strict=True))
+        null, none = pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary())
+        pack = lambda x: pa.array([x[i:e].tobytes() for i, e in parts], pa.binary())
+        yield pa.RecordBatch.from_arrays([null, null, null, null, none, pa.array(used), pack(a), pack(b)], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tokens, cids, found = None, [], [], []
         for batch in batches:
-            post = batch.column(5).is_valid()
+            post = batch.column(6).is_valid()
             rows = batch.filter(pa.compute.invert(post))
             if rows.num_rows:
                 null = pa.nulls(rows.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), rows.column(3), rows.column(4), pa.nulls(rows.num_rows, pa.int32()), null, null], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in range(1, 6)), pa.nulls(rows.num_rows, pa.int32()), null, null], schema=schema)
             rows = batch.filter(post)
-            for bucket, t, c in zip(rows.column(0).to_pylist(), rows.column(5).to_pylist(), rows.column(6).to_pylist(), strict=True):
-                if bucket != at:
-                    close()
-                    at = bucket
+            for bucket, t, c in zip(rows.column(0).to_pylist(), rows.column(6).to_pylist(), rows.column(7).to_pylist(), strict=True):
+                if bucket != at and tokens:
+                    found.append(stars(tokens, cids))
+                    tokens, cids = [], []
+                    if sum(len(x[0]) for x in found) > HELD:
+                        yield from packed(found)
+                        found = []
+                at = bucket
                 tokens.append(t)
                 cids.append(c)
-        close()
+        if tokens:
+            found.append(stars(tokens, cids))
         if found:
-            a, b = unique_pairs(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
-            if not len(a):
-                return
-            # packed by the anchor's home: what other tasks find of the same pairs meets there
-            home = (a % partitions).astype(np.int32)
-            order = np.argsort(home, kind="stable")
-            a, b, home = a[order], b[order], home[order]
-            used = np.unique(home)
-            parts = list(zip(np.searchsorted(home, used), np.append(np.searchsorted(home, used[1:]), len(home)), strict=True))
-            null = pa.nulls(len(used), pa.int64())
-            pack = lambda x: pa.array([x[i:e].tobytes() for i, e in parts], pa.binary())
-            yield pa.RecordBatch.from_arrays([null, null, null, pa.nulls(len(used), pa.binary()), pa.array(used), pack(a), pack(b)], schema=schema)
+            yield from packed(found)
 
     return posts.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _MET)
 
 
-def distinct_pairs(met: DataFrame, partitions: int) -> DataFrame:
-    """(anchor, cid): each pair that the tasks of `meet` found once, and each anchor with itself."""
+def distinct_pairs(met: DataFrame, partitions: int, group: int) -> DataFrame:
+    """(anchor, part, parts, cid): each pair that the tasks of `meet` found once, and each anchor with itself.
+
+    An anchor's members are dealt into even parts of at most `group`; a task holds one home at a time.
+    """
+
+    def dealt(anchors: list[bytes], members: list[bytes]) -> Iterator[pa.RecordBatch]:
+        a, b = (np.frombuffer(b"".join(x), dtype=np.int64) for x in (anchors, members))
+        own = np.unique(a)
+        a, b = unique_pairs(np.concatenate((a, own)), np.concatenate((b, own)))
+        first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+        size = np.diff(np.append(first, len(a)))
+        nth, parts = np.arange(len(a)) - np.repeat(first, size), np.repeat(-(-size // group), size)
+        columns = {"anchor": a, "part": (nth % parts).astype(np.int32), "parts": parts.astype(np.int32), "cid": b}
+        for i in range(0, len(a), 1 << 16):
+            yield pa.RecordBatch.from_pydict({k: x[i : i + (1 << 16)] for k, x in columns.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, members = [], []
+        at, anchors, members = None, [], []
         for batch in batches:
-            anchors += batch.column(0).to_pylist()
-            members += batch.column(1).to_pylist()
+            for home, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if home != at and anchors:
+                    yield from dealt(anchors, members)
+                    anchors, members = [], []
+                at = home
+                anchors.append(a)
+                members.append(b)
         if anchors:
-            a, b = (np.frombuffer(b"".join(x), dtype=np.int64) for x in (anchors, members))
-            own = np.unique(a)
-            a, b = unique_pairs(np.concatenate((a, own)), np.concatenate((b, own)))
-            for i in range(0, len(a), 1 << 16):
-                yield pa.RecordBatch.from_pydict({"anchor": a[i : i + (1 << 16)], "cid": b[i : i + (1 << 16)]})
+            yield from dealt(anchors, members)
 
-    packed = met.filter("anchors IS NOT NULL").repartition(partitions, "home").select("anchors", "members")
-    return packed.mapInArrow(run, "anchor long, cid long")
+    packed = met.filter("anchors IS NOT NULL").select("home", "anchors", "members").repartition(partitions, "home").sortWithinPartitions("home")
+    return packed.mapInArrow(run, "anchor long, part int, parts int, cid long")
 
 
 def filter_of(ids: DataFrame) -> np.ndarray:
@@ -288,8 +340,8 @@ def filter_of(ids: DataFrame) -> np.ndarray:
     return np.packbits(out)
 
 
-def sets_of(docs: DataFrame, admitted: np.ndarray) -> DataFrame:
-    """cid, members: the packed sets of the documents that the filter admits."""
+def sets_of(docs: DataFrame, admitted: np.ndarray, namer: Namer) -> DataFrame:
+    """doc_id, cid, members: the sets of the documents that the filter admits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
@@ -304,8 +356,8 @@ def sets_of(docs: DataFrame, admitted: np.ndarray) -> DataFrame:
                 u = np.unique(h)
                 if len(u):
                     doc.append(i)
-                    cid.append(digest(u))
-                    members.append(pack5(u))
+                    cid.append(namer(u)[0])
+                    members.append(u.tobytes())
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "cid": pa.array(cid, pa.int64()), "members": pa.array(members, pa.binary())})
 
     return docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, cid long, members binary")
@@ -436,7 +488,13 @@ class Forest:
         return 9 * int((t[at] == s).sum()) >= 4 * (len(s) + len(t))
 
 
-_TASK = "anchor long, i int, j int, part int, cid long"
+# ---------------------------------------------------------------- tasks
+
+#: A task is all rows of one (anchor, i, j).  With j -1 they meet one another; else those of
+#: side 0 meet those of side 1.  Rows of one component are connected beforehand.
+KEY = ("anchor", "i", "j")
+_ABLE = pa.schema([("anchor", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("cid", pa.int64()), ("comp", pa.int64())])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _by_task(solve, schema: pa.Schema):
@@ -468,98 +526,191 @@ def _by_task(solve, schema: pa.Schema):
     return run
 
 
-def _traverse(forest: Forest, at: tuple, parts: list[int]) -> None:
-    _, i, j = at
-    if i == j:
-        forest.within(np.arange(len(parts)))
+def _traverse(forest: Forest, at: tuple, sides: list[int]) -> None:
+    if at[2] < 0:
+        forest.within(np.arange(len(sides)))
     else:
-        part = np.asarray(parts)
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        side = np.asarray(sides)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if len(left) and len(right):
             forest.between(left, right)
 
 
 def possible(tasks: DataFrame) -> DataFrame:
-    """The rows of (anchor, i, j, part, cid, n, bits) that may link with another of their task, without n and bits."""
+    """The rows of (anchor, i, j, side, cid, comp, n, bits) that may link with another of their task, without n and bits."""
 
     def solve(at: tuple, rows: list[tuple]) -> list[list]:
-        forest = Forest([r[2] for r in rows], [np.frombuffer(r[3], dtype=np.uint64) for r in rows])
+        forest = Forest([r[3] for r in rows], [np.frombuffer(r[4], dtype=np.uint64) for r in rows])
         _traverse(forest, at, [r[0] for r in rows])
         kept = [rows[k] for k in np.flatnonzero(forest.flag).tolist()]
-        return [[at[0]] * len(kept), [at[1]] * len(kept), [at[2]] * len(kept), [r[0] for r in kept], [r[1] for r in kept]]
+        return [*([x] * len(kept) for x in at), *([r[c] for r in kept] for c in range(3))]
 
-    schema = pa.schema([("anchor", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.int32()), ("cid", pa.int64())])
-    return tasks.mapInArrow(_by_task(solve, schema), _TASK)
+    return tasks.mapInArrow(_by_task(solve, _ABLE), "anchor long, i int, j int, side int, cid long, comp long")
 
 
 def links(tasks: DataFrame) -> DataFrame:
-    """(a, b): star links that connect what each task of (anchor, i, j, part, cid, members) connects."""
+    """(a, b): chains over representatives of what each task of (anchor, i, j, side, cid, comp, rep, members) connects.
+
+    Chains, not stars: no document gets more than two links from a task.
+    """
 
     def solve(at: tuple, rows: list[tuple]) -> list[list]:
-        sets = [unpack5(r[2]) for r in rows]
-        forest = Forest([len(s) for s in sets], [bitmap(s) for s in sets], sets)
+        sets = [np.frombuffer(r[4], dtype=np.uint64) for r in rows]
+        forest, known = Forest([len(s) for s in sets], [bitmap(s) for s in sets], sets), {}
+        for k, r in enumerate(rows):
+            if r[2] is not None:
+                forest.root[k] = known.setdefault(r[2], k)
         _traverse(forest, at, [r[0] for r in rows])
-        roots = [forest.find(k) for k in range(len(rows))]
-        pairs = [(rows[r][1], rows[k][1]) for k, r in enumerate(roots) if r != k]
-        return [[p[0] for p in pairs], [p[1] for p in pairs]]
+        last: dict[int, tuple[int, set]] = {}  # by root: the latest representative, and the components seen
+        a, b = [], []
+        for k, r in enumerate(rows):
+            comp = k if r[2] is None else ("of", r[2])
+            before, seen = last.get(root := forest.find(k), (None, set()))
+            if comp in seen:
+                continue
+            seen.add(comp)
+            if before is not None:
+                a.append(before)
+                b.append(r[3])
+            last[root] = r[3], seen
+        return [a, b]
+
+    return tasks.mapInArrow(_by_task(solve, _LINKS), "a long, b long")
+
+
+# ---------------------------------------------------------------- components
+
 
-    return tasks.mapInArrow(_by_task(solve, pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long")
+def attach(rows: DataFrame, key: str, spread: str, table: DataFrame, of: str, hubs: list[int]) -> DataFrame:
+    """rows left-joined with `table` on key = of, one table row a key; rows of the hubs are dealt over SALTS tasks by `spread`."""
+    if not hubs:
+        return rows.join(table, F.col(key) == F.col(of), "left")
+    salt, salt_of = fresh([*rows.columns, *table.columns], "salt", "salt_of")
+    salted = rows.withColumn(salt, F.when(F.col(key).isin(hubs), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    every = F.when(F.col(of).isin(hubs), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(table.withColumn(salt_of, F.explode(every)), (F.col(key) == F.col(of)) & (F.col(salt) == F.col(salt_of)), "left").drop(salt, salt_of)
+
+
+def hubs_of(counted: DataFrame, key: str, n: str, total: int) -> list[int]:
+    """Keys with more than a HUBS-th of all rows; fewer than HUBS by their definition."""
+    return [r[0] for r in counted.filter(F.col(n) > max(LEAST_HUB, total // HUBS)).select(key).collect()]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component: the least node of its component, by alternating stars; nodes without edges are left out."""
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        met = both.join(least, "u")
-        if large:
-            return met.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        return met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+    def least(e: DataFrame) -> DataFrame:
+        return e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), "m")
 
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    before = None
+    def hubs(e: DataFrame, key: str) -> list[int]:
+        return hubs_of(e.groupBy(key).count(), key, "count", total) if total > LEAST_HUB else []
+
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
+    before, total = None, e.count()
     while True:
-        e = cut(star(star(e, True), False))
+        # large star: larger neighbours of v go to the least about v; small star: smaller ones of u, and u, to the least
+        e = cut(attach(e, "v", "u", least(e), "of", hubs(e, "v")).select("u", F.coalesce("m", "v").alias("v")).distinct())
+        low = least(e)
+        small = attach(e, "u", "v", low, "of", hubs(e, "u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small.unionByName(low.select(F.col("of").alias("u"), F.col("m").alias("v"))).filter("u != v").distinct())
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == tuple(state):
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = tuple(state)
-
-
-def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
+        before, total = tuple(state), state[0]
+
+
+# ---------------------------------------------------------------- the join
+
+
+class Linker:
+    """Classes of one table and the tasks that link them."""
+
+    def __init__(self, docs: DataFrame, namer: Namer, classes: DataFrame, partitions: int, group: int) -> None:
+        self.docs, self.namer, self.classes, self.partitions, self.group = docs, namer, classes, partitions, group
+
+    def solve(self, tasks: DataFrame) -> DataFrame:
+        """The links that tasks of (anchor, i, j, side, cid, comp) find: (a, b), ids of class representatives."""
+        dealt = lambda df: df.repartition(self.partitions, *KEY).sortWithinPartitions(*KEY)
+        signed = self.classes.select("cid", "n", "bits")
+        able = cut(possible(dealt(tasks.join(signed, "cid").select(*KEY, "side", "cid", "comp", "n", "bits"))))
+        involved = cut(able.select("cid").distinct().join(self.classes.select("cid", "rep"), "cid"))
+        sets = sets_of(self.docs, filter_of(involved.select(F.col("rep").alias("doc_id"))), self.namer)
+        sets = sets.join(involved, "cid").filter("doc_id = rep").select("cid", "rep", "members").dropDuplicates(["cid"])
+        return cut(links(dealt(able.join(sets, "cid").select(*KEY, "side", "cid", "comp", "rep", "members"))))
+
+    def within(self, pairs: DataFrame) -> DataFrame:
+        return self.solve(pairs.select("anchor", F.col("part").alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "cid", F.lit(None).cast("long").alias("comp")))
+
+    def named(self, big: DataFrame, found: DataFrame) -> DataFrame:
+        """big with `comp`: the component of each class by the links found."""
+        labels = components(found)
+        rows = big.join(self.classes.select("cid", "rep"), "cid")
+        return cut(rows.join(labels, F.col("rep") == F.col("node"), "left").select("anchor", "part", "parts", "cid", F.coalesce("component", "rep").alias("comp")))
+
+    def across(self, big: DataFrame, found: DataFrame) -> DataFrame:
+        """The links found, and those between parts of one group."""
+        rows, h = self.named(big, found), F.xxhash64("cid")
+        heads = rows.groupBy("anchor", "comp").agg(F.array_distinct(F.array(F.min("cid"), F.max("cid"), F.min_by("cid", h), F.max_by("cid", h))).alias("cids"))
+        met = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("comps"), F.sum(F.size("cids")).alias("heads"))
+        # some heads of each component; groups of more heads than a part leave it to the second step
+        few = heads.join(met.filter(F.col("comps").between(2, self.group) & (F.col("heads") <= 4 * self.group)), "anchor")
+        tasks = few.select("anchor", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), F.explode("cids").alias("cid"), "comp")
+        found = found.unionByName(self.solve(tasks))
+        rows = self.named(big, found)
+        sizes = rows.groupBy("anchor", "comp").agg(F.count(F.lit(1)).alias("n"))
+        tops = sizes.groupBy("anchor").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), (F.sum("n") - F.max("n")).alias("others")).filter("comps > 1")
+        chunks_of = F.ceil(F.col("others") / F.lit(self.group)).cast("int")
+        open_ = cut(rows.join(tops.select("anchor", "top", chunks_of.alias("chunks")), "anchor"))
+        if open_.isEmpty():
+            return found
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = open_.select("anchor", F.col("part").alias("i"), every("chunks").alias("j"), F.lit(0).alias("side"), "cid", "comp")
+        right = open_.filter("comp != top").withColumn("i", every("parts")).filter("i != part")
+        right = right.select("anchor", "i", F.pmod(h, F.col("chunks")).cast("int").alias("j"), F.lit(1).alias("side"), "cid", "comp")
+        return found.unionByName(self.solve(left.unionByName(right)))
+
+
+def join(docs: DataFrame, group: int = GROUP, name_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`."""
     spark: SparkSession = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = cut(meet(postings(docs, crowding(docs), 4 * partitions), partitions))
-    rows = met.filter("anchors IS NULL").select("doc_id", "n", "cid")
-    classes = rows.filter("cid IS NOT NULL AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"))
-    pairs = cut(distinct_pairs(met, partitions))
-    # groups above the limit are dealt into parts; a member meets each part once
-    sizes = pairs.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-    tasks = pairs.join(sizes, "anchor").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = tasks.select("anchor", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cid")
-    key = ("anchor", "i", "j")
-    dealt = lambda df: df.repartition(partitions, *key).sortWithinPartitions(*key)
-    signed = met.filter("anchors IS NULL").join(classes, "cid").filter("doc_id = rep").select("cid", "n", "bits")
-    able = cut(possible(dealt(tasks.join(signed, "cid").select(*key, "part", "cid", "n", "bits"))))
-    involved = cut(able.select("cid").distinct().join(classes, "cid"))
-    sets = sets_of(docs, filter_of(involved.select(F.col("rep").alias("doc_id")))).join(involved, "cid").filter("doc_id = rep").select("cid", "members").dropDuplicates(["cid"])
-    found = links(dealt(able.join(sets, "cid").select(*key, "part", "cid", "members")))
-    named = found.join(classes.select(F.col("cid").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b")
-    labels = components(cut(named.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
-    best = classes.join(labels, classes["rep"] == labels["node"], "left").select("cid", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(best, "cid", "left")
+    crowd, total = crowding(docs)
+    # a fifth of the shingles are prefix postings; what one bucket or home holds is bounded
+    buckets = max(4 * partitions, total // (5 * HELD))
+    shared: frozenset[int] = frozenset()
+    while True:
+        namer = Namer(shared, name_bits)
+        met = cut(meet(postings(docs, crowd, buckets, namer), partitions, buckets))
+        rows = met.filter("anchors IS NULL").select("doc_id", "n", "cid", "check", "bits")
+        one = rows.filter("cid IS NOT NULL AND doc_id IS NOT NULL").groupBy("cid")
+        classes = cut(one.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("check").alias("low"), F.max("check").alias("high")))
+        clash = {r["cid"] for r in classes.filter("low != high").select("cid").collect()}
+        if not clash:
+            break
+        shared |= clash
+    pairs = cut(distinct_pairs(met, partitions, group))
+    linker = Linker(docs, namer, classes, partitions, group)
+    found = linker.within(pairs)
+    big = pairs.filter("parts > 1")
+    if not big.isEmpty():
+        found = linker.across(big, found)
+    labels = components(found)
+    best = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("cid").alias("of"), F.coalesce("component", "rep").alias("component_id"))
+    n_rows = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    out = attach(rows.select("doc_id", "n", "cid"), "cid", "doc_id", best, "of", hubs_of(classes, "cid", "copies", n_rows))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One row of each component, that with the smallest id; all columns. Rows with a null id stay."""
+    """One row of each component, that with the smallest id; all columns. Rows with a null id stay.
+
+    Of rows that share an id, that with the least (hash of the text, text) stays.
+    """
+    gone, nth = fresh(docs.columns, "gone", "nth")
     found = join(docs)
-    gone = found.filter("doc_id IS NOT NULL AND component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").filter(F.col("doc_id").isNotNull())
-    first = left.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("_nth = 1").drop("_nth")
+    lost = found.filter("doc_id IS NOT NULL AND component_id != doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    left = docs.join(lost, F.col("doc_id").cast("long") == F.col(gone), "left_anti").filter(F.col("doc_id").isNotNull())
+    first = left.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).filter(F.col(nth) == 1).drop(nth)
     return first.unionByName(docs.filter(F.col("doc_id").isNull()))

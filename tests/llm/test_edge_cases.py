@@ -46,6 +46,20 @@ def test_mixing(docs, none):
     assert mixing.emit(none).count() == 0
 
 
+CLASHING = "_row _nth _doc _taken _gone _size _share _share_of _copy _one _two _text key bucket draw rank".split()
+
+
+def test_columns_of_any_name_and_type_stay(docs):
+    """Columns named as the operators name theirs come back as they were, maps among them."""
+    more = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", *[F.concat(F.lit(f"{c}/"), F.col("doc_id").cast("string")).alias(c) for c in CLASHING], F.create_map(F.lit("k"), F.col("doc_id")).alias("m"))
+    for out in (mixing.emit(more), jaccard.keep(more)):
+        assert out.columns == more.columns
+        rows = out.collect()
+        assert rows
+        for r in rows:
+            assert [r[c] for c in CLASHING] == [f"{c}/{r.doc_id}" for c in CLASHING] and r.m == {"k": r.doc_id}
+
+
 def test_emit_takes_what_mix_says(docs):
     want = sum(r.taken for r in mixing.mix(docs).collect())
     got = mixing.emit(docs).select(F.sum(mixing.n_words(F.col("text")))).first()[0]
@@ -62,6 +76,13 @@ def test_jaccard(docs, none):
     assert jaccard.keep(docs).columns == docs.columns
 
 
+def test_rows_that_share_an_id(spark):
+    a, b = "one two three four five six", "another text of some other words altogether"
+    df = spark.createDataFrame([(1, a), (1, b), (2, b + " "), (3, "x y z"), (3, "z y x")], "doc_id long, text string")
+    kept = [sorted(map(tuple, jaccard.keep(d).collect())) for d in (df, df.repartition(3), df.orderBy("text"))]
+    assert [r[0] for r in kept[0]] == [1, 3] and kept[0] == kept[1] == kept[2]
+
+
 def test_jaccard_without_any_words(spark):
     rows = jaccard.join(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.component_id) for r in rows} == {(1, 1), (2, 2)}

@@ -77,14 +77,40 @@ def planted(seed, n):
     return texts
 
 
-@pytest.mark.parametrize("group", [2048, 7])
-def test_jaccard_matches_brute_force(spark, group):
+@pytest.mark.parametrize("group,name_bits", [(256, 64), (7, 64), (3, 6)])
+def test_jaccard_matches_brute_force(spark, group, name_bits):
+    """Groups in many parts, and names that sets share, change nothing."""
     texts = planted(3, 300)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, group=group).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, group=group, name_bits=name_bits).collect()}
     assert got == brute_components(texts)
 
 
+def test_large_groups_that_hold_several_components(spark):
+    """One passage shared by all, so that all are in one group, in families that do not link."""
+    rng = random.Random(12)
+    common = [f"c{k}" for k in range(30)]
+    texts = {}
+    for family in range(12):
+        own = [f"f{family}x{k}" for k in range(rng.choice([20, 60, 160]))]
+        for _ in range(rng.choice([1, 3, 25])):
+            w = common + own
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = f"r{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, group=8).collect()}
+    assert got == brute_components(texts)
+
+
+def test_hubs_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAST_HUB", 3)
+    monkeypatch.setattr(jaccard, "HUBS", 4)
+    edges = [(0, i) for i in range(1, 200)] + [(500, i) for i in range(300, 420)] + [(i, i + 1) for i in range(600, 640)] + [(10, 300)]
+    got = {r.node: r.component for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in [*range(1, 200), *range(300, 420), 500]}, **{i: 600 for i in range(601, 641)}}
+
+
 def test_jaccard_on_the_table(spark, sf_dir):
     texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op2_ngram_jaccard_join(spark, sf_dir).collect()}
@@ -95,7 +121,7 @@ def test_bound_never_prunes_a_link():
     rng = np.random.default_rng(5)
     base = [rng.integers(0, 2**63, size=int(n), dtype=np.uint64) for n in rng.integers(1, 300, size=60)]
     sets = base + [np.concatenate((b[: int(len(b) * 0.95)], rng.integers(0, 2**63, size=2, dtype=np.uint64))) for b in base]
-    sets = [np.unique(s & np.uint64(0xFFFFFFFFFF000000)) for s in sets]
+    sets = [np.unique(s) for s in sets]
     sizes, bits = [len(s) for s in sets], [jaccard.bitmap(s) for s in sets]
     flagged, linked = jaccard.Forest(sizes, bits), jaccard.Forest(sizes, bits, sets)
     every = np.arange(len(sets))
