@@ -22,11 +22,11 @@ links' component and nothing per pair.
    too small.  A first pass over bitmaps alone finds the members that have any possible
    partner; only their sets are fetched, and a second pass over the trees intersects them,
    leaving out node pairs whose members are already connected.
-5. Parts of one group then meet.  A few representatives of each component that a group's
-   parts found go through one more tree; that connects groups of near copies, with rows in
-   proportion to the parts.  Members that are in another component than most of their group
-   even so, and only they, meet every other part in a dual traversal of both trees.  All
-   pairs whose members are not connected have then been compared.
+5. Parts of one group then meet.  A few heads of each component that a part found go through
+   trees of their own, in levels of a part's size; that connects groups of near copies, with
+   rows in proportion to the parts.  Members that are in another component than most of
+   their group even so, and only they, meet every other part in a dual traversal of both
+   trees.  All pairs whose members are not connected have then been compared.
 6. Links become components by alternating large-star and small-star rounds.  A node that
    holds more than a HUBS-th of all edges is dealt over SALTS tasks; there are fewer than
    HUBS of those.
@@ -55,7 +55,9 @@ CELL_BITS = 20
 BLOCKS = 64  # the sketch travels in so many pieces
 LEAF = 24
 FAN = 4
-GROUP = 256
+GROUP = 128
+HEADS = 4  # of a component, where parts of a group meet
+FAN_OUT = 16  # links of a document to a task's other documents, but one
 FILTER_BITS = 23
 HELD = 1 << 20  # postings of a bucket and pairs of a home, about; what a task keeps at once
 HUBS, SALTS, LEAST_HUB = 2000, 64, 256
@@ -490,11 +492,13 @@ class Forest:
 
 # ---------------------------------------------------------------- tasks
 
-#: A task is all rows of one (anchor, i, j).  With j -1 they meet one another; else those of
-#: side 0 meet those of side 1.  Rows of one component are connected beforehand.
+#: A task is all rows of one (anchor, i, j).  With j below 0 they meet one another, and with
+#: j PART heads are left for other parts; else those of side 0 meet those of side 1.  Rows of
+#: one component are connected beforehand.
 KEY = ("anchor", "i", "j")
+WHOLE, PART = -1, -2
 _ABLE = pa.schema([("anchor", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("cid", pa.int64()), ("comp", pa.int64())])
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("anchor", pa.int64()), ("cid", pa.int64()), ("comp", pa.int64()), ("rep", pa.int64()), ("members", pa.binary())])
 
 
 def _by_task(solve, schema: pa.Schema):
@@ -549,9 +553,10 @@ def possible(tasks: DataFrame) -> DataFrame:
 
 
 def links(tasks: DataFrame) -> DataFrame:
-    """(a, b): chains over representatives of what each task of (anchor, i, j, side, cid, comp, rep, members) connects.
+    """What each task of (anchor, i, j, side, cid, comp, rep, members) connects.
 
-    Chains, not stars: no document gets more than two links from a task.
+    Rows (a, b) are links between representatives, as trees of FAN_OUT, so that no document
+    gets many from a task.  Rows with an anchor are the heads of a part's components.
     """
 
     def solve(at: tuple, rows: list[tuple]) -> list[list]:
@@ -561,21 +566,20 @@ def links(tasks: DataFrame) -> DataFrame:
             if r[2] is not None:
                 forest.root[k] = known.setdefault(r[2], k)
         _traverse(forest, at, [r[0] for r in rows])
-        last: dict[int, tuple[int, set]] = {}  # by root: the latest representative, and the components seen
-        a, b = [], []
+        found: dict[int, dict] = {}  # root -> component known before, or row -> rows
         for k, r in enumerate(rows):
-            comp = k if r[2] is None else ("of", r[2])
-            before, seen = last.get(root := forest.find(k), (None, set()))
-            if comp in seen:
-                continue
-            seen.add(comp)
-            if before is not None:
-                a.append(before)
-                b.append(r[3])
-            last[root] = r[3], seen
-        return [a, b]
+            found.setdefault(forest.find(k), {}).setdefault(k if r[2] is None else ("of", r[2]), []).append(k)
+        out = []
+        for parts in found.values():
+            reps = [rows[own[0]][3] for own in parts.values()]
+            out += [(reps[(n - 1) // FAN_OUT], reps[n], None, None, None, None, None) for n in range(1, len(reps))]
+            if at[2] == PART:
+                own = [k for some in parts.values() for k in some]
+                for k in sorted({own[n * (len(own) - 1) // max(1, HEADS - 1)] for n in range(HEADS)}):
+                    out.append((None, None, at[0], rows[k][1], reps[0], rows[k][3], rows[k][4]))
+        return list(zip(*out, strict=True)) if out else [[] for _ in _FOUND]
 
-    return tasks.mapInArrow(_by_task(solve, _LINKS), "a long, b long")
+    return tasks.mapInArrow(_by_task(solve, _FOUND), "a long, b long, anchor long, cid long, comp long, rep long, members binary")
 
 
 # ---------------------------------------------------------------- components
@@ -593,7 +597,11 @@ def attach(rows: DataFrame, key: str, spread: str, table: DataFrame, of: str, hu
 
 def hubs_of(counted: DataFrame, key: str, n: str, total: int) -> list[int]:
     """Keys with more than a HUBS-th of all rows; fewer than HUBS by their definition."""
-    return [r[0] for r in counted.filter(F.col(n) > max(LEAST_HUB, total // HUBS)).select(key).collect()]
+    return [r[0] for r in counted.filter(F.col(n) > hub_size(total)).select(key).collect()]
+
+
+def hub_size(total: int) -> int:
+    return max(LEAST_HUB, total // HUBS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -602,21 +610,27 @@ def components(edges: DataFrame) -> DataFrame:
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), "m")
 
-    def hubs(e: DataFrame, key: str) -> list[int]:
-        return hubs_of(e.groupBy(key).count(), key, "count", total) if total > LEAST_HUB else []
+    def measured(e: DataFrame) -> tuple:
+        """Number of edges and their digest, and the most that one v has."""
+        each = e.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        return tuple(each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first())
 
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    before, total = None, e.count()
+    before, ever = measured(e), False
     while True:
+        total, _, most = before
+        hubs = hubs_of(e.groupBy("v").count(), "v", "count", total) if most > hub_size(total) else []
+        ever = ever or bool(hubs)
         # large star: larger neighbours of v go to the least about v; small star: smaller ones of u, and u, to the least
-        e = cut(attach(e, "v", "u", least(e), "of", hubs(e, "v")).select("u", F.coalesce("m", "v").alias("v")).distinct())
+        e = cut(attach(e, "v", "u", least(e), "of", hubs).select("u", F.coalesce("m", "v").alias("v")).distinct())
+        # a node has no more smaller neighbours than it had larger ones, so no u is a hub before a v is
+        hubs = hubs_of(e.groupBy("u").count(), "u", "count", total) if ever else []
         low = least(e)
-        small = attach(e, "u", "v", low, "of", hubs(e, "u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = attach(e, "u", "v", low, "of", hubs).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low.select(F.col("of").alias("u"), F.col("m").alias("v"))).filter("u != v").distinct())
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == tuple(state):
+        if (now := measured(e)) == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before, total = tuple(state), state[0]
+        before = now
 
 
 # ---------------------------------------------------------------- the join
@@ -628,46 +642,52 @@ class Linker:
     def __init__(self, docs: DataFrame, namer: Namer, classes: DataFrame, partitions: int, group: int) -> None:
         self.docs, self.namer, self.classes, self.partitions, self.group = docs, namer, classes, partitions, group
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.partitions, *KEY).sortWithinPartitions(*KEY)
+
     def solve(self, tasks: DataFrame) -> DataFrame:
-        """The links that tasks of (anchor, i, j, side, cid, comp) find: (a, b), ids of class representatives."""
-        dealt = lambda df: df.repartition(self.partitions, *KEY).sortWithinPartitions(*KEY)
+        """What tasks of (anchor, i, j, side, cid, comp) find, as `links` says it."""
         signed = self.classes.select("cid", "n", "bits")
-        able = cut(possible(dealt(tasks.join(signed, "cid").select(*KEY, "side", "cid", "comp", "n", "bits"))))
+        able = cut(possible(self.dealt(tasks.join(signed, "cid").select(*KEY, "side", "cid", "comp", "n", "bits"))))
         involved = cut(able.select("cid").distinct().join(self.classes.select("cid", "rep"), "cid"))
         sets = sets_of(self.docs, filter_of(involved.select(F.col("rep").alias("doc_id"))), self.namer)
         sets = sets.join(involved, "cid").filter("doc_id = rep").select("cid", "rep", "members").dropDuplicates(["cid"])
-        return cut(links(dealt(able.join(sets, "cid").select(*KEY, "side", "cid", "comp", "rep", "members"))))
+        return cut(links(self.dealt(able.join(sets, "cid").select(*KEY, "side", "cid", "comp", "rep", "members"))))
 
     def within(self, pairs: DataFrame) -> DataFrame:
-        return self.solve(pairs.select("anchor", F.col("part").alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "cid", F.lit(None).cast("long").alias("comp")))
-
-    def named(self, big: DataFrame, found: DataFrame) -> DataFrame:
-        """big with `comp`: the component of each class by the links found."""
-        labels = components(found)
-        rows = big.join(self.classes.select("cid", "rep"), "cid")
-        return cut(rows.join(labels, F.col("rep") == F.col("node"), "left").select("anchor", "part", "parts", "cid", F.coalesce("component", "rep").alias("comp")))
-
-    def across(self, big: DataFrame, found: DataFrame) -> DataFrame:
-        """The links found, and those between parts of one group."""
-        rows, h = self.named(big, found), F.xxhash64("cid")
-        heads = rows.groupBy("anchor", "comp").agg(F.array_distinct(F.array(F.min("cid"), F.max("cid"), F.min_by("cid", h), F.max_by("cid", h))).alias("cids"))
-        met = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("comps"), F.sum(F.size("cids")).alias("heads"))
-        # some heads of each component; groups of more heads than a part leave it to the second step
-        few = heads.join(met.filter(F.col("comps").between(2, self.group) & (F.col("heads") <= 4 * self.group)), "anchor")
-        tasks = few.select("anchor", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), F.explode("cids").alias("cid"), "comp")
-        found = found.unionByName(self.solve(tasks))
-        rows = self.named(big, found)
+        kind = F.when(F.col("parts") > 1, F.lit(PART)).otherwise(F.lit(WHOLE))
+        return self.solve(pairs.select("anchor", F.col("part").alias("i"), kind.alias("j"), F.lit(0).alias("side"), "cid", F.lit(None).cast("long").alias("comp")))
+
+    def meeting(self, found: DataFrame) -> DataFrame:
+        """The links among the heads in `found`, level by level as long as these grow fewer."""
+        heads, out = found.filter("anchor IS NOT NULL"), found.filter("b IS NOT NULL").select("a", "b")
+        n = heads.count()
+        while n:
+            sizes = heads.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / F.lit(HEADS * self.group)).cast("int").alias("parts"))
+            kind = F.when(F.col("parts") > 1, F.lit(PART)).otherwise(F.lit(WHOLE))
+            tasks = heads.join(sizes, "anchor").select("anchor", F.pmod(F.xxhash64("comp"), F.col("parts")).cast("int").alias("i"), kind.alias("j"), F.lit(0).alias("side"), "cid", "comp", "rep", "members")
+            found = cut(links(self.dealt(tasks)))
+            out, heads = out.unionByName(found.filter("b IS NOT NULL").select("a", "b")), found.filter("anchor IS NOT NULL")
+            before, n = n, heads.count()
+            if n > before // 2:
+                break
+        return out
+
+    def across(self, big: DataFrame, labels: DataFrame) -> DataFrame | None:
+        """The links that members outside the largest component of their group have in other parts."""
+        known = big.join(self.classes.select("cid", "rep"), "cid").join(labels, F.col("rep") == F.col("node"), "left")
+        rows = cut(known.select("anchor", "part", "parts", "cid", F.coalesce("component", "rep").alias("comp")))
         sizes = rows.groupBy("anchor", "comp").agg(F.count(F.lit(1)).alias("n"))
         tops = sizes.groupBy("anchor").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), (F.sum("n") - F.max("n")).alias("others")).filter("comps > 1")
         chunks_of = F.ceil(F.col("others") / F.lit(self.group)).cast("int")
-        open_ = cut(rows.join(tops.select("anchor", "top", chunks_of.alias("chunks")), "anchor"))
-        if open_.isEmpty():
-            return found
+        left_open = cut(rows.join(tops.select("anchor", "top", chunks_of.alias("chunks")), "anchor"))
+        if left_open.isEmpty():
+            return None
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = open_.select("anchor", F.col("part").alias("i"), every("chunks").alias("j"), F.lit(0).alias("side"), "cid", "comp")
-        right = open_.filter("comp != top").withColumn("i", every("parts")).filter("i != part")
-        right = right.select("anchor", "i", F.pmod(h, F.col("chunks")).cast("int").alias("j"), F.lit(1).alias("side"), "cid", "comp")
-        return found.unionByName(self.solve(left.unionByName(right)))
+        left = left_open.select("anchor", F.col("part").alias("i"), every("chunks").alias("j"), F.lit(0).alias("side"), "cid", "comp")
+        right = left_open.filter("comp != top").withColumn("i", every("parts")).filter("i != part")
+        right = right.select("anchor", "i", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int").alias("j"), F.lit(1).alias("side"), "cid", "comp")
+        return self.solve(left.unionByName(right)).filter("b IS NOT NULL").select("a", "b")
 
 
 def join(docs: DataFrame, group: int = GROUP, name_bits: int = 64) -> DataFrame:
@@ -692,13 +712,14 @@ def join(docs: DataFrame, group: int = GROUP, name_bits: int = 64) -> DataFrame:
     pairs = cut(distinct_pairs(met, partitions, group))
     linker = Linker(docs, namer, classes, partitions, group)
     found = linker.within(pairs)
+    labels = components(linker.meeting(found))
     big = pairs.filter("parts > 1")
-    if not big.isEmpty():
-        found = linker.across(big, found)
-    labels = components(found)
+    if not big.isEmpty() and (more := linker.across(big, labels)) is not None and not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     best = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("cid").alias("of"), F.coalesce("component", "rep").alias("component_id"))
-    n_rows = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    out = attach(rows.select("doc_id", "n", "cid"), "cid", "doc_id", best, "of", hubs_of(classes, "cid", "copies", n_rows))
+    n_rows, most = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
+    hubs = hubs_of(classes, "cid", "copies", n_rows) if most > hub_size(n_rows) else []
+    out = attach(rows.select("doc_id", "n", "cid"), "cid", "doc_id", best, "of", hubs)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
