@@ -55,7 +55,7 @@ CELL_BITS = 20
 BLOCKS = 64  # the sketch travels in so many pieces
 LEAF = 24
 FAN = 4
-GROUP = 128
+GROUP = 512
 HEADS = 4  # of a component, where parts of a group meet
 FAN_OUT = 16  # links of a document to a task's other documents, but one
 FILTER_BITS = 23
@@ -610,27 +610,23 @@ def components(edges: DataFrame) -> DataFrame:
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), "m")
 
-    def measured(e: DataFrame) -> tuple:
-        """Number of edges and their digest, and the most that one v has."""
-        each = e.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        return tuple(each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first())
+    def settled(e: DataFrame) -> bool:
+        """Whether every node has one smaller neighbour at most, and that one none: then it is the least of the component."""
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up + down > 1").isEmpty()
 
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    before, ever = measured(e), False
-    while True:
-        total, _, most = before
-        hubs = hubs_of(e.groupBy("v").count(), "v", "count", total) if most > hub_size(total) else []
-        ever = ever or bool(hubs)
+    total, hubs = e.count(), set()
+    while not settled(e):
+        if total > LEAST_HUB:
+            # a node has no more smaller neighbours than it had larger ones, so no u is a hub before a v is
+            hubs |= set(hubs_of(e.groupBy("v").count(), "v", "count", total))
         # large star: larger neighbours of v go to the least about v; small star: smaller ones of u, and u, to the least
-        e = cut(attach(e, "v", "u", least(e), "of", hubs).select("u", F.coalesce("m", "v").alias("v")).distinct())
-        # a node has no more smaller neighbours than it had larger ones, so no u is a hub before a v is
-        hubs = hubs_of(e.groupBy("u").count(), "u", "count", total) if ever else []
-        low = least(e)
-        small = attach(e, "u", "v", low, "of", hubs).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = attach(e, "v", "u", least(e), "of", sorted(hubs)).select("u", F.coalesce("m", "v").alias("v"))
+        low = least(large)
+        small = attach(large, "u", "v", low, "of", sorted(hubs)).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low.select(F.col("of").alias("u"), F.col("m").alias("v"))).filter("u != v").distinct())
-        if (now := measured(e)) == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 # ---------------------------------------------------------------- the join
