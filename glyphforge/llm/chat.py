@@ -5,13 +5,15 @@ Input: one row per turn with `conv_id`, `turn`, `role` and `parts`, an array of
 expressions; one shuffle by conversation carries each text once.
 
 Defined cases: a null text, role or parts array is empty; turns are ordered by (turn,
-role, content), nulls first, so ties and repeated rows have one order; a null conv_id is
-a conversation of its own; an empty table gives no rows; further columns are ignored.
+role, text), nulls first, so ties and repeated rows have one order; a null conv_id is a
+conversation of its own; a very long text is a turn like any other; an empty table gives no
+rows; further columns are ignored.
 
 Template, per turn:  <|im_start|>ROLE\\nCONTENT<|im_end|>\\n
 Text may hold any of these control strings.  A backslash is doubled and `<|` becomes
-`<\\|`, so no text can spell a control string; a newline in a role becomes `<\\n>`.
-Both are undone exactly by `unescape` and `unescape_role`.
+`<|\\`, so no text can spell a control string; a newline in a role becomes `<\\n>`.
+Both are undone exactly by `unescape` and `unescape_role`.  Escaped texts sort as the texts
+do, since an escape begins with what it stands for.
 """
 
 from __future__ import annotations
@@ -35,11 +37,11 @@ class Budget:
 
 
 def escape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<|\\"))
 
 
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
+    return F.replace(F.replace(text, F.lit("<|\\"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
 def escape_role(role: Column) -> Column:
@@ -149,7 +151,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Digests computed from the formatted text and its loss mask alone."""
     parsed = formatted.withColumn("p", parse_chat(F.col("formatted")))
     said = F.transform("p", lambda t: F.concat(unescape_role(t["role"]), F.lit("\n"), unescape(t["content"]), F.lit("\n")))
-    masked = F.zip_with("p", "turns", lambda p, t: F.when(t["loss_chars"] > 0, unescape(F.substr(p["segment"], (t["loss_start"] - t["start"] + 1).cast("int"), t["loss_chars"].cast("int")))).otherwise(F.lit("")))
+    # the mask's offsets count from the start of `formatted`, so from where the segment read back begins in it
+    sizes = F.transform("p", lambda t: F.length(t["segment"]).cast("long"))
+    placed = F.transform("p", lambda t, i: F.struct(t["segment"].alias("segment"), F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), lambda n, x: n + x).alias("begins")))
+    masked = F.zip_with(placed, "turns", lambda p, t: F.when(t["loss_chars"] > 0, unescape(F.substr(p["segment"], (t["loss_start"] - p["begins"] + 1).cast("int"), t["loss_chars"].cast("int")))).otherwise(F.lit("")))
     return parsed.select("conv_id", "formatted", "media_tokens", F.size("p").cast("long").alias("n_turns"), F.array_join(said, "").alias("said"), F.array_join(masked, "").alias("loss")).select(
         "conv_id",
         "n_turns",

@@ -1,21 +1,28 @@
 """Language identification by nearest centroid.
 
-A text becomes a vector of hashed byte 1-, 2- and 3-grams of its lower-cased letters (all
-else counts as a space), weighted sqrt(tf) * idf and normalised.  Each language has several
-centroids from spherical k-means over a bounded sample (SAMPLE texts of a language at most,
-of up to LONGEST bytes each; LANGUAGES languages at most); the prediction is the language of the closest by cosine.  A
-text is rejected whose cosine is below REACH of the LOW quantile that the language's samples
-reach when held back from the centroids.  Short texts have low cosines in any language, so
-the quantile is that of samples cut to as many letters, by the steps of SPANS.
+A text becomes a vector of hashed byte 1-, 2- and 3-grams of its lower-cased letters and the
+marks on them (all else counts as a space), weighted sqrt(tf) * idf and normalised.  Each
+language has several centroids from spherical k-means over a bounded sample; the prediction
+is the language of the closest by cosine.  A text is rejected whose cosine is below REACH of
+the LOW quantile that the language's samples reach when held back from the centroids.  Short
+texts have low cosines in any language, so the quantile is that of samples cut to as many
+letters, by the steps of SPANS.
+
+The sample alone is bounded: the LANGUAGES values of `lang` with most texts, SAMPLE texts of
+each and TEXTS of all together, of each text its first LONGEST characters, fewer where all
+would exceed CHARACTERS.  Prediction reads whole texts.
 
 Defined cases: null texts and texts without a letter are `und`, score 0, rejected; a null id
-has held_out false; ties go to the language first by code point; repeated rows agree; an
-empty table gives no rows; a sample without any language makes all rows `und`.
+has held_out false; very long texts are scored whole; ties go to the language first by code
+point; repeated rows agree, and count once in the sample; an empty table gives no rows; a
+sample without any language makes all rows `und`; further columns are kept or ignored
+whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, chunks, joined
+from .common import BASE, chunks, fresh, joined
 
 BITS = 13
 SIZES = (1, 2, 3)
@@ -35,9 +42,11 @@ FOLDS = 5
 LOW = 0.05
 REACH = 0.5
 SPANS = (1, 8, 16, 32, 64, 128)
-LANGUAGES = 1000
+LANGUAGES = 2000
+TEXTS = 20_000
+CHARACTERS = 64 << 20
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 _KEEP = np.zeros(256, dtype=bool)
 _KEEP[0x61:0x7B] = True
 _KEEP[0x80:] = True
@@ -70,8 +79,26 @@ def letters(text: bytes) -> np.ndarray:
     return np.cumsum(_KEEP[np.frombuffer(text, dtype=np.uint8)])
 
 
-def lowered(text: bytes) -> bytes:
-    return text.decode("utf-8", "replace").lower().encode("utf-8", "replace")
+class _Kept(dict):
+    """For str.translate: letters and marks stay, ASCII is left to `counts`, all else becomes a space."""
+
+    def __missing__(self, point: int) -> int:
+        c = chr(point)
+        self[point] = out = point if point < 128 or c.isalpha() or unicodedata.category(c)[0] == "M" else 0x20
+        return out
+
+
+_KEPT = _Kept()
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the general category L is in the text."""
+    return bool(_ASCII_LETTER.search(text)) or not text.isascii() and any(map(str.isalpha, text))
+
+
+def lowered(text: str) -> bytes:
+    text = text.lower()
+    return (text if text.isascii() else text.translate(_KEPT)).encode("utf-8", "replace")
 
 
 @dataclass
@@ -93,8 +120,8 @@ class Model:
             return names, score, rejected
         ready, index = [], []
         for i, t in enumerate(texts):
-            if t is not None and _LETTER.search(s := t.decode("utf-8", "replace")):
-                ready.append(s.lower().encode("utf-8", "replace"))
+            if t is not None and has_letter(s := t.decode("utf-8", "replace")):
+                ready.append(lowered(s))
                 index.append(i)
         for lo, hi in chunks(ready):
             for at in range(lo, hi, 64):  # so many dense rows at once at most
@@ -144,45 +171,47 @@ def reached(model: Model, texts: list[bytes], x: np.ndarray) -> list[float]:
     return out
 
 
-def fit(texts: list[bytes], languages: list[str]) -> Model:
+def fit(texts: list[str], languages: list[str]) -> Model:
+    """Centroids and limits, language by language, so that dense rows are those of one language at most."""
+    model = Model([], np.zeros((0, 1 << BITS), dtype=np.float32), np.ones(1 << BITS, dtype=np.float32), np.zeros((0, len(SPANS))))
     if not texts:
-        return Model([], np.zeros((0, 1 << BITS), dtype=np.float32), np.ones(1 << BITS, dtype=np.float32), np.zeros((0, len(SPANS))))
-    texts = [lowered(t) for t in texts]
-    rows = np.concatenate([counts(texts[at : at + 64]).astype(np.float32) for at in range(0, len(texts), 64)])
-    present = (rows > 0).sum(axis=0)
-    model = Model([], rows[:0], (np.log((1 + len(rows)) / (1 + present)) + 1).astype(np.float32), np.zeros((0, len(SPANS))))
-    x = np.sqrt(rows) * model.idf
-    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
-    names = np.asarray(languages)
+        return model
+    own: dict[str, list[bytes]] = {}
+    for t, language in zip(texts, languages, strict=True):
+        own.setdefault(language, []).append(lowered(t))
+    present = sum((counts(some[at : at + 64]) > 0).sum(axis=0) for some in own.values() for at in range(0, len(some), 64))
+    model.idf = (np.log((1 + len(texts)) / (1 + present)) + 1).astype(np.float32)
     centroids, limits = [], []
-    for language in sorted(set(languages)):
-        own = x[names == language]
-        c = kmeans(own, CENTROIDS)
+    for language in sorted(own):
+        mine = own[language]
+        x = np.concatenate([model.vectors(mine[at : at + 64]) for at in range(0, len(mine), 64)])
+        c = kmeans(x, CENTROIDS)
         centroids.append(c)
         model.languages += [language] * len(c)
-        mine = [texts[i] for i in np.flatnonzero(names == language)]
-        limits += [[REACH * low for low in reached(model, mine, own)]] * len(c)
+        limits += [[REACH * low for low in reached(model, mine, x)]] * len(c)
     model.centroids, model.limit = np.concatenate(centroids), np.asarray(limits)
     return model
 
 
-def sample(docs: DataFrame, allowed: Column) -> tuple[list[bytes], list[str]]:
+def sample(docs: DataFrame, allowed: Column) -> tuple[list[str], list[str]]:
     """A bounded sample of each language's texts, by a hash of the id."""
-    rows = docs.filter(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").filter(F.octet_length("text") <= LONGEST)
+    rows = docs.filter(allowed & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     # a count per language, so that texts need not move to be sampled
-    counted = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(counted) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    counted = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
     if not counted:
         return [], []
-    rate = F.element_at(F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, 1.5 * SAMPLE / r["count"]))]), F.col("lang"))
+    each = min(SAMPLE, max(2, TEXTS // len(counted)))
+    longest = max(256, min(LONGEST, int(CHARACTERS / (1.5 * each * len(counted)))))
+    rate = F.element_at(F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, 1.5 * each / r["count"]))]), F.col("lang"))
     share = (F.xxhash64("doc_id").cast("double") / F.lit(2.0**64)) + F.lit(0.5)
-    some = rows.withColumn("h", share).filter(F.col("h") <= rate).select("lang", "h", F.encode("text", "UTF-8").alias("b")).collect()
+    some = rows.withColumn("h", share).filter(F.col("h") <= rate).select("lang", "h", F.substring("text", 1, longest).alias("t"))
+    # rows that repeat an id meet before they are collected
+    some = some.groupBy("lang", "h").agg(F.min("t").alias("t")).collect()
     texts, names, taken = [], [], {}
-    for r in sorted(some, key=lambda r: (r["lang"], r["h"], bytes(r["b"]))):
-        if taken.get(r["lang"], 0) < SAMPLE and _LETTER.search(bytes(r["b"]).decode("utf-8")):
+    for r in sorted(some, key=lambda r: (r["lang"], r["h"])):
+        if taken.get(r["lang"], 0) < each and has_letter(r["t"]):
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            texts.append(bytes(r["b"]))
+            texts.append(r["t"])
             names.append(r["lang"])
     return texts, names
 
@@ -193,7 +222,7 @@ def train(docs: DataFrame, allowed: Column) -> Model:
 
 def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """`columns` of docs with lang_pred, score and rejected, for every row."""
-    rows = docs.select(*columns, F.col("text").alias("_text"))
+    rows = docs.select(*columns, F.col("text").alias(fresh(columns, "text")))
     schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

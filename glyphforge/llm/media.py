@@ -7,7 +7,8 @@ a binary column.  `write_pcm` stores bytes losslessly as 8-bit mono PCM samples.
 
 Defined cases: null text is empty; an empty payload is padded like any other; equal inputs
 give equal bytes; null media has no packets; media that is cut short or malformed gives one
-row with `error` and no packet; an empty table gives no rows; further columns are ignored.
+row with `error` and no packet; very long texts are stored whole; repeated rows agree; an
+empty table gives no rows; further columns are ignored, or kept by `encode`.
 """
 
 from __future__ import annotations
@@ -28,11 +29,9 @@ EBML, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x1A45DFA3, 0x4282, 0x
 SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 DEFAULT_DURATION, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB, 0x9B
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
-#: Elements whose content is elements.
-MASTERS = frozenset((EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS))
 #: What may follow a cluster of unknown size and so ends it.
 TOP = frozenset((CLUSTER, CUES, INFO, TRACKS, 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367))
 LACINGS = ("none", "xiph", "fixed", "ebml")
@@ -341,13 +340,17 @@ def encode(docs: DataFrame, column: str = "text", media: str = "media") -> DataF
 
 
 _PACKET = "packet integer, track long, timestamp_ns long, byte_offset long, byte_size long, keyframe boolean, cluster integer, block integer, lacing string, error string"
+_CUE = "cue integer, timestamp_ns long, track long, cluster_offset long, error string"
 
 
-def packets(media: DataFrame, id_col: str, column: str) -> DataFrame:
-    """A row per packet of each media value, with the id of its row."""
+def _table(media: DataFrame, id_col: str, column: str, fields: str, rows_of) -> DataFrame:
+    """A row for each of `rows_of` a parsed media value, with the id of its row; errors in the last field."""
     schema = media.select(id_col).schema
-    for part in _PACKET.split(", "):
+    for part in fields.split(", "):
         schema = schema.add(*part.split())
+    width = len(fields.split(", "))
+    types = {"integer": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+    names, kinds = zip(*((n, types[k]) for n, k in (part.split() for part in fields.split(", "))), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,17 +359,22 @@ def packets(media: DataFrame, id_col: str, column: str) -> DataFrame:
                 if b is None:
                     continue
                 try:
-                    parsed = parse(b)
+                    found = rows_of(parse(b))
                 except ValueError as e:
-                    owner.append(i)
-                    rows.append((None,) * 9 + (str(e),))
-                    continue
-                for k, p in enumerate(parsed.packets):
-                    owner.append(i)
-                    rows.append((k, p[0], p[1] * parsed.scale, p[2], p[3], p[4], p[5], p[6], p[7], None))
+                    found = [(None,) * (width - 1) + (str(e),)]
+                owner += [i] * len(found)
+                rows += found
             ids = batch.column(0).take(pa.array(owner, pa.int64()))
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([ids, *columns], names=[id_col, *(c.split()[0] for c in _PACKET.split(", "))])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=[id_col, *names])
 
     return media.select(id_col, column).mapInArrow(run, schema)
+
+
+def packets(media: DataFrame, id_col: str, column: str) -> DataFrame:
+    """A row per packet of each media value, with the id of its row."""
+    return _table(media, id_col, column, _PACKET, lambda m: [(k, p[0], p[1] * m.scale, *p[2:], None) for k, p in enumerate(m.packets)])
+
+
+def cues(media: DataFrame, id_col: str, column: str) -> DataFrame:
+    """A row per cue of each media value: time, track, and the byte at which its cluster begins."""
+    return _table(media, id_col, column, _CUE, lambda m: [(k, c[0] * m.scale, c[1], c[2], None) for k, c in enumerate(m.cues)])

@@ -66,8 +66,10 @@ def tokenizer_file() -> str:
     """The SentencePiece model: the file named by GLYPHFORGE_PIECES, else the installed public one."""
     if path := os.environ.get("GLYPHFORGE_PIECES"):
         return path
-    import public_tokenizers
-
+    try:
+        import public_tokenizers
+    except ImportError as e:
+        raise FileNotFoundError("name a SentencePiece model file in GLYPHFORGE_PIECES") from e
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -101,9 +103,9 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL SELECT -1, 0, 'user', '{HOSTILE}'
             UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}'
         ), e AS (
-            SELECT *, length(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'))
+            SELECT *, length(replace(replace(role, '\\', '\\\\'), '<|', '<|\\'))
                 + 3 * (length(role) - length(replace(role, chr(10), '')))
-                + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|'))
+                + length(replace(replace(text, '\\', '\\\\'), '<|', '<|\\'))
                 + length('<|im_start|>') + length('<|im_end|>') + 2 AS chars
             FROM t
         )

@@ -1,8 +1,8 @@
 """Training-order materialisation: a keyed permutation gives every sequence its global slot.
 
 Documents of tokens are cut into sequences of at most `seq_len` tokens.  Sequences are
-numbered 0 .. N-1 in the order (bucket of the id, id, hash of the tokens, place in the
-document), so the numbering depends on the data alone.  A Feistel network over the smallest
+numbered 0 .. N-1 in the order (bucket of id and tokens, id, hash of the tokens, place in
+the document), so the numbering depends on the data alone.  A Feistel network over the smallest
 even-width binary domain that holds N, walked until it lands below N, maps the number to a
 slot; it is a bijection, so slots are exactly 0 .. N-1 and no two workers need to agree on
 anything but the key.  Slots are dealt by range: shard s holds slots s * per_shard and on,
@@ -10,11 +10,16 @@ each as one record of fixed stride, so record r of a shard starts at r * stride,
 reader resumes at any slot by arithmetic.
 
 Tokens travel once by document, to number them, and once by shard.  Bucket totals (BUCKETS
-numbers) are the only thing that the driver sees.
+numbers) are the only thing that the driver sees; documents without an id, or that share
+one, spread over buckets by their tokens.
+
+Tokens are bytes (a binary column, ids 0 to 255) or ids of a tokenizer (an array of int, as
+`pieces.encode` returns them, with a layout that names its end and padding).
 
 Defined cases: null and empty token strings make one sequence with the end token alone;
-repeated rows are sequences of their own; null ids sort first; an empty table gives no rows;
-further columns are ignored; very long documents make many sequences.
+repeated rows are sequences of their own; null ids sort first and are marked in the record;
+an empty table gives no rows; further columns are ignored, whatever their names; very long
+documents make many sequences.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import mix
 
-BUCKETS = 4096
+BUCKETS = 1 << 15
 ROUNDS = 4
 END, PAD = 256, 257  # after the 256 byte values
 
@@ -59,43 +64,53 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Layout:
-    """Records: doc_id (8 bytes), place (4), number of tokens (4), then seq_len ids of two bytes, little-endian."""
+    """Records: doc_id (8 bytes), place (4), number of tokens (4, the top bit set where the id is null), then seq_len ids of `width` bytes, little-endian."""
 
     seq_len: int = 1024
     per_shard: int = 16384
     key: int = 20240229
+    width: int = 2  # 4 for vocabularies of more than 65,536 ids
+    end: int = END
+    pad: int = PAD
 
     @property
     def stride(self) -> int:
-        return 16 + 2 * self.seq_len
+        return 16 + self.width * self.seq_len
 
     def record(self, doc_id: int | None, place: int, tokens: np.ndarray) -> bytes:
-        head = np.array([-1 if doc_id is None else doc_id], dtype="<i8").tobytes() + np.array([place, len(tokens)], dtype="<i4").tobytes()
-        return head + tokens.astype("<u2").tobytes() + np.full(self.seq_len - len(tokens), PAD, dtype="<u2").tobytes()
+        head = np.array([doc_id or 0], dtype="<i8").tobytes() + np.array([place, len(tokens) | (doc_id is None) << 31], dtype="<u4").tobytes()
+        return head + tokens.astype(f"<u{self.width}").tobytes() + np.full(self.seq_len - len(tokens), self.pad, dtype=f"<u{self.width}").tobytes()
 
-    def read(self, shard: bytes, first_slot: int, slot: int) -> tuple[int, int, np.ndarray]:
+    def read(self, shard: bytes, first_slot: int, slot: int) -> tuple[int | None, int, np.ndarray]:
         """doc_id, place and tokens of a slot of a shard."""
         at = (slot - first_slot) * self.stride
         doc_id = int(np.frombuffer(shard, "<i8", 1, at)[0])
-        place, n = np.frombuffer(shard, "<i4", 2, at + 8).tolist()
-        return doc_id, place, np.frombuffer(shard, "<u2", n, at + 16)
+        place, n = np.frombuffer(shard, "<u4", 2, at + 8).tolist()
+        return None if n >> 31 else doc_id, place, np.frombuffer(shard, f"<u{self.width}", n & 0x7FFFFFFF, at + 16)
 
 
 def sequences(rows: DataFrame, layout: Layout, tokens: Column, id_col: str = "doc_id") -> tuple[DataFrame, int]:
     """(slot, shard, doc_id, place, n_tokens, tokens) in no order, and the number of slots.
 
-    `tokens` is a binary column of byte tokens; the end token follows the last.
+    `tokens` is a binary column of byte tokens, or an array of ids; the end token follows the last.
     """
     session = rows.sparkSession
-    partitions = int(session.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(tokens, F.lit(b"")).alias("tokens"))
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
-    n = F.floor(F.octet_length("tokens") / F.lit(layout.seq_len)) + 1  # with the end token
+    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), tokens.alias("tokens"))
+    if rows.schema["tokens"].dataType.typeName() == "array":
+        rows = rows.select("doc_id", F.coalesce("tokens", F.array().cast("array<int>")).cast("array<int>").alias("tokens"))
+        length = F.size("tokens")
+    else:
+        rows = rows.select("doc_id", F.coalesce("tokens", F.lit(b"")).alias("tokens"))
+        length = F.octet_length("tokens")
+    bucket = F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(BUCKETS)).cast("int")
+    n = F.floor(length / F.lit(layout.seq_len)) + 1  # with the end token
     counts = {r["bucket"]: r["n"] for r in rows.groupBy(bucket.alias("bucket")).agg(F.sum(n.cast("long")).alias("n")).collect()}
     starts, total = np.zeros(BUCKETS, dtype=np.int64), 0
     for k in range(BUCKETS):
         starts[k] = total
         total += counts.get(k, 0)
+    # a task numbers about 128 MB of tokens at most
+    partitions = max(int(session.conf.get("spark.sql.shuffle.partitions")), total * layout.seq_len >> 27)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last = 0, None
@@ -115,6 +130,8 @@ def sequences(rows: DataFrame, layout: Layout, tokens: Column, id_col: str = "do
             number = first[owner] + place
             slot = permute(number, total, layout.key)
             cuts = [texts[o][p * layout.seq_len : (p + 1) * layout.seq_len] for o, p in zip(owner.tolist(), place.tolist(), strict=True)]
+            if texts and isinstance(texts[0], list):
+                cuts = [np.asarray(c, dtype="<u4").tobytes() for c in cuts]
             step = 4096
             for i in range(0, len(owner), step):
                 part = slice(i, i + step)
@@ -137,9 +154,11 @@ def sequences(rows: DataFrame, layout: Layout, tokens: Column, id_col: str = "do
 
 def materialise(rows: DataFrame, layout: Layout = Layout(), tokens: Column | None = None, id_col: str = "doc_id") -> DataFrame:
     """slot, shard, byte_offset, doc_id, place, n_tokens, record: all slots, a task holding whole shards in slot order."""
-    placed, total = sequences(rows, layout, F.encode(F.col("text"), "UTF-8") if tokens is None else tokens, id_col)
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = F.encode(F.col("text"), "UTF-8") if tokens is None else tokens
+    as_ids = rows.select(tokens.alias("t")).schema["t"].dataType.typeName() == "array"
+    placed, total = sequences(rows, layout, tokens, id_col)
     shards = max(1, -(-total // layout.per_shard))
+    partitions = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * layout.stride >> 28)
     # shard numbers are dealt in ranges: task t holds shards t * per_task and on
     per_task = max(1, -(-shards // partitions))
     tasks = max(1, -(-shards // per_task))
@@ -150,9 +169,9 @@ def materialise(rows: DataFrame, layout: Layout = Layout(), tokens: Column | Non
             doc, place, last, cut = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
             size, out = [], []
             for d, p, e, t in zip(doc, place, last, cut, strict=True):
-                ids = np.frombuffer(t, dtype=np.uint8).astype(np.uint16)
+                ids = np.frombuffer(t, dtype="<u4") if as_ids else np.frombuffer(t, dtype=np.uint8).astype(np.uint16)
                 if e:
-                    ids = np.append(ids, np.uint16(END))
+                    ids = np.append(ids, ids.dtype.type(layout.end))
                 size.append(len(ids))
                 out.append(layout.record(d, p, ids))
             slot = batch.column(0).to_numpy()
@@ -182,16 +201,21 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
             store.move(name, f"{root}/shard-{at:08d}.bin")
             return pa.RecordBatch.from_pydict({"shard": [at], "path": [f"{root}/shard-{at:08d}.bin"], "records": [n], "bytes": [size], "crc32": [crc]})
 
-        for batch in batches:
-            for shard, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if shard != at:
-                    if out is not None:
-                        yield close()
-                    at, n, size, crc, name = shard, 0, 0, 0, f"{root}/.shard-{shard:08d}.{os.getpid()}.{os.urandom(4).hex()}"
-                    out = store.open_output_stream(name)
-                out.write(record)
-                n, size, crc = n + 1, size + len(record), zlib.crc32(record, crc)
-        if out is not None:
-            yield close()
+        try:
+            for batch in batches:
+                for shard, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if shard != at:
+                        if out is not None:
+                            yield close()
+                        at, n, size, crc, name = shard, 0, 0, 0, f"{root}/.shard-{shard:08d}.{os.getpid()}.{os.urandom(4).hex()}"
+                        out = store.open_output_stream(name)
+                    out.write(record)
+                    n, size, crc = n + 1, size + len(record), zlib.crc32(record, crc)
+            if out is not None:
+                yield close()
+        finally:  # a failed attempt leaves nothing half written
+            if out is not None and not out.closed:
+                out.close()
+                store.delete_file(name)
 
     return ordered.select("shard", "record").mapInArrow(run, "shard long, path string, records long, bytes long, crc32 long")

@@ -26,7 +26,7 @@ def test_chat_escapes_and_masks(spark):
     assert out.formatted.count("<|im_start|>") == 2 and out.formatted.count("<|im_end|>") == 2
     span = out.turns[1]
     masked = out.formatted[span.loss_start : span.loss_start + span.loss_chars]
-    assert masked.replace("<\\|", "<|").replace("\\\\", "\\") == hostile + "<|audio|><|document|>"
+    assert masked.replace("<|\\", "<|").replace("\\\\", "\\") == hostile + "<|audio|><|document|>"
     assert out.turns[0].loss_chars == 0
     assert "".join(out.formatted[t.start : t.start + t.chars] for t in out.turns) == out.formatted
 
