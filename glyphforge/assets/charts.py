@@ -1,7 +1,7 @@
 """The 371 published language charts, so that the library works without a chart folder.
 
 Charts hold facts about orthographies: which unit is written for which sound.  Sources are
-named in each chart; see NOTICE.  `charts.jsonl` has a chart a line, as published.  Any folder
+named in each chart; see NOTICE.  `charts.jsonl` has a chart a line, without remarks in prose.  Any folder
 of chart files (JSON objects with the same fields) can be given instead, see
 `glyphforge.sources.charts`.
 """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as t
-from ..functions.text import base_letter, chars, is_plain_latin, nfc_str, nfd, nfd_str, normalize_text, script_of
-from ..plans.charts import REPLACEMENT, Spec, is_readable, is_single_phoneme
+from ..functions.text import base_letter, chars, clean_ipa, nfc, nfd, normalize_text, script_of, tie_affricates
+from ..plans.charts import REPLACEMENT, Spec
 from ..sources.charts import Catalog, bundled, chart_examples, chart_table, diacritic_rules, grapheme_rules
 from . import proxy
-from .segment import G2P, Segmenter, convert
+from .segment import Segmenter, convert, convert_by_language
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,18 +45,34 @@ def base_votes(votes: DataFrame) -> DataFrame:
     return votes.withColumn("base", base_letter(F.col("grapheme"))).groupBy("ipa", "base").agg(F.sum("votes").alias("votes"))
 
 
-def shared_tables(winners: DataFrame) -> DataFrame:
-    """ipa, grapheme, direction: what the shared spelling writes, and of what it reads the commonest sound.
+def single_phoneme(sound: Column) -> Column:
+    """`is_single_phoneme` as an expression."""
+    letters = F.regexp_replace(tie_affricates(sound), r"[^\p{Ll}\p{Lo}]", "")
+    return (F.length(letters) < 2) | letters.rlike(f"^[^{t.VOWELS}]{{2}}$")
 
-    Sounds that nothing spells in plain letters are left out.
+
+def readable(spelling: Column) -> Column:
+    return spelling.rlike(f"^(?s:.|[^{t.VOWELS}].*|[{t.VOWELS}]*)$")
+
+
+def shared_tables(votes: DataFrame) -> DataFrame:
+    """ipa, grapheme, direction: the shared spelling, as `plans.charts.shared_from_votes` makes it, of (ipa, grapheme, votes).
+
+    A sound is written with the plain spelling that most languages use; a few are written as
+    nothing, and sounds that nothing spells in plain letters are left out.  A spelling is read
+    as the sound with most votes of those that it writes.
     """
-    single = F.udf(lambda s: is_single_phoneme(s), "boolean")  # over one row per distinct sound
-    readable = F.udf(lambda s: is_readable(s), "boolean")
-    usable = winners.filter(is_plain_latin(F.col("grapheme")) & ~F.col("grapheme").isin(*t.PLACEHOLDERS))
-    write = usable.select("ipa", "grapheme", F.lit("write").alias("direction"))
-    best = Window.partitionBy("grapheme").orderBy(F.col("langs").desc(), "ipa")
-    read = usable.filter(single("ipa") & readable("grapheme")).withColumn("nth", F.row_number().over(best)).filter("nth = 1")
-    return write.unionByName(read.select("ipa", "grapheme", F.lit("read").alias("direction")))
+    sounds = votes.groupBy("ipa").agg(F.sum("votes").alias("langs"))
+    usable = votes.filter(F.col("grapheme").rlike("^[a-z]+$") & ~F.col("grapheme").isin(*t.PLACEHOLDERS) & ~F.col("ipa").isin(*t.UNWRITTEN))
+    best = usable.groupBy("ipa").agg(_winner(usable, "grapheme", F.col("grapheme")).alias("grapheme")).join(sounds, "ipa")
+    # of sounds that are one when tied, that with more votes is written
+    order = Window.partitionBy("tied").orderBy(F.col("langs").desc(), "ipa")
+    write = best.withColumn("tied", tie_affricates(F.col("ipa"))).withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    write = write.select(F.col("tied").alias("ipa"), "grapheme").unionByName(votes.sparkSession.createDataFrame([(s, "") for s in t.UNWRITTEN], "ipa string, grapheme string"))
+    first = Window.partitionBy("grapheme").orderBy(F.col("langs").desc(), "ipa")
+    read = best.filter(single_phoneme(F.col("ipa")) & readable(F.col("grapheme"))).withColumn("nth", F.row_number().over(first)).filter("nth = 1")
+    read = read.select(tie_affricates(F.col("ipa")).alias("ipa"), "grapheme", F.lit("read").alias("direction"))
+    return write.withColumn("direction", F.lit("write")).unionByName(read)
 
 
 def vote_report(winners: DataFrame, top: int = 40, rare: int = 50) -> DataFrame:
@@ -67,6 +82,11 @@ def vote_report(winners: DataFrame, top: int = 40, rare: int = 50) -> DataFrame:
     return best.unionByName(alone)
 
 
+def override_counts(merged: DataFrame) -> DataFrame:
+    """replaced, n: how many winners a choice replaced, and how many stayed."""
+    return merged.groupBy("replaced").agg(F.count(F.lit(1)).alias("n"))
+
+
 def override(winners: DataFrame, choices: DataFrame) -> DataFrame:
     """Winners with the spellings of (ipa, choice) where these are given and not '?'."""
     chosen = F.when((F.col("choice") != "?") & (F.col("choice") != ""), F.col("choice"))
@@ -181,10 +201,10 @@ def script_counts(docs: DataFrame, by: str, text: str) -> DataFrame:
 # ---------------------------------------------------------------- proxy fidelity
 
 
-def proxy_fidelity(docs: DataFrame, by: str, text: str) -> DataFrame:
-    """by, sentences, exact, exact_pct, char_pct, non_az: how well the proxy code reads back."""
+def proxy_fidelity(docs: DataFrame, by: str, text: str, write=proxy.encode, read=proxy.decode) -> DataFrame:
+    """by, sentences, exact, exact_pct, char_pct, non_az: how well the proxy code, or another, reads back."""
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(by), normalize_text(F.col(text)).alias("want"))
-    rows = rows.withColumn("mid", proxy.encode(F.col("want"))).withColumn("got", proxy.decode(F.col("mid")))
+    rows = rows.withColumn("mid", write(F.col("want"))).withColumn("got", read(F.col("mid")))
     a, b = chars(F.col("want")), chars(F.col("got"))
     same = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     kept = F.when(F.col("want") == F.col("got"), F.length("want").cast("long")).otherwise(same)
@@ -206,43 +226,35 @@ def worst_fidelity(fidelity: DataFrame, by: str, k: int = 10) -> DataFrame:
 # ---------------------------------------------------------------- chart checks
 
 
-def phoneme_problem(value: str | None) -> str | None:
-    """Why a value is not exactly one sound of the convention, or None."""
-    if not value:
-        return "empty value"
-    if nfc_str(value) != value:
-        return "not composed"
-    if "g" in value:
-        return "ASCII g"
-    if any(c in t.LIGATURES for c in value):
-        return "ligature"
-    segments, vowels = t.CONSONANTS + t.SOUND_VOWELS, t.SOUND_VOWELS
-    rest = nfd_str(value).replace("c\u0327", "ç")
-    if rest[0] not in segments:
-        return "not a segment"
-    if rest[1:2] == t.TIE:
-        if len(rest) < 3:
-            return "dangling tie"
-        if rest[:3] not in t.TIED_PAIRS:
-            return "unexpected tie"
-    at = 3 if rest[1:2] == t.TIE else 1
-    vowel = rest[0] in vowels
-    if rest[at : at + 1] == t.NASAL:
-        if not vowel:
-            return "nasal consonant"
-        at += 1
-    if rest[at : at + 1] and rest[at] in t.SECONDARY:
-        if vowel:
-            return "secondary articulation on a vowel"
-        at += 1
-    return "more than one sound" if at < len(rest) else None
+_SEGMENTS = t.CONSONANTS + t.SOUND_VOWELS
+_TIED = "|".join(t.TIED_PAIRS)
+#: Why a decomposed value is not exactly one sound of the convention: the first pattern that is found tells.
+PROBLEMS = (
+    ("empty value", "^$"),
+    ("ASCII g", "g"),
+    ("ligature", f"[{''.join(t.LIGATURES)}]"),
+    ("not a segment", f"^[^{_SEGMENTS}]"),
+    ("dangling tie", f"^.{t.TIE}$"),
+    ("unexpected tie", f"^(?!{_TIED}).{t.TIE}"),
+    ("nasal consonant", f"^[{t.CONSONANTS}](?:{t.TIE}.)?{t.NASAL}"),
+    ("secondary articulation on a vowel", f"^[{t.SOUND_VOWELS}]{t.NASAL}?[{t.SECONDARY}]"),
+    ("more than one sound", f"^(?!(?:{_TIED}|[{_SEGMENTS}]){t.NASAL}?[{t.SECONDARY}]?$)"),
+)
+
+
+def phoneme_problem(value: Column) -> Column:
+    """Why a value is not exactly one sound of the convention, or null."""
+    plain = F.replace(nfd(F.coalesce(value, F.lit(""))), F.lit("c\u0327"), F.lit("ç"))
+    out = F.when(F.coalesce(value, F.lit("")) == "", PROBLEMS[0][0]).when(nfc(value) != value, "not composed")
+    for reason, pattern in PROBLEMS[1:]:
+        out = out.when(plain.rlike(pattern), reason)
+    return out
 
 
 def convention_issues(spark: SparkSession, catalog: Catalog | None = None) -> DataFrame:
     """lang, unit, value, reason: values that are not one sound, vowel sequences as keys, diacritics that are no nasal."""
-    reason = F.udf(phoneme_problem, "string")  # over chart rows, some dozens a language
     rules = grapheme_rules(spark, catalog)
-    values = rules.select("lang", F.col("grapheme").alias("unit"), F.col("ipa").alias("value"), reason("ipa").alias("reason")).filter("reason IS NOT NULL")
+    values = rules.select("lang", F.col("grapheme").alias("unit"), F.col("ipa").alias("value"), phoneme_problem(F.col("ipa")).alias("reason")).filter("reason IS NOT NULL")
     runs = rules.filter(F.lower("grapheme").rlike(f"^[{t.WRITTEN_VOWELS}]{{2,}}$")).select("lang", F.col("grapheme").alias("unit"), F.col("ipa").alias("value"), F.lit("vowel sequence").alias("reason"))
     marks = diacritic_rules(spark, catalog).filter(~F.col("ipa").isin("", t.NASAL)).select("lang", F.col("mark").alias("unit"), F.col("ipa").alias("value"), F.lit("diacritic value").alias("reason"))
     return values.unionByName(runs).unionByName(marks)
@@ -260,9 +272,8 @@ def chart_issues(spark: SparkSession, catalog: Catalog | None = None, declared:
         sized = chart_table(spark, catalog).select("lang", F.when(page != "", page.cast("int")).alias("page"), F.size("alphabet").alias("got"))
         off = sized.join(declared, "page").filter(F.abs(F.col("num_graphemes") - F.col("got")) > 2)
         out = out.unionByName(off.select("lang", F.lit("alphabet size").alias("issue"), F.concat_ws("/", "got", "num_graphemes").alias("detail")))
-    readers = {c: Spec(catalog.load(c), unknown="mark") for c in catalog.languages()}
-    broken = F.udf(lambda lang, word: bool(word) and REPLACEMENT in Segmenter(readers[lang]).convert(word), "boolean")
-    examples = chart_examples(spark, catalog).filter(broken("lang", "word")).select("lang", F.lit("unmapped example").alias("issue"), F.col("word").alias("detail"))
+    converted = convert_by_language(F.col("word"), F.col("lang"), catalog, unknown="mark")
+    examples = chart_examples(spark, catalog).filter(F.instr(converted, REPLACEMENT) > 0).select("lang", F.lit("unmapped example").alias("issue"), F.col("word").alias("detail"))
     return out.unionByName(examples)
 
 
@@ -298,18 +309,11 @@ def reverse_table(spark: SparkSession, catalog: Catalog | None = None) -> DataFr
     return ranked.groupBy("lang", F.col("ipa_tied").alias("ipa")).agg(F.min_by("grapheme", rank).alias("grapheme"))
 
 
-def composed_reachability(catalog: Catalog | None = None) -> tuple[int, int]:
-    """How many marked keys there are, and how many convert to their own value."""
-    from ..functions.text import clean_str, tie_str
-
-    catalog, n, hit = catalog or bundled(), 0, 0
-    for code in catalog.languages():
-        reader = G2P(code, output="ipa", catalog=catalog)
-        for g, v in catalog.load(code)["graphemes"].items():
-            if re.search("[\u0300-\u036f]", nfd_str(g)):
-                n += 1
-                hit += reader.convert_word(g) == clean_str(tie_str(v))
-    return n, hit
+def composed_reachability(spark: SparkSession, catalog: Catalog | None = None) -> DataFrame:
+    """lang, n, reached: marked keys of each chart, and how many of them convert to their own value."""
+    keys = grapheme_rules(spark, catalog).filter(nfd(F.col("grapheme")).rlike(r"[\x{300}-\x{36f}]"))
+    sound = convert_by_language(F.col("grapheme"), F.col("lang"), catalog, output="ipa")
+    return keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum((sound == clean_ipa(F.col("ipa_tied"))).cast("long")).alias("reached"))
 
 
 def unreachable_letters(spark: SparkSession, attested: DataFrame, catalog: Catalog | None = None) -> DataFrame:
@@ -324,6 +328,21 @@ def unreachable_letters(spark: SparkSession, attested: DataFrame, catalog: Catal
     return reachable.select("lang", "char")
 
 
+def draft_issues(spark: SparkSession, catalog: Catalog | None = None) -> DataFrame:
+    """lang, issue, detail: what a drafted chart must not hold.
+
+    Empty or blank keys, values with an ASCII g, diacritics explained in words, and keys that
+    no text can match because a later key normalises alike.
+    """
+    rules = grapheme_rules(spark, catalog)
+    empty = rules.filter(F.trim("grapheme") == "").select("lang", F.lit("empty key").alias("issue"), F.col("ipa").alias("detail"))
+    ascii_g = rules.filter(F.col("ipa").contains("g")).select("lang", F.lit("ASCII g").alias("issue"), F.concat_ws("=", "grapheme", "ipa").alias("detail"))
+    prose = diacritic_rules(spark, catalog).filter(F.col("ipa").rlike("[A-Za-z]{3}")).select("lang", F.lit("diacritic in words").alias("issue"), F.concat_ws("=", "mark", "ipa").alias("detail"))
+    last = Window.partitionBy("lang", "key_nfd").orderBy(F.col("ord").desc())
+    dead = rules.withColumn("nth", F.row_number().over(last)).filter("nth > 1").select("lang", F.lit("dead key").alias("issue"), F.col("grapheme").alias("detail"))
+    return empty.unionByName(ascii_g).unionByName(prose).unionByName(dead)
+
+
 def prose_leaks(rows: DataFrame, before: str, after: str, words: tuple[str, ...]) -> DataFrame:
     """rows with `leaked`: words of a list that are in the output and not in the input."""
     find = lambda c: F.regexp_extract_all(F.lower(F.col(c)), F.lit(f"({'|'.join(words)})"), F.lit(0))

@@ -191,6 +191,11 @@ def first_chart_per_code(charts: DataFrame, order: str) -> DataFrame:
     return iso.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth")
 
 
+def corpus_charts(corpora: DataFrame, charts: DataFrame, order: str) -> DataFrame:
+    """Corpora by ISO code with the first chart of that code; corpora without a chart are left out."""
+    return corpora.join(first_chart_per_code(charts, order).select(F.col("iso").alias("code"), "lang"), "code")
+
+
 def uncharted(candidates: DataFrame, charts: DataFrame) -> DataFrame:
     """Candidate languages that no chart covers."""
     return candidates.join(charts.select("lang"), "lang", "left_anti")

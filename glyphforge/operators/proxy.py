@@ -19,24 +19,22 @@ from ..functions.text import chars, nfc, nfd
 _D = t.ESCAPE_DIGITS
 
 
+#: The digits of Python's own notation, in the order of the payload's.
+_PLAIN_DIGITS = str.maketrans(_D, "0123456789abcdefghijklmno")
+_DIGITS = 5  # of the largest code point
+
+
 def codepoint_payload(char: str) -> str:
-    n, out = ord(char), ""
-    while n:
-        n, digit = divmod(n, len(_D))
-        out = _D[digit] + out
-    return "zz" + (out or _D[0])
+    digits = "".join(_D[ord(char) // len(_D) ** k % len(_D)] for k in reversed(range(_DIGITS)))
+    return "zz" + (digits.lstrip(_D[0]) or _D[0])
 
 
 def payload_codepoint(payload: str) -> str | None:
-    """The character of a zz payload, or None if it is none."""
-    if len(payload) < 3 or not payload.startswith("zz") or any(c not in _D for c in payload[2:]):
+    """The character of a zz payload, or None if it is none that a text can hold."""
+    if not re.fullmatch(f"zz[{_D}]+", payload):
         return None
-    n = 0
-    for c in payload[2:]:
-        n = n * len(_D) + _D.index(c)
-        if n > 0x10FFFF:
-            return None
-    return chr(n)
+    point = int(payload[2:].translate(_PLAIN_DIGITS), len(_D))
+    return chr(point) if point < 0xD800 or 0xDFFF < point <= 0x10FFFF else None
 
 
 def encode_str(text: str, named: dict[str, str] | None = None) -> str:
@@ -78,7 +76,7 @@ def encode(text: Column, named: dict[str, str] | None = None, decompose: bool =
 
     def payload(c: Column) -> Column:
         n = F.ascii(c).cast("long")
-        digits = [_DIGIT(F.floor(n / F.lit(base**k)) % base) for k in range(4, -1, -1)]
+        digits = [_DIGIT(F.floor(n / F.lit(base**k)) % base) for k in reversed(range(_DIGITS))]
         spelled = F.concat(*digits)
         return F.concat(F.lit("xzz"), F.when(n == 0, F.lit(_D[0])).otherwise(F.regexp_replace(spelled, f"^{_D[0]}+", "")), F.lit("x"))
 
@@ -95,19 +93,23 @@ def decode(text: Column, named: dict[str, str] | None = None, compose: bool = Tr
     """By JVM expressions apart from the composition: escapes are found leftmost first, xx before x...x."""
     back = F.create_map(*[F.lit(x) for p in (named or {}).items() for x in reversed(p)]) if named else None
 
+    def digits(payload: Column) -> Column:
+        """Without leading zeros; more than a code point has are a number too large."""
+        return F.regexp_replace(payload, f"^zz{_D[0]}*", "")
+
     def number(payload: Column) -> Column:
-        digits = F.transform(F.filter(F.split(F.substring(payload, 3, 8), ""), lambda d: d != ""), lambda d: F.instr(F.lit(_D), d) - 1)
-        return F.aggregate(digits, F.lit(0).cast("long"), lambda a, d: a * len(_D) + d)
+        each = F.transform(F.filter(F.split(digits(payload), ""), lambda d: d != ""), lambda d: F.instr(F.lit(_D), d) - 1)
+        return F.aggregate(each, F.lit(0).cast("long"), lambda a, d: a * len(_D) + d)
 
     def one(m: Column) -> Column:
         payload = F.substr(m, F.lit(2), F.length(m) - 2)
-        is_code = payload.rlike(f"^zz[{_D}]{{1,8}}$")
-        n = number(payload)
+        is_code = payload.rlike(f"^zz[{_D}]+$") & (F.length(digits(payload)) <= _DIGITS)
+        n = F.when(is_code, number(payload))
         char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
         out = F.when(m == "xx", F.lit("x")).when(~m.rlike("^x[^x]*x$"), m)
         if back is not None:
             out = out.when(F.element_at(back, payload).isNotNull(), F.element_at(back, payload))
-        return out.when(is_code & (n <= 0x10FFFF), char).otherwise(payload)
+        return out.when(is_code & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF), char).otherwise(payload)
 
     text = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"xx|x[^x]*x|[\s\S]"), F.lit(0)), one), "")
     return nfc(text) if compose else text

@@ -12,6 +12,7 @@ With a column of language codes, charts of all languages travel in the UDF toget
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -131,7 +132,9 @@ class G2P(Segmenter):
 
 
 def g2p(text: str, lang: str, *, sep: str = "", lower: bool = True, **options) -> str:
-    """One string at once; English needs sounds from outside and has no chart here."""
+    """One string at once.  English has no chart here: its text must be sounds, which are brought into convention and cut."""
+    if lang in t.ENGLISH_CODES:
+        return sep.join(english_units_str(text))
     return G2P(lang, **options).convert(text, sep, lower)
 
 
@@ -236,10 +239,30 @@ def unit_inventory(docs, text: str, lang: str, spec: Spec):
     return units.groupBy("lang", "u").agg(F.sum("n").alias("n")).select("lang", nfc(F.col("u")).alias("unit"), "n").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
 
 
+def _counted(docs, text: str, lang: str):
+    """lang, word, n: how often each word of the normalised texts occurs, and each punctuation mark between words."""
+    import unicodedata
+
+    def method():
+        def run(x):
+            out = []
+            for w, is_word in tokenize_str(normalize_str(x)):
+                if is_word:
+                    out.append(w)
+                else:
+                    out += [c for c in w if unicodedata.category(c)[0] == "P"]
+            return out
+
+        return run
+
+    rows = docs.select(F.col(lang).alias("lang"), _per_row(method, "array<string>")(F.col(text)).alias("words"))
+    return rows.select("lang", F.explode_outer("words").alias("word")).filter("word IS NOT NULL").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
 def phoneme_inventory(docs, text: str, lang: str, spec: Spec):
-    """How often each sound or punctuation mark occurs, by `lang`."""
-    rows = docs.select(F.col(lang).alias("lang"), phonemes(F.col(text), spec).alias("units"))
-    return rows.select("lang", F.explode_outer("units").alias("unit")).filter("unit IS NOT NULL").groupBy("lang", "unit").agg(F.count(F.lit(1)).alias("n"))
+    """How often each sound or punctuation mark occurs, by `lang`; words repeat, so they are counted before they are cut."""
+    units = _counted(docs, text, lang).select("lang", "n", F.explode(phonemes(F.col("word"), spec)).alias("unit"))
+    return units.groupBy("lang", "unit").agg(F.sum("n").alias("n"))
 
 
 def english_units(ipa: Column) -> Column:
@@ -250,6 +273,11 @@ def english_units(ipa: Column) -> Column:
     return F.regexp_extract_all(ipa, F.lit(f"{some}|\\S[{java_ranges(((0x300, 0x36F),))}]*"), F.lit(0))
 
 
+def english_units_str(ipa: str) -> list[str]:
+    some = "|".join(sorted(t.ENGLISH_UNITS, key=lambda u: (-len(u), u)))
+    return re.findall(f"{some}|\\S[\u0300-\u036f]*", ipa)
+
+
 def english_normalise(raw: Column) -> Column:
     """IPA of a speech synthesiser in the charts' conventions."""
     out = F.translate(F.translate(raw, "g", "ɡ"), "ˈˌ|", "")

@@ -101,23 +101,21 @@ class Shared:
         return {"code": UNIVERSAL, "graphemes": self.read}
 
 
-def _cores(sound: str) -> list[str]:
-    """Base letters of a sound value, without ties, marks and modifiers."""
-    import unicodedata
-
-    skipped = ("Mn", "Lm", "Cn", "Pc", "Pe", "Pf", "Po", "Ps", "Sm")
-    return [c for c in tie_str(sound) if unicodedata.category(c) not in skipped and unicodedata.category(c) in ("Ll", "Lo")]
+#: A spelling that reads back: one letter, a consonant first, or vowels alone.
+READABLE = re.compile(f"(?s).|[^{t.VOWELS}].*|[{t.VOWELS}]*")
 
 
 def is_single_phoneme(sound: str) -> bool:
-    """At most two core letters, and of two neither a vowel."""
-    cores = _cores(sound)
-    return len(cores) < 2 or len(cores) == 2 and not any(c in t.VOWELS for c in cores)
+    """At most two letters besides ties, marks and modifiers, and of two neither a vowel."""
+    import unicodedata
+
+    letters = "".join(c for c in tie_str(sound) if unicodedata.category(c) in ("Ll", "Lo"))
+    return len(letters) < 2 or bool(re.fullmatch(f"[^{t.VOWELS}]{{2}}", letters))
 
 
 def is_readable(spelling: str) -> bool:
     """No vowel followed by a consonant letter: such spellings would swallow the starts of words."""
-    return len(spelling) < 2 or spelling[0] not in t.VOWELS or all(c in t.VOWELS for c in spelling[1:])
+    return bool(READABLE.fullmatch(spelling))
 
 
 def shared_from_votes(votes: dict[str, dict[str, int]], spell: dict[str, str] | None = None, drop=()) -> Shared:

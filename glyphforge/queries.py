@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import tables as t
-from .functions.text import fold_confusables, normalize_text, relax_aspiration, tie_str, words
+from .functions.text import fold_confusables, normalize_text, relax_aspiration, words
 from .operators import analytics as an
 from .operators import codeswitch as cs
 from .operators import convert as cv
@@ -58,8 +58,17 @@ def values(rows, columns: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(str(x) if isinstance(x, int) else q(x) for x in r) + ')' for r in rows)}) AS v({columns})"
 
 
+def tied_sql(x: str) -> str:
+    """Affricates in one spelling, by nested replacements."""
+    for ligature, tied in t.LIGATURES.items():
+        x = f"replace({x}, {q(ligature)}, {q(tied)})"
+    for a, b in t.PAIRS:
+        x = f"regexp_replace({x}, '{a}([\u0300-\u0360\u0362-\u036f]*){b}', '{a}\\1{t.TIE}{b}', 'g')"
+    return x
+
+
 _BUNDLED = ch.bundled()
-_RULES = values([(c, i, g, v, tie_str(v)) for c in _BUNDLED.languages() for i, (g, v) in enumerate(_BUNDLED.charts[c]["graphemes"].items())], "lang, ord, grapheme, ipa, ipa_tied")
+_RULES = f"""(SELECT *, {tied_sql("ipa")} AS ipa_tied FROM {values([(c, i, g, v) for c in _BUNDLED.languages() for i, (g, v) in enumerate(_BUNDLED.charts[c]["graphemes"].items())], "lang, ord, grapheme, ipa")})"""
 _ALPHABET = values([(c, i, u) for c in _BUNDLED.languages() for i, u in enumerate(_BUNDLED.charts[c]["alphabet"])], "lang, pos, unit")
 _LATIN = values([(c, i, u) for c in _BUNDLED.languages() for i, u in enumerate((_BUNDLED.charts[c].get("scripts") or {}).get("latin") or [])], "lang, pos, unit")
 
@@ -134,7 +143,16 @@ def confusable_fold(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.sha2(fold_confusables(F.col("text")), 256).alias("h"))
 
 
-@query("grapheme_convert_swh")
+def _grapheme_sql(lang: str, sep: str) -> str:
+    """doc_id, s: the text with the units of its words joined by `sep`; for charts whose keys bear no marks."""
+    keys = alternatives(spec(lang).keys)
+    unit = f"CASE WHEN regexp_matches(strip_accents(u), '^(?:{keys})') THEN u ELSE strip_accents(u) END"
+    units = f"list_filter(list_transform(regexp_extract_all(w, '(?:{keys})\\p{{M}}*|[^\\p{{M}}]\\p{{M}}*'), lambda u: {unit}), lambda u: u <> '')"
+    each = f"CASE WHEN regexp_matches(w, '^[\\p{{L}}\\p{{Nl}}\\p{{No}}]') THEN array_to_string({units}, {q(sep)}) ELSE w END"
+    return f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all({NORMAL}, '(?s){WORD}|[^\\p{{L}}\\p{{Nl}}\\p{{No}}]+'), lambda w: {each}), '') AS s FROM documents"
+
+
+@query("grapheme_convert_swh", f"SELECT doc_id, sha256(s) AS h FROM ({_grapheme_sql('swh', ' ')})")
 def grapheme_convert_swh(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.sha2(sg.convert(F.col("text"), spec("swh"), " "), 256).alias("h"))
 
@@ -277,9 +295,33 @@ def proxy_fidelity_buckets(spark, sf_dir):
     return an.fidelity_buckets(an.proxy_fidelity(docs(spark, sf_dir), "lang", "text"))
 
 
-# ---------------------------------------------------------------- conversion
+_ASCII = f"""SELECT lang, n, regexp_replace(n, '[^\\x00-\\x7F]', '', 'g') AS got FROM (SELECT lang, {NORMAL} AS n FROM documents)"""
+_ASCII_FIDELITY = f"""SELECT lang, count(*) AS sentences, count(*) FILTER (n = got) AS exact, round(100.0 * count(*) FILTER (n = got) / count(*), 1)::DOUBLE AS exact_pct,
+        round(100.0 * sum(CASE WHEN n = got THEN length(n) ELSE len(list_filter(range(1, length(got) + 1), lambda i: a[i] = b[i])) END) / sum(length(n)), 1)::DOUBLE AS char_pct,
+        sum(len(regexp_extract_all(got, '[A-Z]')))::BIGINT AS non_az
+    FROM (SELECT *, regexp_extract_all(n, '(?s).') AS a, regexp_extract_all(got, '(?s).') AS b FROM ({_ASCII})) GROUP BY lang"""
+
+
+def _ascii_fidelity(spark, sf_dir):
+    """Of a coder that loses what is not ASCII."""
+    return an.proxy_fidelity(docs(spark, sf_dir), "lang", "text", lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", ""), lambda c: c)
+
+
+@query("ascii_fidelity", _ASCII_FIDELITY)
+def ascii_fidelity(spark, sf_dir):
+    return _ascii_fidelity(spark, sf_dir)
 
 
+@query(
+    "ascii_fidelity_buckets",
+    f"SELECT CASE WHEN exact_pct >= 100 THEN '100' WHEN exact_pct >= 95 THEN '95-100' WHEN exact_pct >= 80 THEN '80-95' WHEN exact_pct >= 50 THEN '50-80' ELSE '<50' END AS bucket, count(*) AS n, round(avg(exact_pct), 1) AS mean FROM ({_ASCII_FIDELITY}) GROUP BY bucket",
+)
+def ascii_fidelity_buckets(spark, sf_dir):
+    return an.fidelity_buckets(_ascii_fidelity(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- conversion
+
 
 @query("universal_passthrough", f"SELECT doc_id, sha256(translate(strip_accents({NORMAL}), {q(t.APOSTROPHES)}, '')) AS h FROM documents")
 def universal_passthrough(spark, sf_dir):
@@ -306,12 +348,17 @@ def universal_ipa(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.sha2(cv.to_ipa_column(F.col("text"), "dyu"), 256).alias("h"))
 
 
+_REVERSE = f"""SELECT r.lang, r.ipa_tied AS ipa, min_by(r.grapheme, (coalesce(a.pos, 1000000), CASE WHEN a.pos IS NULL THEN coalesce(l.pos, 1000000) ELSE 0 END, length(r.grapheme), r.grapheme)) AS grapheme
+        FROM (SELECT * FROM {_RULES}) r LEFT JOIN (SELECT * FROM {_ALPHABET}) a ON a.lang = r.lang AND a.unit = r.grapheme LEFT JOIN (SELECT * FROM {_LATIN}) l ON l.lang = r.lang AND l.unit = r.grapheme
+        GROUP BY r.lang, r.ipa_tied"""
+
+
 def _from_ipa_sql(lang: str) -> str:
     table = {k: v for k, v in _BUNDLED.spelling(lang).items() if k}
     keys = "|".join(sorted(table, key=lambda k: (-len(k), k))).replace("'", "''")
     return f"""SELECT doc_id, sha256(string_agg(coalesce(g, p), '' ORDER BY i)) AS h FROM (
         SELECT doc_id, unnest(range(1, len(u) + 1)) AS i, unnest(u) AS p FROM (SELECT doc_id, regexp_extract_all(nfc_normalize(lower(text)), '(?s){keys}|.') AS u FROM documents))
-        LEFT JOIN (SELECT * FROM {values(table.items(), "k, g")}) ON k = p GROUP BY doc_id"""
+        LEFT JOIN (SELECT ipa AS k, grapheme AS g FROM ({_REVERSE}) WHERE lang = '{lang}' AND ipa <> '') ON k = p GROUP BY doc_id"""
 
 
 @query("from_ipa", _from_ipa_sql("dyu"))
@@ -398,9 +445,24 @@ def vote_report(spark, sf_dir):
     return an.vote_report(an.vote_winners(an.phoneme_votes(ch.grapheme_rules(spark))))
 
 
-@query("universal_tables")
+def _either(names) -> str:
+    return ", ".join(q(n) for n in names)
+
+
+_BEST = f"""SELECT ipa, grapheme, langs, {tied_sql("ipa")} AS tied FROM (SELECT ipa, {_PICK.format("grapheme", "grapheme")} AS grapheme FROM ({_VOTES})
+        WHERE regexp_full_match(grapheme, '[a-z]+') AND grapheme NOT IN ({_either(t.PLACEHOLDERS)}) AND ipa NOT IN ({_either(t.UNWRITTEN)}) GROUP BY ipa)
+    JOIN (SELECT ipa, sum(votes)::BIGINT AS langs FROM ({_VOTES}) GROUP BY ipa) USING (ipa)"""
+_TABLES = f"""SELECT tied AS ipa, grapheme, 'write' AS direction FROM (SELECT *, row_number() OVER (PARTITION BY tied ORDER BY langs DESC, ipa) AS nth FROM ({_BEST})) WHERE nth = 1
+    UNION ALL SELECT ipa, '', 'write' FROM {values([(x,) for x in t.UNWRITTEN], "ipa")}
+    UNION ALL SELECT tied, grapheme, 'read' FROM (SELECT *, row_number() OVER (PARTITION BY grapheme ORDER BY langs DESC, ipa) AS nth FROM (
+        SELECT *, array_to_string(regexp_extract_all(tied, '[\\p{{Ll}}\\p{{Lo}}]'), '') AS cores FROM ({_BEST}))
+        WHERE (length(cores) < 2 OR regexp_full_match(cores, '[^{t.VOWELS}][^{t.VOWELS}]'))
+            AND (length(grapheme) = 1 OR NOT regexp_matches(grapheme, '^[{t.VOWELS}]') OR regexp_full_match(grapheme, '[{t.VOWELS}]+'))) WHERE nth = 1"""
+
+
+@query("universal_tables", _TABLES)
 def universal_tables(spark, sf_dir):
-    return an.shared_tables(an.vote_winners(an.phoneme_votes(ch.grapheme_rules(spark))))
+    return an.shared_tables(an.phoneme_votes(ch.grapheme_rules(spark)))
 
 
 @query("tie_values", f"SELECT lang, grapheme, ipa, ipa_tied, translate(ipa_tied, '{t.ASPIRATION}', '') AS plain FROM {_RULES}")
@@ -408,17 +470,12 @@ def tie_values(spark, sf_dir):
     return ch.grapheme_rules(spark).select("lang", "grapheme", "ipa", "ipa_tied", relax_aspiration(F.col("ipa_tied")).alias("plain"))
 
 
-@query(
-    "reverse_table",
-    f"""SELECT r.lang, r.ipa_tied AS ipa, min_by(r.grapheme, (coalesce(a.pos, 1000000), CASE WHEN a.pos IS NULL THEN coalesce(l.pos, 1000000) ELSE 0 END, length(r.grapheme), r.grapheme)) AS grapheme
-        FROM (SELECT * FROM {_RULES}) r LEFT JOIN (SELECT * FROM {_ALPHABET}) a ON a.lang = r.lang AND a.unit = r.grapheme LEFT JOIN (SELECT * FROM {_LATIN}) l ON l.lang = r.lang AND l.unit = r.grapheme
-        GROUP BY r.lang, r.ipa_tied""",
-)
+@query("reverse_table", _REVERSE)
 def reverse_table(spark, sf_dir):
     return an.reverse_table(spark)
 
 
-@query("effective_rules", f"SELECT lang, lower(translate(grapheme, {q(''.join(t.CONFUSABLES))}, {q(''.join(t.CONFUSABLES.values()))})) AS key, max_by(ipa_tied, ord) AS ipa_tied FROM {_RULES} GROUP BY ALL")
+@query("effective_rules", f"SELECT lang, nfc_normalize({FOLD % 'lower(grapheme)'}) AS key, max_by(ipa_tied, ord) AS ipa_tied FROM {_RULES} GROUP BY ALL")
 def effective_rules(spark, sf_dir):
     from .functions.text import nfc
 
@@ -436,7 +493,32 @@ def chart_qa_issues(spark, sf_dir):
     return an.chart_issues(spark, least=32)
 
 
-@query("convention_issues")
+_CHART_MARKS = values([(c, m, v) for c in _BUNDLED.languages() for m, v in (_BUNDLED.charts[c].get("diacritics") or {}).items()], "lang, mark, ipa")
+_NFD = f"array_to_string(list_transform(regexp_extract_all(ipa, '(?s).'), lambda c: CASE c WHEN 'ç' THEN c {' '.join(f'WHEN {q(chr(p))} THEN {q(unicodedata.normalize("NFD", chr(p)))}' for p in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if unicodedata.normalize('NFD', chr(p)) != chr(p) and chr(p) != 'ç')} ELSE c END), '')"
+
+
+def _problem_sql() -> str:
+    """The convention in plain string functions: base, tie, nasal, secondary articulation are taken off one after another."""
+    first, tail = "substr(d, 1, 1)", f"CASE WHEN substr(d, 2, 1) = {q(t.TIE)} THEN substr(d, 4) ELSE substr(d, 2) END"
+    inside = lambda x, s: f"(length({x}) > 0 AND position({x} IN {q(s)}) > 0)"
+    rest = f"CASE WHEN substr(r, 1, 1) = {q(t.NASAL)} THEN substr(r, 2) ELSE r END"
+    return f"""SELECT *, CASE WHEN value = '' THEN 'empty value' WHEN nfc_normalize(value) <> value THEN 'not composed'
+            WHEN contains(d, 'g') THEN 'ASCII g' WHEN length(translate(d, {q("".join(t.LIGATURES))}, '')) < length(d) THEN 'ligature'
+            WHEN NOT {inside(first, t.CONSONANTS + t.SOUND_VOWELS)} THEN 'not a segment'
+            WHEN substr(d, 2, 1) = {q(t.TIE)} AND length(d) < 3 THEN 'dangling tie'
+            WHEN substr(d, 2, 1) = {q(t.TIE)} AND substr(d, 1, 3) NOT IN ({_either(t.TIED_PAIRS)}) THEN 'unexpected tie'
+            WHEN substr(r, 1, 1) = {q(t.NASAL)} AND NOT vowel THEN 'nasal consonant'
+            WHEN {inside("substr(r2, 1, 1)", t.SECONDARY)} AND vowel THEN 'secondary articulation on a vowel'
+            WHEN length(r2) > CASE WHEN {inside("substr(r2, 1, 1)", t.SECONDARY)} THEN 1 ELSE 0 END THEN 'more than one sound' END AS reason
+        FROM (SELECT *, {rest} AS r2 FROM (SELECT *, {tail} AS r, {inside(first, t.SOUND_VOWELS)} AS vowel FROM (SELECT lang, grapheme AS unit, ipa AS value, {_NFD} AS d FROM {_RULES})))"""
+
+
+@query(
+    "convention_issues",
+    f"""SELECT lang, unit, value, reason FROM ({_problem_sql()}) WHERE reason IS NOT NULL
+        UNION ALL SELECT lang, grapheme, ipa, 'vowel sequence' FROM {_RULES} WHERE length(grapheme) > 1 AND translate(lower(grapheme), {q(t.WRITTEN_VOWELS)}, '') = ''
+        UNION ALL SELECT lang, mark, ipa, 'diacritic value' FROM {_CHART_MARKS} WHERE ipa NOT IN ('', {q(t.NASAL)})""",
+)
 def convention_issues(spark, sf_dir):
     return an.convention_issues(spark)
 
@@ -451,8 +533,19 @@ def cross_matrix(spark, sf_dir):
     return an.cross_matrix(ch.grapheme_rules(spark), ["dyu", "kus", "swh"])
 
 
-@query("table_files")
+_LINES = values([(lang, i, line) for lang in ("dyu", "swh") for i, line in enumerate(fl.table_lines(lang))], "lang, line_no, value")
+_PLAIN = "replace(replace(replace(replace(replace({0}, '\\\\', chr(1)), '\\t', chr(9)), '\\n', chr(10)), '\\r', chr(13)), chr(1), '\\')"
+
+
+@query(
+    "table_files",
+    f"""SELECT lang, section, {_PLAIN.format("split_part(value, chr(9), 1)")} AS key, CASE WHEN contains(value, chr(9)) THEN {_PLAIN.format("substr(value, position(chr(9) IN value) + 1)")} END AS value
+        FROM (SELECT lang, line_no, value, head, last_value(head IGNORE NULLS) OVER (PARTITION BY lang ORDER BY line_no) AS section
+            FROM (SELECT *, CASE WHEN starts_with(value, '[') AND ends_with(value, ']') THEN substr(value, 2, length(value) - 2) END AS head FROM {_LINES}))
+        WHERE head IS NULL AND section IS NOT NULL AND value <> ''""",
+)
 def table_files(spark, sf_dir):
     return fl.parse_tables(fl.table_rows(spark, ["dyu", "swh"]))
 
 
+from . import sample_queries  # noqa: E402, F401  registers further queries

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ class Catalog:
     def __init__(self, charts: dict[str, dict] | None = None, plain: tuple[str, ...] = (), shared: Shared | None = None, registry: dict[str, dict] | None = None) -> None:
         self.charts = CHARTS if charts is None else charts
         self.declared_plain = frozenset(plain)
-        self._shared, self._registry = shared, registry
+        self._shared, self._registry, self._checked = shared, registry, False
         self._spelling: dict[str, dict[str, str]] = {}
 
     @classmethod
@@ -67,8 +68,13 @@ class Catalog:
 
     @property
     def shared(self) -> Shared:
+        """The shared spelling; one that is given is checked once, and a warning tells what it writes outside a-z."""
         if self._shared is None:
             self._shared = shared_from_votes(self.votes())
+        elif not self._checked:
+            if odd := universal_non_alphabetic(self._shared):
+                warnings.warn(f"the shared spelling writes {len(odd)} sounds outside a-z, such as {next(iter(odd.items()))}", stacklevel=2)
+        self._checked = True
         return self._shared
 
 
@@ -124,11 +130,11 @@ def vote_rows(spark: SparkSession, votes: dict[str, dict[str, int]]) -> DataFram
     return spark.createDataFrame([(i, g, n) for i, counts in votes.items() for g, n in counts.items()], "ipa string, grapheme string, votes long")
 
 
-def universal_non_alphabetic(catalog: Catalog | None = None) -> dict[str, str]:
+def universal_non_alphabetic(shared: Shared | None = None) -> dict[str, str]:
     """Sounds whose shared spelling is no plain a-z text."""
     import re
 
-    return {s: g for s, g in (catalog or bundled()).shared.write.items() if g and not re.fullmatch("[a-z]+", g)}
+    return {s: g for s, g in (shared or bundled().shared).write.items() if g and not re.fullmatch("[a-z]+", g)}
 
 
 # ---------------------------------------------------------------- relations

@@ -21,12 +21,12 @@ PAGE = (
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """file, text of lines whose third field, after two commas, is the text; the head line and empty texts are left out.
 
-    Fields are cut at the first two commas; quotes mean nothing here.
+    Fields are cut at the first two commas; quotes mean nothing here.  The reader itself
+    skips the line at the start of each file, so a file can be read in any number of splits.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.split("value", ",", 3).alias("f"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
-    first = Window.partitionBy("file").orderBy("at", "n")
-    rows = lines.withColumn("nth", F.row_number().over(first)).filter("nth > 1 AND size(f) = 3")
-    return rows.select("file", F.trim(F.col("f")[2]).alias("text")).filter("text != ''")
+    whole = {"header": True, "sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "comment": "\u0000", "enforceSchema": True}
+    lines = spark.read.schema("value string").options(**whole).csv(path).select(F.input_file_name().alias("file"), F.split("value", ",", 3).alias("f"))
+    return lines.filter("size(f) = 3").select("file", F.trim(F.col("f")[2]).alias("text")).filter("text != ''")
 
 
 def corpus_index(files: DataFrame) -> DataFrame:
@@ -45,26 +45,34 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGE).json(path, multiLine=True)
 
 
+def _closed(head: str) -> str:
+    """`head` with its open string and brackets closed."""
+    stack, quoted, skip = [], False, False
+    for c in head:
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = c == "\\", c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "[{":
+            stack.append("]" if c == "[" else "}")
+        elif c in "]}" and stack:
+            stack.pop()
+    return re.sub(r",\s*$", "", head + '"' * quoted) + "".join(reversed(stack))
+
+
 def repair_json(text: str) -> str:
-    """Drop control characters and close what a cut-off answer leaves open."""
+    """Drop control characters; a cut-off answer ends with its last complete object, and what stays open is closed.
+
+    An answer without a complete object keeps as much as can be closed.
+    """
     text = re.sub(r"[\x00-\x08\x0b-\x1f]", "", text)
-    for end in range(len(text), 0, -1):
-        head, stack, quoted, skip = text[:end], [], False, False
-        for c in head:
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "[{":
-                stack.append("]" if c == "[" else "}")
-            elif c in "]}" and stack:
-                stack.pop()
-        fixed = re.sub(r",\s*$", "", head + '"' * quoted) + "".join(reversed(stack))
+    ends = [m.end() for m in re.finditer("}", text)] or range(1, len(text) + 1)
+    for head in (text, *(_closed(text[:end]) for end in reversed(ends))):
         try:
-            json.loads(fixed)
-            return fixed
+            json.loads(head)
+            return head
         except ValueError:
             continue
     raise ValueError("no JSON value in the text")

@@ -29,7 +29,7 @@ def test_votes(spark):
     winners = {r.ipa: r for r in an.vote_winners(votes).collect()}
     assert (winners["ɲ"].grapheme, winners["ɲ"].grapheme_langs, winners["ɲ"].langs) == ("ny", 2, 3)
     assert winners["k"].grapheme == "k"
-    tables = rows(an.shared_tables(an.vote_winners(votes)), "direction", "grapheme", "ipa")
+    tables = rows(an.shared_tables(votes), "direction", "grapheme", "ipa")
     assert ("write", "ae", "ae") in tables and ("read", "ae", "ae") not in tables and not any("V" in x[1] for x in tables)
     choices = spark.createDataFrame([("k", "kk"), ("a", "?")], "ipa string, choice string")
     merged = {r.ipa: (r.grapheme, r.replaced) for r in an.override(an.vote_winners(votes), choices).collect()}
@@ -54,13 +54,16 @@ def test_chart_checks(spark):
     assert rows(an.chart_confidence(spark, CATALOG), "confidence", "n") == [("hand-verified", 1), ("omniglot", 1)]
     attested = spark.createDataFrame([("aa", "á"), ("aa", "ë"), ("aa", "ö"), ("aa", "a")], "lang string, char string")
     assert rows(an.unreachable_letters(spark, attested, CATALOG), "char") == [("ö",)]
-    n, hit = an.composed_reachability()
+    n, hit = an.composed_reachability(spark).selectExpr("sum(n)", "sum(reached)").first()
     assert n and hit / n >= 0.94
 
 
-@pytest.mark.parametrize("value,reason", [("", "empty value"), ("g", "ASCII g"), ("ʧ", "ligature"), ("t͡", "dangling tie"), ("t͡m", "unexpected tie"), ("n\u032a\u0303", "not composed"), ("n\u032a", "more than one sound"), ("m̃", "nasal consonant"), ("aʷ", "secondary articulation on a vowel"), ("ab", "more than one sound"), ("1", "not a segment"), ("ɛ̃", None), ("t͡ʃ", None), ("kʷ", None), ("ç", None)])
-def test_one_sound_convention(value, reason):
-    assert an.phoneme_problem(value) == reason
+PROBLEMS = [("", "empty value"), ("g", "ASCII g"), ("ʧ", "ligature"), ("t͡", "dangling tie"), ("t͡m", "unexpected tie"), ("n\u032a\u0303", "not composed"), ("n\u032a", "more than one sound"), ("m̃", "nasal consonant"), ("aʷ", "secondary articulation on a vowel"), ("ab", "more than one sound"), ("1", "not a segment"), ("ɛ̃", None), ("t͡ʃ", None), ("kʷ", None), ("ç", None)]
+
+
+def test_one_sound_convention(spark):
+    got = spark.createDataFrame(PROBLEMS, "value string, want string").select("want", an.phoneme_problem(F.col("value")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
 
 
 def test_coverage(spark):
@@ -158,7 +161,8 @@ def test_table_files(spark, tmp_path):
 
 def test_lenient_json():
     assert fl.repair_json('{"a": [1, 2, {"b": "c') == '{"a": [1, 2, {"b": "c"}]}'
-    assert fl.repair_json('{"a": 1,\x01 "b"') == '{"a": 1}' or fl.repair_json('{"a": 1,\x01 "b"')
+    assert fl.repair_json('{"a": 1,\x01 "b"') == '{"a": 1}'
+    assert fl.repair_json('{"x": [{"a": 1}, {"a": 2}, {"a":') == '{"x": [{"a": 1}, {"a": 2}]}'
     with pytest.raises(ValueError):
         fl.repair_json("nothing")
 
@@ -191,7 +195,7 @@ def test_side_tables(spark, tmp_path):
     assert shared_from_votes(votes).write["k"] == "k"
     assert rows(an.vote_winners(ch.vote_rows(spark, votes)), "ipa", "grapheme") == [("k", "k")]
     assert ch.universal_non_alphabetic() == {}
-    assert ch.universal_non_alphabetic(ch.Catalog({}, shared=Shared(write={"ʘ": "ʘ", "k": "k"}))) == {"ʘ": "ʘ"}
+    assert ch.universal_non_alphabetic(Shared(write={"ʘ": "ʘ", "k": "k"})) == {"ʘ": "ʘ"}
 
 
 # ---------------------------------------------------------------- streams, SQL, command line
