@@ -32,6 +32,15 @@ def test_unlearned_languages_and_encoded_junk_are_rejected(spark):
     assert model.predict(short)[2].mean() < 0.02
 
 
+def test_a_language_left_out_of_training_is_rejected(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").filter("lang IS NOT NULL AND text IS NOT NULL")
+    for language in ("es", "en"):
+        model = langid.train(docs, F.col("lang") != language)
+        rows = docs.select("lang", "text").collect()
+        rejected = {own: model.predict([r.text.encode() for r in rows if (r.lang == language) == own])[2].mean() for own in (True, False)}
+        assert rejected[True] > 0.95 and rejected[False] < 0.02
+
+
 @pytest.mark.parametrize("config", [classify.TOXICITY, classify.QUALITY])
 def test_scores_do_not_depend_on_neighbours(config):
     rng = random.Random(5)
