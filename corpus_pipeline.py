@@ -1,8 +1,19 @@
 """The corpus pipeline: five stages over `documents`, each a function of its predecessor's rows.
 
 Each stage takes (spark, docs, sf_dir); a stage's result is written and read again as the
-next one's docs.  All but the last return the columns of `documents`.  Models learn from the
-rows that a stage is given, outside the held-out folds of their queries.
+next one's docs.  All but the last return the columns of `documents`, in their order, and
+any further columns that docs has, whatever their names.  Models learn from the rows that a
+stage is given, outside the held-out folds of their queries.
+
+Defined cases, by stage.  Language: texts null, empty or without a letter go; without any
+learned language all rows go.  Quality: texts that score below the threshold go, short ones
+by the words they have; without labels of both classes a warning says so and all rows stay.
+Near duplicates: rows that repeat an id, or a text, leave one; rows without an id stay;
+empty texts are nobody's copies.  Mixing: documents without words, and those beyond their
+source's target, go; a null source is a source; repeated rows are mixed one by one.
+Tokens: every row comes back, with no ids where there is no text.  Very long texts go
+through whole, ties are broken by id, then by text, and an empty table gives an empty table
+at every stage.
 """
 
 from __future__ import annotations
