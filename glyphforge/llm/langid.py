@@ -25,6 +25,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,16 +80,10 @@ def letters(text: bytes) -> np.ndarray:
     return np.cumsum(_KEEP[np.frombuffer(text, dtype=np.uint8)])
 
 
-class _Kept(dict):
-    """For str.translate: letters and marks stay, ASCII is left to `counts`, all else becomes a space."""
-
-    def __missing__(self, point: int) -> int:
-        c = chr(point)
-        self[point] = out = point if point < 128 or c.isalpha() or unicodedata.category(c)[0] == "M" else 0x20
-        return out
-
-
-_KEPT = _Kept()
+@lru_cache(maxsize=None)
+def kept(c: str) -> bool:
+    """Letters and marks stay; ASCII is left to `counts`."""
+    return c.isascii() or c.isalpha() or unicodedata.category(c)[0] == "M"
 
 
 def has_letter(text: str) -> bool:
@@ -98,7 +93,11 @@ def has_letter(text: str) -> bool:
 
 def lowered(text: str) -> bytes:
     text = text.lower()
-    return (text if text.isascii() else text.translate(_KEPT)).encode("utf-8", "replace")
+    if not text.isascii():
+        for c in set(text):
+            if not kept(c):
+                text = text.replace(c, " ")
+    return text.encode("utf-8", "replace")
 
 
 @dataclass
