@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +51,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's URI in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    return f"{re.sub('^file:/+', 'file:///', root)}/{name}-{uuid.uuid4().hex}"
+
+
+def tree_merged(rows: DataFrame, start: Callable[[Iterator[pa.RecordBatch]], bytes | None], join: Callable[[bytes, bytes], bytes], fan: int = 16) -> bytes | None:
+    """One state over all rows: `start` makes one of each partition, `join` merges them by a tree.
+
+    No task and not the driver ever holds more than `fan` states; they merge in the order of
+    their partitions, so reruns agree.  None where no partition has a state.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        if (state := start(batches)) is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "state": pa.array([state], pa.binary())})
+
+    def some(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        states = [r["state"] for r in sorted(table.to_pylist(), key=lambda r: r["part"])]
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "state": pa.array([reduce(join, states)], pa.binary())})
+
+    states = cut(rows.mapInArrow(first, "part long, state binary"))
+    top = states.rdd.getNumPartitions()  # of what is written: nothing runs for it
+    while top > fan:
+        states = states.groupBy(F.expr(f"part div {fan}")).applyInArrow(some, "part long, state binary")
+        top = -(-top // fan)
+    last = [r["state"] for r in sorted(states.collect(), key=lambda r: r["part"])]
+    return reduce(join, last) if last else None
+
+
 def fold(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo `mod`."""
     return F.crc32(F.col(id_col).cast("string")) % mod

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, classify, jaccard, langid, media, mixing, pieces, shards
-from .common import fold, table
+from . import ann, chat, classify, clusters, jaccard, langid, media, mixing, pieces, shards, warc, whiten
+from .common import fold, shared_folder, table
 
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -81,6 +81,19 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.materialise(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whiten.whiten(vectors, whiten.fit(vectors))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -92,10 +105,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_training_order": op10_training_order,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_warc": op13_warc,
 }
 
 _SOURCE_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT"
 
+
+
+def _base32_sql(sha1: str) -> str:
+    """32 letters of 5 bits each, from a hexadecimal SHA-1: five digits of it are four letters."""
+    part = lambda i: f"('0x' || substr({sha1}, {5 * i + 1}, 5))::BIGINT"
+    letter = lambda i, down: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ({part(i)} // {down} % 32 + 1)::BIGINT, 1)"
+    return " || ".join(letter(i, down) for i in range(8) for down in (32768, 1024, 32, 1))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Every round measures all pairs of vectors and centroids."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+            SELECT r, vec_id, x, min_by(c, (d, c)) AS c, min(d) AS d FROM (
+                SELECT v.r, v.vec_id, v.x, m.c, list_sum(list_transform(list_zip(v.x, m.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{k} m
+            ) GROUP BY r, vec_id, x)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (
+            SELECT m.c, coalesce(n.x, m.x) AS x FROM c{k} m LEFT JOIN (
+                SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+                    SELECT c, i, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(x) AS v, unnest(range(1, 65)) AS i FROM a{k}) GROUP BY c, i
+                ) GROUP BY c) n ON n.c = m.c)""")
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+        ), c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), x)::INTEGER - 1 AS c, x FROM v QUALIFY c < 40
+        ), {", ".join(steps)}
+        SELECT vec_id, a.c AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+            sha256(array_to_string(m.x, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} m ON m.c = a.c"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": f"""
         WITH t AS (
@@ -178,4 +229,11 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM k
         )
         SELECT doc_id, size, n AS source_size, target, (epochs * size + greatest(0, least(size, rest - ahead)))::BIGINT AS taken FROM p""",
+    "op12_centroid_clustering": _lloyd_sql(clusters.ROUNDS),
+    "op13_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, strlen(html) AS payload_bytes, {_base32_sql("h")} AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f""",
 }
