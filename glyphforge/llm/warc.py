@@ -48,6 +48,7 @@ RUN = 4096
 HOT_SHARE = 1024
 LEVEL = 3
 READ = 64  # frames in a reader's range
+TASKS = 100_000  # readers, at most
 #: Fixed values of the seekable format: skippable frame, seek table footer.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
@@ -284,7 +285,12 @@ def write(records: DataFrame, folder: str, frame: int = FRAME, bundle: int = BUN
 
 def _ranges(manifest: DataFrame, frames: int = READ) -> DataFrame:
     parts = manifest.select("path", F.explode(F.sequence(F.lit(0), F.col("frames") - 1, F.lit(frames))).alias("lo"), "frames")
-    return parts.select("path", "lo", F.least(F.col("lo") + frames, F.col("frames")).alias("hi")).repartition("path", "lo")
+    # rows are few and small but stand for much: their number, not their bytes, says how many tasks read
+    return parts.select("path", "lo", F.least(F.col("lo") + frames, F.col("frames")).alias("hi")).repartition(_tasks(manifest, F.ceil(F.col("frames") / frames)), "path", "lo")
+
+
+def _tasks(manifest: DataFrame, units: F.Column) -> int:
+    return int(min(TASKS, max(1, manifest.agg(F.sum(units)).first()[0] or 1)))
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -324,7 +330,7 @@ def index(manifest: DataFrame) -> DataFrame:
                 names, frames, offsets, lengths = zip(*opened(path).index(), strict=True)
                 yield pa.RecordBatch.from_pydict({"record_id": names, "path": [path] * len(names), "frame": pa.array(frames, pa.int32()), "offset": pa.array(offsets, pa.int64()), "length": pa.array(lengths, pa.int64())})
 
-    return manifest.filter("records > 0").select("path").repartition("path").mapInArrow(run, "record_id string, path string, frame int, offset long, length long")
+    return manifest.filter("records > 0").select("path").repartition(_tasks(manifest, F.lit(1)), "path").mapInArrow(run, "record_id string, path string, frame int, offset long, length long")
 
 
 def fetch(manifest: DataFrame, ids: DataFrame) -> DataFrame:
@@ -343,7 +349,7 @@ def fetch(manifest: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([names, pa.array(out, pa.binary())], names=["record_id", "record"])
 
     found = index(manifest).join(ids.select("record_id").distinct(), "record_id")
-    return found.select("record_id", "path", "frame", "offset", "length").repartition("path", "frame").sortWithinPartitions("path", "frame", "offset").mapInArrow(run, "record_id string, record binary")
+    return found.select("record_id", "path", "frame", "offset", "length").repartition(_tasks(manifest, F.ceil(F.col("frames") / READ)), "path", "frame").sortWithinPartitions("path", "frame", "offset").mapInArrow(run, "record_id string, record binary")
 
 
 def page_of(name: str) -> F.Column:
