@@ -6,8 +6,9 @@ expressions; one shuffle by conversation carries each text once.
 
 Defined cases: a null text, role or parts array is empty; turns are ordered by (turn,
 role, text), nulls first, so ties and repeated rows have one order; a null conv_id is a
-conversation of its own; a very long text is a turn like any other; an empty table gives no
-rows; further columns are ignored.
+conversation of its own; a very long text is a turn like any other, and a conversation may
+have very many turns (work grows with its length); an empty table gives no rows; further
+columns are ignored.
 
 Template, per turn:  <|im_start|>ROLE\\nCONTENT<|im_end|>\\n
 Text may hold any of these control strings.  A backslash is doubled and `<|` becomes
@@ -151,10 +152,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Digests computed from the formatted text and its loss mask alone."""
     parsed = formatted.withColumn("p", parse_chat(F.col("formatted")))
     said = F.transform("p", lambda t: F.concat(unescape_role(t["role"]), F.lit("\n"), unescape(t["content"]), F.lit("\n")))
-    # the mask's offsets count from the start of `formatted`, so from where the segment read back begins in it
-    sizes = F.transform("p", lambda t: F.length(t["segment"]).cast("long"))
-    placed = F.transform("p", lambda t, i: F.struct(t["segment"].alias("segment"), F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), lambda n, x: n + x).alias("begins")))
-    masked = F.zip_with(placed, "turns", lambda p, t: F.when(t["loss_chars"] > 0, unescape(F.substr(p["segment"], (t["loss_start"] - p["begins"] + 1).cast("int"), t["loss_chars"].cast("int")))).otherwise(F.lit("")))
+    # the mask's offsets count from the start of `formatted`: each turn must begin where the segments read back before it end
+    ends = F.zip_with("turns", "p", lambda t, p: t["start"] + F.length(p["segment"]))
+    nexts = F.concat(F.slice(F.col("turns.start"), F.lit(2), F.size("turns")), F.array(F.length("formatted").cast("long")))
+    fits = (F.col("turns")[0]["start"] == 0) & F.forall(F.zip_with(ends, nexts, lambda e, n: F.coalesce(e == n, F.lit(False))), lambda x: x)
+    masked = F.zip_with("p", "turns", lambda p, t: F.when(t["loss_chars"] > 0, unescape(F.substr(p["segment"], (t["loss_start"] - t["start"] + 1).cast("int"), t["loss_chars"].cast("int")))).otherwise(F.lit("")))
+    masked = F.when(fits, masked)
     return parsed.select("conv_id", "formatted", "media_tokens", F.size("p").cast("long").alias("n_turns"), F.array_join(said, "").alias("said"), F.array_join(masked, "").alias("loss")).select(
         "conv_id",
         "n_turns",
