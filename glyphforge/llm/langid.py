@@ -10,7 +10,7 @@ letters, by the steps of SPANS.
 
 The sample alone is bounded: the LANGUAGES values of `lang` with most texts, SAMPLE texts of
 each and TEXTS of all together, of each text its first LONGEST characters, fewer where all
-would exceed CHARACTERS.  Prediction reads whole texts.
+would exceed CHARACTERS (a warning names languages left out).  Prediction reads whole texts.
 
 Defined cases: null texts and texts without a letter are `und`, score 0, rejected; a null id
 has held_out false; very long texts are scored whole; ties go to the language first by code
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -193,18 +194,25 @@ def fit(texts: list[str], languages: list[str]) -> Model:
 
 
 def sample(docs: DataFrame, allowed: Column) -> tuple[list[str], list[str]]:
-    """A bounded sample of each language's texts, by a hash of the id."""
+    """A bounded sample of each language's texts, by a hash of id and text; of each language at least one."""
     rows = docs.filter(allowed & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
-    # a count per language, so that texts need not move to be sampled
-    counted = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
+    share = (F.xxhash64("doc_id", "text").cast("double") / F.lit(2.0**64)) + F.lit(0.5)
+    rows = rows.withColumn("h", share)
+    # counts of distinct (id, text) by language, so that texts need not move to be sampled and repeats don't thin the rest;
+    # the row with the least hash is always taken, so that no language is lost by chance
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).orderBy(F.col("n").desc(), "lang")
+    counted = found.limit(LANGUAGES + 1).collect()
+    if len(counted) > LANGUAGES:
+        warnings.warn(f"more than {LANGUAGES} values of lang: those with the fewest texts are not learned", stacklevel=2)
+        counted = counted[:LANGUAGES]
     if not counted:
         return [], []
     each = min(SAMPLE, max(2, TEXTS // len(counted)))
     longest = max(256, min(LONGEST, int(CHARACTERS / (1.5 * each * len(counted)))))
-    rate = F.element_at(F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, 1.5 * each / r["count"]))]), F.col("lang"))
-    share = (F.xxhash64("doc_id").cast("double") / F.lit(2.0**64)) + F.lit(0.5)
-    some = rows.withColumn("h", share).filter(F.col("h") <= rate).select("lang", "h", F.substring("text", 1, longest).alias("t"))
-    # rows that repeat an id meet before they are collected
+    rates = {r["lang"]: max(r["least"], min(1.0, 1.5 * each / max(1, r["n"]))) for r in counted}
+    rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
+    some = rows.filter(F.col("h") <= rate).select("lang", "h", F.substring("text", 1, longest).alias("t"))
+    # rows that repeat an id and text meet before they are collected
     some = some.groupBy("lang", "h").agg(F.min("t").alias("t")).collect()
     texts, names, taken = [], [], {}
     for r in sorted(some, key=lambda r: (r["lang"], r["h"])):
