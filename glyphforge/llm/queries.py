@@ -197,7 +197,8 @@ ORACLE_SQL: dict[str, str] = {
         WHERE rank <= 10""",
     "op4_mixing": f"""
         WITH RECURSIVE d AS (
-            SELECT doc_id, source, {_SOURCE_WORDS} AS size, length(coalesce(text, ''))::DOUBLE AS chars FROM documents
+            SELECT doc_id, source, {_SOURCE_WORDS} AS size, length(coalesce(text, ''))::DOUBLE AS chars, md5(coalesce(text, '')) AS digest,
+                row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1 AS nth FROM documents
         ), s AS (
             SELECT source, sum(size)::BIGINT AS n,
                 (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS w
@@ -219,14 +220,14 @@ ORACLE_SQL: dict[str, str] = {
             SELECT source, n, target, least(floor(target + 0.5)::BIGINT, 2 * n) AS budget
             FROM r WHERE step = (SELECT max(step) FROM r)
         ), k AS (
-            SELECT d.doc_id, d.source, d.size, g.n, g.target,
+            SELECT d.doc_id, d.source, d.size, d.digest, d.nth, g.n, g.target,
                 CASE WHEN g.n > 0 THEN g.budget // g.n ELSE 0 END AS epochs,
                 g.budget - CASE WHEN g.n > 0 THEN g.budget // g.n ELSE 0 END * g.n AS rest,
-                -ln((('0x' || substr(md5('{mixing.SEED}/' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496)
+                -ln((('0x' || substr(md5('{mixing.SEED}/' || coalesce(doc_id::VARCHAR, '') || '/' || digest || '/' || nth), 1, 13))::BIGINT + 0.5) / 4503599627370496)
                     / CASE WHEN d.size > 0 THEN 1 / (1 + abs(chars / d.size - 6)) ELSE 1 END AS draw
             FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
         ), p AS (
-            SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM k
+            SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, digest, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM k
         )
         SELECT doc_id, size, n AS source_size, target, (epochs * size + greatest(0, least(size, rest - ahead)))::BIGINT AS taken FROM p""",
     "op12_centroid_clustering": _lloyd_sql(clusters.ROUNDS),
