@@ -142,6 +142,102 @@ def shared_from_votes(votes: dict[str, dict[str, int]], spell: dict[str, str] |
     return out
 
 
+# ---------------------------------------------------------------- letters that a chart leaves out
+
+
+def letter_votes(charts: dict[str, dict], write: dict[str, str]) -> dict[str, dict[str, int]]:
+    """Letter outside ASCII to a-z spelling to number of languages: each chart that has the letter
+    as a key votes for what the shared table writes its sound with."""
+    out: dict[str, dict[str, int]] = {}
+    for chart in charts.values():
+        cast = set()
+        for g, sound in chart["graphemes"].items():
+            letter, spelt = nfc_str(g.lower()), write.get(tie_str(sound))
+            if len(letter) == 1 and not letter.isascii() and spelt is not None:
+                cast.add((letter, spelt))
+        for letter, spelt in cast:
+            counts = out.setdefault(letter, {})
+            counts[spelt] = counts.get(spelt, 0) + 1
+    return out
+
+
+_LETTER_NAME = re.compile(r"(?:LATIN|GREEK|CYRILLIC|COPTIC|ARABIC|HEBREW|NKO|TIFINAGH)\b.*?\b(?:LETTER|LIGATURE|SYMBOL) (?:[A-Z ]*?\b)?([A-Z]+)(?: (?:WITH|FORM|ISOLATED|INITIAL|MEDIAL|FINAL)\b.*)?")
+_SYLLABLE_NAME = re.compile(r".*\b(?:SYLLABLE|LETTER) (?:[A-Z]+ )*?([A-Z]+)")
+_SYLLABIC = ("ETHIOPIC", "VAI", "HIRAGANA", "KATAKANA", "HANGUL", "DEVANAGARI", "BENGALI", "CHEROKEE")
+
+
+def named_spelling(letter: str) -> str:
+    """What the Unicode name of a letter says of its sound; the empty string where it says nothing.
+
+    Syllables are named by what they sound like.  A letter's own name begins with its
+    consonants (BEH, SHEEN), or with a vowel that is the letter (ALEF) unless the name is a
+    vowel before a consonant's sound (EL, EM, YAN), which names the consonant.
+    """
+    import unicodedata
+
+    name = unicodedata.name(letter, "").replace("-", " ")
+    if name.startswith(_SYLLABIC):
+        found = _SYLLABLE_NAME.fullmatch(name)
+        return found[1].lower() if found else ""
+    found = re.match(r"ARABIC LETTER ([A-Z]+)", name) or _LETTER_NAME.fullmatch(name)
+    if not found:
+        return ""
+    word = found[1].lower()
+    if len(word) <= 2 and name.startswith("LATIN"):
+        return word
+    if name.startswith("TIFINAGH") and word.startswith("ya"):
+        return word[2:] or "a"
+    if name.startswith("CYRILLIC") and re.fullmatch("e[^aeiou]+", word):
+        return word[1:]
+    return re.match("[^aeiou]+|[aeiou]", word)[0]
+
+
+#: Blocks whose letters get a spelling ahead of time: Latin and its extensions, sounds, Greek, and the scripts that are romanised.
+SPELT_BLOCKS = ((0xA0, 0x2AF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0x370, 0x3FF), (0x1F00, 0x1FFF), *t.NON_LATIN)
+
+
+def letter_spellings(charts: dict[str, dict], write: dict[str, str]) -> tuple[dict[str, str], frozenset[str]]:
+    """Spellings of letters that a language's own chart leaves out, and letters written as nothing.
+
+    In this order: the a-z spelling that most charts with the letter support (two at least,
+    or all that there are; of equals the shorter, then by code point); the letters that it is
+    composed of (`é`, `ß`, `ﬁ`), as far as those have spellings; how the shared table writes
+    it as a sound; what its name says.  Modifier letters are no sounds of their own and drop.
+    """
+    import unicodedata
+
+    votes = letter_votes(charts, write)
+    spell: dict[str, str] = {}
+    drop: set[str] = set()
+    for letter, counts in votes.items():
+        best = min(counts, key=lambda g: (-counts[g], len(g), g))
+        if counts[best] >= 2 or len(counts) == 1:
+            spell[letter] = best
+    seen = {c for chart in charts.values() for pair in chart["graphemes"].items() for c in nfc_str("".join(map(str, pair)).lower()) if not c.isascii()}
+    own = sorted(seen | {chr(p) for a, b in SPELT_BLOCKS for p in range(a, b + 1)})
+
+    def spelt(c: str) -> str | None:
+        if c in spell or c in drop:
+            return spell.get(c, "")
+        return c if "a" <= c <= "z" else write.get(tie_str(c)) or named_spelling(c) or None
+
+    for c in own:
+        kind = unicodedata.category(c)
+        if c in spell or kind[0] != "L":
+            continue
+        parts = [p for p in unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", c).casefold()) if not unicodedata.combining(p)]
+        if kind == "Lm":
+            drop.add(c)
+        elif parts != [c] and all((s := spelt(p)) is not None and re.fullmatch("[a-z]*", s) for p in parts):
+            spell[c] = "".join(spelt(p) for p in parts)
+        elif (s := spelt(c)) is not None and re.fullmatch("[a-z]*", s):
+            spell[c] = s
+    for c in [c for c, s in spell.items() if s == ""]:
+        del spell[c]
+        drop.add(c)
+    return spell, frozenset(drop)
+
+
 def spelling_of(chart: dict) -> dict[str, str]:
     """Sound to the unit that the language writes it with: first in its alphabet, else in its Latin list, else shortest."""
     by_sound: dict[str, set[str]] = {}
@@ -160,4 +256,4 @@ def is_plain_chart(chart: dict) -> bool:
     return bool(letters) and all("a" <= c.lower() <= "z" for c in letters)
 
 
-__all__ = ["PROXY", "UNIVERSAL", "LanguageNotFoundError", "Shared", "Spec", "bare_str", "is_plain_chart", "is_readable", "is_single_phoneme", "nfc_str", "shared_from_votes", "spelling_of", "validate"]
+__all__ = ["PROXY", "UNIVERSAL", "LanguageNotFoundError", "Shared", "Spec", "bare_str", "is_plain_chart", "letter_spellings", "letter_votes", "is_readable", "is_single_phoneme", "nfc_str", "shared_from_votes", "spelling_of", "validate"]

@@ -548,4 +548,4 @@ def table_files(spark, sf_dir):
     return fl.parse_tables(fl.table_rows(spark, ["dyu", "swh"]))
 
 
-from . import sample_queries  # noqa: E402, F401  registers further queries
+from . import conversion_queries, sample_queries  # noqa: E402, F401  register further queries

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..assets.charts import CHARTS
 from ..functions.text import base_letter, nfd, tie_affricates
-from ..plans.charts import LanguageNotFoundError, Shared, is_plain_chart, shared_from_votes, spelling_of, validate
+from ..plans.charts import LanguageNotFoundError, Shared, is_plain_chart, letter_spellings, shared_from_votes, spelling_of, validate
 
 CHART = (
     "code string, name string, country string, family string, source string, confidence string, graphemes map<string,string>, diacritics map<string,string>, "
@@ -71,6 +71,7 @@ class Catalog:
         """The shared spelling; one that is given is checked once, and a warning tells what it writes outside a-z."""
         if self._shared is None:
             self._shared = shared_from_votes(self.votes())
+            self._shared.spell, self._shared.drop = letter_spellings(self.charts, self._shared.write)
         elif not self._checked:
             if odd := universal_non_alphabetic(self._shared):
                 warnings.warn(f"the shared spelling writes {len(odd)} sounds outside a-z, such as {next(iter(odd.items()))}", stacklevel=2)
