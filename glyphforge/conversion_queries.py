@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import tables as t
 from .functions.text import normalize_text, words
+from .operators import codeswitch as cs
 from .operators import respell as rs
 from .operators import segment as sg
 from .operators import words as wd
@@ -170,4 +171,39 @@ def phoneme_inventory_native(spark, sf_dir):
     return units.groupBy("lang", "unit").agg(F.sum("n").alias("n"))
 
 
+# ---------------------------------------------------------------- phrases of a lexicon
 
+#: All runs of two or three words of the benchmark, and its words that begin with a vowel; each stands for itself in brackets.
+_PHRASES = """SELECT DISTINCT array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (
+        SELECT ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS ws FROM benchmark)), (SELECT unnest([1, 2, 3]) AS k)
+        WHERE i + k - 1 <= len(ws) AND (k > 1 OR regexp_matches(ws[i], '^[aeiou]'))"""
+
+
+def _benchmark_phrases(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("ws"))
+    runs = F.flatten(F.transform("ws", lambda w, i: F.filter(F.transform(F.array(*[F.slice("ws", i + 1, F.lit(k)) for k in (1, 2, 3)]), lambda x: x), lambda x: (F.size(x) > 1) | x[0].rlike("^[aeiou]"))))
+    phrases = items.select(F.explode(runs).alias("p")).select(F.array_join("p", " ").alias("phrase")).distinct()
+    return phrases.withColumn("ipa", F.concat(F.lit("<"), "phrase", F.lit(">")))
+
+
+_EDGE = r"[^\p{L}\p{Nl}\p{No}\p{Nd}_]*"
+_COVER = f"""WITH RECURSIVE x AS MATERIALIZED (SELECT phrase, '<' || phrase || '>' AS ipa FROM ({_PHRASES})),
+    w AS MATERIALIZED (SELECT doc_id, i, regexp_extract(w, '^{_EDGE}') AS lead, w FROM (
+        SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents))),
+    c AS MATERIALIZED (SELECT doc_id, i, lead, regexp_extract(substr(w, length(lead) + 1), '{_EDGE}$') AS trail, substr(w, length(lead) + 1, length(w) - length(lead) - length(regexp_extract(substr(w, length(lead) + 1), '{_EDGE}$'))) AS core FROM w),
+    n AS (SELECT *, lower(core) AS a, lead(lower(core), 1) OVER d AS b, lead(lower(core), 2) OVER d AS e, lead(trail, 1) OVER d AS t2, lead(trail, 2) OVER d AS t3 FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    m AS MATERIALIZED (SELECT n.*, CASE WHEN x3.ipa IS NOT NULL THEN 3 WHEN x2.ipa IS NOT NULL THEN 2 WHEN x1.ipa IS NOT NULL THEN 1 ELSE 0 END AS k, coalesce(x3.ipa, x2.ipa, x1.ipa) AS ipa FROM n
+        LEFT JOIN x x3 ON x3.phrase = a || ' ' || b || ' ' || e LEFT JOIN x x2 ON x2.phrase = a || ' ' || b LEFT JOIN x x1 ON x1.phrase = a),
+    s AS MATERIALIZED (SELECT doc_id, i, k, greatest(coalesce(lag(k, 1) OVER d, 0) - 1, coalesce(lag(k, 2) OVER d, 0) - 2) <= 0 AS begins FROM m WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+    r(doc_id, i, k) AS (
+        SELECT doc_id, i, k FROM s WHERE begins
+        UNION SELECT s.doc_id, s.i, s.k FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + greatest(r.k, 1) AND NOT s.begins)
+    SELECT d.doc_id, sha256(coalesce(g.s, d.text)) AS h FROM documents d LEFT JOIN (
+        SELECT doc_id, string_agg(lead || coalesce(ipa, CASE WHEN core = '' THEN '' ELSE core || '+' END) || CASE m.k WHEN 3 THEN t3 WHEN 2 THEN t2 ELSE trail END, ' ' ORDER BY i) AS s FROM r JOIN m USING (doc_id, i) GROUP BY doc_id) g USING (doc_id)"""
+
+
+@query("phrase_cover", _COVER)
+def phrase_cover(spark, sf_dir):
+    """Phrases of the benchmark amid the documents, longest first, never overlapping; other words marked."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return cs.phrase_cover(rows, "text", _benchmark_phrases(spark, sf_dir), lambda c: F.concat(c, F.lit("+")), ["doc_id"]).select("doc_id", F.sha2("converted", 256).alias("h"))
