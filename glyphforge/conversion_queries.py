@@ -16,6 +16,7 @@ from .functions.text import normalize_text, words
 from .operators import codeswitch as cs
 from .operators import respell as rs
 from .operators import segment as sg
+from .operators import units as un
 from .operators import words as wd
 from .plans.charts import UNIVERSAL
 from .queries import _ALPHABET, _LATIN, _REVERSE, _RULES, _TABLES, NORMAL, ORACLE_SQL, WORD, alternatives, docs, q, query, spec, values
@@ -189,7 +190,7 @@ def _benchmark_phrases(spark, sf_dir):
 _EDGE = r"[^\p{L}\p{Nl}\p{No}\p{Nd}_]*"
 _COVER = f"""WITH RECURSIVE x AS MATERIALIZED (SELECT phrase, '<' || phrase || '>' AS ipa FROM ({_PHRASES})),
     w AS MATERIALIZED (SELECT doc_id, i, regexp_extract(w, '^{_EDGE}') AS lead, w FROM (
-        SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents))),
+        SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents))),
     c AS MATERIALIZED (SELECT doc_id, i, lead, regexp_extract(substr(w, length(lead) + 1), '{_EDGE}$') AS trail, substr(w, length(lead) + 1, length(w) - length(lead) - length(regexp_extract(substr(w, length(lead) + 1), '{_EDGE}$'))) AS core FROM w),
     n AS (SELECT *, lower(core) AS a, lead(lower(core), 1) OVER d AS b, lead(lower(core), 2) OVER d AS e, lead(trail, 1) OVER d AS t2, lead(trail, 2) OVER d AS t3 FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
     m AS MATERIALIZED (SELECT n.*, CASE WHEN x3.ipa IS NOT NULL THEN 3 WHEN x2.ipa IS NOT NULL THEN 2 WHEN x1.ipa IS NOT NULL THEN 1 ELSE 0 END AS k, coalesce(x3.ipa, x2.ipa, x1.ipa) AS ipa FROM n
@@ -207,3 +208,28 @@ def phrase_cover(spark, sf_dir):
     """Phrases of the benchmark amid the documents, longest first, never overlapping; other words marked."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return cs.phrase_cover(rows, "text", _benchmark_phrases(spark, sf_dir), lambda c: F.concat(c, F.lit("+")), ["doc_id"]).select("doc_id", F.sha2("converted", 256).alias("h"))
+
+
+# ---------------------------------------------------------------- the unit relation
+
+
+def _unit_rows_sql(lang: str) -> str:
+    """doc_id, lang and the unit relation; distinct words are cut once."""
+    keys = alternatives(spec(lang).keys)
+    return f"""WITH p AS (SELECT doc_id, lang, unnest(range(0, len(ps))) AS tok, unnest(ps) AS w FROM (
+            SELECT doc_id, lang, regexp_extract_all({NORMAL}, '(?s){WORD}|[^\\p{{L}}\\p{{Nl}}\\p{{No}}]+') AS ps FROM documents)),
+        u AS MATERIALIZED (SELECT w, unnest(range(0, len(us))) AS pos, unnest(us) AS u FROM (SELECT w, regexp_extract_all({nfd_sql("w")}, '(?:{keys})\\p{{M}}*|[^\\p{{M}}]') AS us FROM ({_ALL_WORDS}))),
+        c AS (SELECT w, pos, nfc_normalize(u) AS unit, CASE WHEN regexp_matches(u, '^(?:{keys})') THEN regexp_extract(u, '^(?:{keys})') ELSE u END AS base, CASE WHEN regexp_matches(u, '^(?:{keys})') THEN regexp_replace(u, '^(?:{keys})', '') ELSE '' END AS marks, regexp_matches(u, '^(?:{keys})') AS known FROM u)
+        SELECT doc_id, lang, tok, pos, TRUE AS is_word, unit, base, marks, known FROM p JOIN c USING (w)
+        UNION ALL SELECT doc_id, lang, tok, 0, FALSE, w, NULL, NULL, FALSE FROM p WHERE NOT regexp_matches(w, '^[\\p{{L}}\\p{{Nl}}\\p{{No}}]')"""
+
+
+_UNIT_SUMS = "lang, is_word, base, marks, known, count(*) AS n, count(DISTINCT doc_id) AS docs, sum(tok)::BIGINT AS toks, sum(pos)::BIGINT AS places, max(sha256(unit)) AS unit"
+
+
+@query("unit_relation", f"SELECT {_UNIT_SUMS} FROM ({_unit_rows_sql('kus')}) GROUP BY lang, is_word, base, marks, known")
+def unit_relation(spark, sf_dir):
+    """Every written unit of every document with its place, counted and summed by base and marks."""
+    rows = un.unit_relation(docs(spark, sf_dir), "text", spec("kus"), ["doc_id", "lang"])
+    sums = [F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"), F.sum("tok").alias("toks"), F.sum("pos").alias("places"), F.max(F.sha2("unit", 256)).alias("unit")]
+    return rows.groupBy("lang", "is_word", "base", "marks", "known").agg(*sums)

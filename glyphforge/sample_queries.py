@@ -250,12 +250,12 @@ def sql_functions(spark, sf_dir):
     return spark.sql("SELECT doc_id, sha2(g2p(text, 'swh', 'grapheme'), 256) AS units, sha2(normalize_text(text), 256) AS plain, sha2(from_proxy(to_proxy(normalize_text(text))), 256) AS back FROM glyphforge_documents")
 
 
-@query("table_function", f"SELECT unit, count(*) AS n FROM ({unit_sql('swh', 'grapheme')}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) < 200) GROUP BY unit")
+@query("table_function", f"SELECT unit, count(*) AS n FROM ({unit_sql('swh', 'grapheme')}) GROUP BY unit")
 def table_function(spark, sf_dir):
-    """Units of the short texts, by the SQL table function."""
+    """Units of all texts, by the SQL table function over Arrow batches."""
     register(spark)
-    docs(spark, sf_dir).filter(F.length("text") < 200).createOrReplaceTempView("glyphforge_short")
-    return spark.sql("SELECT u.unit AS unit, count(*) AS n FROM glyphforge_short d, LATERAL segment_units(d.text, 'swh') u GROUP BY u.unit")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("glyphforge_documents")
+    return spark.sql("SELECT unit, count(*) AS n FROM unit_rows(TABLE(SELECT doc_id, text FROM glyphforge_documents), 'swh') WHERE is_word GROUP BY unit")
 
 
 PHRASES = {"the": "ðə", "of the": "əvðə", "and the": "ænðə"}

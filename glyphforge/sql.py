@@ -1,4 +1,5 @@
-"""SQL functions: g2p, phonemes, convert_lang, to_proxy, from_proxy, normalize_text, and the table function segment_units."""
+"""SQL functions: g2p, phonemes, convert_lang, to_proxy, from_proxy, normalize_text, and the table functions
+unit_rows (a table in Arrow batches) and segment_units (one text)."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from .functions.text import normalize_str, tokenize_str
 from .operators.convert import Converter
 from .operators.proxy import decode_str, encode_str
 from .operators.segment import Segmenter
+from .operators.units import units_function
 from .plans.charts import Spec
 from .sources.charts import Catalog, bundled
 
@@ -76,4 +78,5 @@ def register(spark: SparkSession, catalog: Catalog | None = None) -> None:
                     for pos, unit in enumerate(written.units(word)):
                         yield tok, pos, unit, sounds[pos] if pos < len(sounds) else None
 
+    spark.udtf.register("unit_rows", units_function(catalog))
     spark.udtf.register("segment_units", F.udtf(SegmentUnits, returnType="tok int, pos int, unit string, ipa string"))
