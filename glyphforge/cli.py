@@ -7,8 +7,9 @@ import json
 import sys
 from pathlib import Path
 
+from .functions.tables import ENGLISH_CODES
 from .operators.convert import Converter, convert_to_ipa
-from .operators.segment import G2P
+from .operators.segment import G2P, English
 from .plans.charts import LanguageNotFoundError
 from .sources.charts import Catalog, bundled
 
@@ -39,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
             to = Converter(args.lang, args.to, catalog=catalog)
             convert = lambda x: to.convert(x, args.sep or "")
         else:
-            reader = G2P(args.lang, catalog=catalog)
+            reader = English() if args.lang in ENGLISH_CODES else G2P(args.lang, catalog=catalog)
             convert = lambda x: reader.convert(x, " " if args.sep is None else args.sep)
         if args.text is not None:
             print(convert(args.text))

@@ -8,12 +8,14 @@ but the charts.
 from __future__ import annotations
 
 import unicodedata
+from importlib.resources import files
 
 from pyspark.sql import functions as F
 
 from .functions import tables as t
 from .functions.text import normalize_text, words
 from .operators import codeswitch as cs
+from .operators import drafts as dr
 from .operators import respell as rs
 from .operators import segment as sg
 from .operators import units as un
@@ -233,3 +235,30 @@ def unit_relation(spark, sf_dir):
     rows = un.unit_relation(docs(spark, sf_dir), "text", spec("kus"), ["doc_id", "lang"])
     sums = [F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"), F.sum("tok").alias("toks"), F.sum("pos").alias("places"), F.max(F.sha2("unit", 256)).alias("unit")]
     return rows.groupBy("lang", "is_word", "base", "marks", "known").agg(*sums)
+
+
+# ---------------------------------------------------------------- drafted charts
+
+_CHARTS = str(files("glyphforge.assets").joinpath("charts.jsonl"))
+_DRAFT_MARKS = values([(c, m, str(v)) for c, chart in ch.bundled().charts.items() for m, v in (chart.get("diacritics") or {}).items()], "lang, mark, ipa")
+_DRAFTS = f"""WITH g AS (SELECT lang, grapheme, ipa, lower(grapheme) AS low, {nfd_sql("grapheme")} AS d FROM {_RULES}),
+    m AS (SELECT * FROM {_DRAFT_MARKS}),
+    s AS (SELECT lang, list(mark) AS signs FROM m GROUP BY lang), k AS (SELECT lang, list(low) AS own FROM g GROUP BY lang),
+    a AS (SELECT lang, char, {nfd_sql("char")} AS d FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}')) AS char FROM documents), k),
+    split AS (SELECT x.*, coalesce(signs, []) AS signs, own, list_filter(regexp_extract_all(substr(d, 2), '(?s).'), lambda c: NOT list_contains(coalesce(signs, []), c)) AS strange FROM (
+        SELECT lang, grapheme AS char, d, 'key' AS kind FROM g UNION ALL SELECT lang, char, d, 'letter' FROM a) x JOIN k USING (lang) LEFT JOIN s USING (lang))
+    SELECT lang, 'empty value' AS issue, grapheme AS detail FROM g WHERE trim(ipa) = ''
+    UNION ALL SELECT lang, 'ASCII g', 'graphemes: ' || grapheme || '=' || ipa FROM g WHERE contains(ipa, 'g')
+    UNION ALL SELECT lang, 'ASCII g', 'diacritics: ' || mark || '=' || ipa FROM m WHERE contains(ipa, 'g')
+    UNION ALL SELECT lang, 'diacritic in words', mark || '=' || ipa FROM m WHERE regexp_matches(ipa, '[A-Za-z]{{4,}}')
+    UNION ALL SELECT lang, 'never needed', char FROM split WHERE kind = 'key' AND length(d) > 1 AND len(strange) = 0 AND list_contains(own, lower(substr(d, 1, 1)))
+    UNION ALL SELECT lang, 'not reachable', char FROM split WHERE kind = 'letter' AND NOT list_contains(own, char) AND NOT (length(d) > 1 AND len(strange) = 0 AND list_contains(own, substr(d, 1, 1)))"""
+
+
+@query("draft_chart_issues", _DRAFTS)
+def draft_chart_issues(spark, sf_dir):
+    """Faults of the charts as raw JSON, and letters of the documents that each can't reach."""
+    raw = spark.read.text(_CHARTS).select(F.get_json_object("value", "$.code").alias("lang"), F.col("value").alias("json"))
+    letters = docs(spark, sf_dir).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}"), F.lit(0)))).alias("char")).distinct()
+    codes = F.array(*[F.lit(c) for c in ch.bundled().languages()])
+    return dr.draft_chart_issues(raw, letters.select("char", F.explode(codes).alias("lang")))

@@ -131,10 +131,27 @@ class G2P(Segmenter):
         return super().convert(text, sep, lower)
 
 
+class English:
+    """Sounds of English, given from outside, in the charts' conventions.  The chart of letters that is bundled for English is never read with."""
+
+    def __init__(self, output: str = "ipa") -> None:
+        if output not in ("ipa", "grapheme"):
+            raise ValueError("English has sounds alone")
+
+    def phonemes(self, text: str, lower: bool = True, punctuation: bool = True) -> list[str]:
+        return english_units_str(english_normalise_str(text))
+
+    def convert(self, text: str, sep: str = "", lower: bool = True) -> str:
+        """Cut into units where `sep` parts them; else as it is, in convention."""
+        return sep.join(self.phonemes(text)) if sep else english_normalise_str(text)
+
+    convert_word = convert
+
+
 def g2p(text: str, lang: str, *, sep: str = "", lower: bool = True, **options) -> str:
-    """One string at once.  English has no chart here: its text must be sounds, which are brought into convention and cut."""
+    """One string at once.  English text must be sounds, which are brought into convention and cut."""
     if lang in t.ENGLISH_CODES:
-        return sep.join(english_units_str(text))
+        return English(options.get("output", "ipa")).convert(text, sep)
     return G2P(lang, **options).convert(text, sep, lower)
 
 
@@ -142,11 +159,15 @@ class Pipeline:
     """A language's conversion of a string, a list of strings, or a column."""
 
     def __init__(self, lang: str, *, catalog: Catalog | None = None, **options) -> None:
-        self.lang, self.g2p = lang, G2P(lang, catalog=catalog, **options)
+        english = lang in t.ENGLISH_CODES
+        self.lang, self.g2p = lang, English(options.get("output", "ipa")) if english else G2P(lang, catalog=catalog, **options)
         self.info = (catalog or bundled()).registry().get(lang, {"code": lang})
 
     def run(self, text, *, sep: str = ""):
         if isinstance(text, Column):
+            if isinstance(self.g2p, English):
+                sounds = english_normalise(text)
+                return F.array_join(english_units(sounds), sep) if sep else sounds
             return convert(text, self.g2p.spec, sep)
         if isinstance(text, (list, tuple)):
             return [self.g2p.convert(x, sep) for x in text]
@@ -278,9 +299,17 @@ def english_units_str(ipa: str) -> list[str]:
     return re.findall(f"{some}|\\S[\u0300-\u036f]*", ipa)
 
 
+def english_normalise_str(raw: str) -> str:
+    """`english_normalise` of one string."""
+    out = raw.translate(str.maketrans({"g": "ɡ", "ˈ": None, "ˌ": None, "|": None}))
+    for a, b in (("tʃ", "t͡ʃ"), ("dʒ", "d͡ʒ"), ("ʧ", "t͡ʃ"), ("ʤ", "d͡ʒ")):
+        out = out.replace(a, b)
+    return out if raw.strip() else ""
+
+
 def english_normalise(raw: Column) -> Column:
     """IPA of a speech synthesiser in the charts' conventions."""
     out = F.translate(F.translate(raw, "g", "ɡ"), "ˈˌ|", "")
     for a, b in (("tʃ", "t͡ʃ"), ("dʒ", "d͡ʒ"), ("ʧ", "t͡ʃ"), ("ʤ", "d͡ʒ")):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    return F.when(F.trim(F.regexp_replace(raw, r"(?U)\s", " ")) == "", F.lit("")).otherwise(out)
