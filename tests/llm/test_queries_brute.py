@@ -192,7 +192,7 @@ def test_classifier_queries(spark, texts, name, label, config, mod, rest, least)
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     norm = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
     df = queries.QUERIES[name](spark, SF)
