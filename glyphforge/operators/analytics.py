@@ -251,34 +251,35 @@ def phoneme_problem(value: Column) -> Column:
     return out
 
 
-def convention_issues(spark: SparkSession, catalog: Catalog | None = None) -> DataFrame:
+def convention_issues(spark: SparkSession, catalog: Catalog | None = None, rules: DataFrame | None = None, charts: DataFrame | None = None) -> DataFrame:
     """lang, unit, value, reason: values that are not one sound, vowel sequences as keys, diacritics that are no nasal."""
-    rules = grapheme_rules(spark, catalog)
+    rules = grapheme_rules(spark, catalog) if rules is None else rules
     values = rules.select("lang", F.col("grapheme").alias("unit"), F.col("ipa").alias("value"), phoneme_problem(F.col("ipa")).alias("reason")).filter("reason IS NOT NULL")
     runs = rules.filter(F.lower("grapheme").rlike(f"^[{t.WRITTEN_VOWELS}]{{2,}}$")).select("lang", F.col("grapheme").alias("unit"), F.col("ipa").alias("value"), F.lit("vowel sequence").alias("reason"))
-    marks = diacritic_rules(spark, catalog).filter(~F.col("ipa").isin("", t.NASAL)).select("lang", F.col("mark").alias("unit"), F.col("ipa").alias("value"), F.lit("diacritic value").alias("reason"))
+    marks = diacritic_rules(spark, catalog, charts).filter(~F.col("ipa").isin("", t.NASAL)).select("lang", F.col("mark").alias("unit"), F.col("ipa").alias("value"), F.lit("diacritic value").alias("reason"))
     return values.unionByName(runs).unionByName(marks)
 
 
-def chart_issues(spark: SparkSession, catalog: Catalog | None = None, declared: DataFrame | None = None, least: int = 5) -> DataFrame:
+def chart_issues(spark: SparkSession, catalog: Catalog | None = None, declared: DataFrame | None = None, least: int = 5, rules: DataFrame | None = None, charts: DataFrame | None = None) -> DataFrame:
     """lang, issue, detail: small tables, digits in sounds, sizes against the source's, examples that do not convert."""
     catalog = catalog or bundled()
-    rules = grapheme_rules(spark, catalog)
+    rules = grapheme_rules(spark, catalog) if rules is None else rules
+    charts = chart_table(spark, catalog) if charts is None else charts
     small = rules.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < least).select("lang", F.lit("few graphemes").alias("issue"), F.col("n").cast("string").alias("detail"))
     odd = rules.filter(F.col("ipa").rlike("[0-9]")).select("lang", F.lit("suspicious sound").alias("issue"), F.concat_ws("=", "grapheme", "ipa").alias("detail"))
     out = small.unionByName(odd)
     if declared is not None:
         page = F.regexp_extract(F.translate("source", ".", " "), r"(?:^|\s)(\d+)(?:\s|$)", 1)
-        sized = chart_table(spark, catalog).select("lang", F.when(page != "", page.cast("int")).alias("page"), F.size("alphabet").alias("got"))
+        sized = charts.select("lang", F.when(page != "", page.cast("int")).alias("page"), F.size("alphabet").alias("got"))
         off = sized.join(declared, "page").filter(F.abs(F.col("num_graphemes") - F.col("got")) > 2)
         out = out.unionByName(off.select("lang", F.lit("alphabet size").alias("issue"), F.concat_ws("/", "got", "num_graphemes").alias("detail")))
     converted = convert_by_language(F.col("word"), F.col("lang"), catalog, unknown="mark")
-    examples = chart_examples(spark, catalog).filter(F.instr(converted, REPLACEMENT) > 0).select("lang", F.lit("unmapped example").alias("issue"), F.col("word").alias("detail"))
+    examples = chart_examples(spark, catalog, charts).filter(F.instr(converted, REPLACEMENT) > 0).select("lang", F.lit("unmapped example").alias("issue"), F.col("word").alias("detail"))
     return out.unionByName(examples)
 
 
-def chart_confidence(spark: SparkSession, catalog: Catalog | None = None) -> DataFrame:
-    return chart_table(spark, catalog).groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
+def chart_confidence(spark: SparkSession, catalog: Catalog | None = None, charts: DataFrame | None = None) -> DataFrame:
+    return (chart_table(spark, catalog) if charts is None else charts).groupBy("confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cross_matrix(rules: DataFrame, langs: list[str]) -> DataFrame:
@@ -288,19 +289,19 @@ def cross_matrix(rules: DataFrame, langs: list[str]) -> DataFrame:
     return some.groupBy("grapheme").pivot("lang", langs).agg(F.first("ipa")).join(differs, "grapheme")
 
 
-def plain_charts(spark: SparkSession, catalog: Catalog | None = None, declared: DataFrame | None = None) -> DataFrame:
+def plain_charts(spark: SparkSession, catalog: Catalog | None = None, declared: DataFrame | None = None, charts: DataFrame | None = None) -> DataFrame:
     """lang: languages declared plain, and those whose alphabet, or else whose keys, are a-z and apostrophes."""
     from ..functions.text import alphabet_is_plain
 
     units = F.when(F.size("alphabet") > 0, F.col("alphabet")).otherwise(F.map_keys("graphemes"))
-    joined = chart_table(spark, catalog).select("lang", nfd(F.array_join(units, " ")).alias("u"))
+    joined = (chart_table(spark, catalog) if charts is None else charts).select("lang", nfd(F.array_join(units, " ")).alias("u"))
     plain = joined.filter(alphabet_is_plain(F.array("u"))).select("lang")
     return plain if declared is None else plain.union(declared.select("lang")).distinct()
 
 
-def reverse_table(spark: SparkSession, catalog: Catalog | None = None) -> DataFrame:
+def reverse_table(spark: SparkSession, catalog: Catalog | None = None, rules: DataFrame | None = None) -> DataFrame:
     """lang, ipa, grapheme: the unit with which each language writes a sound."""
-    rules = grapheme_rules(spark, catalog)
+    rules = grapheme_rules(spark, catalog) if rules is None else rules
     table = chart_table(spark, catalog)
     place = table.select("lang", F.posexplode("alphabet").alias("a", "grapheme")).groupBy("lang", "grapheme").agg(F.min("a").alias("a"))
     latin = table.select("lang", F.posexplode("scripts.latin").alias("b", "grapheme")).groupBy("lang", "grapheme").agg(F.min("b").alias("b"))
@@ -309,9 +310,9 @@ def reverse_table(spark: SparkSession, catalog: Catalog | None = None) -> DataFr
     return ranked.groupBy("lang", F.col("ipa_tied").alias("ipa")).agg(F.min_by("grapheme", rank).alias("grapheme"))
 
 
-def composed_reachability(spark: SparkSession, catalog: Catalog | None = None) -> DataFrame:
+def composed_reachability(spark: SparkSession, catalog: Catalog | None = None, rules: DataFrame | None = None) -> DataFrame:
     """lang, n, reached: marked keys of each chart, and how many of them convert to their own value."""
-    keys = grapheme_rules(spark, catalog).filter(nfd(F.col("grapheme")).rlike(r"[\x{300}-\x{36f}]"))
+    keys = (grapheme_rules(spark, catalog) if rules is None else rules).filter(nfd(F.col("grapheme")).rlike(r"[\x{300}-\x{36f}]"))
     sound = convert_by_language(F.col("grapheme"), F.col("lang"), catalog, output="ipa")
     return keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum((sound == clean_ipa(F.col("ipa_tied"))).cast("long")).alias("reached"))
 
@@ -328,16 +329,16 @@ def unreachable_letters(spark: SparkSession, attested: DataFrame, catalog: Catal
     return reachable.select("lang", "char")
 
 
-def draft_issues(spark: SparkSession, catalog: Catalog | None = None) -> DataFrame:
+def draft_issues(spark: SparkSession, catalog: Catalog | None = None, rules: DataFrame | None = None, charts: DataFrame | None = None) -> DataFrame:
     """lang, issue, detail: what a drafted chart must not hold.
 
     Empty or blank keys, values with an ASCII g, diacritics explained in words, and keys that
     no text can match because a later key normalises alike.
     """
-    rules = grapheme_rules(spark, catalog)
+    rules = grapheme_rules(spark, catalog) if rules is None else rules
     empty = rules.filter(F.trim("grapheme") == "").select("lang", F.lit("empty key").alias("issue"), F.col("ipa").alias("detail"))
     ascii_g = rules.filter(F.col("ipa").contains("g")).select("lang", F.lit("ASCII g").alias("issue"), F.concat_ws("=", "grapheme", "ipa").alias("detail"))
-    prose = diacritic_rules(spark, catalog).filter(F.col("ipa").rlike("[A-Za-z]{3}")).select("lang", F.lit("diacritic in words").alias("issue"), F.concat_ws("=", "mark", "ipa").alias("detail"))
+    prose = diacritic_rules(spark, catalog, charts).filter(F.col("ipa").rlike("[A-Za-z]{3}")).select("lang", F.lit("diacritic in words").alias("issue"), F.concat_ws("=", "mark", "ipa").alias("detail"))
     last = Window.partitionBy("lang", "key_nfd").orderBy(F.col("ord").desc())
     dead = rules.withColumn("nth", F.row_number().over(last)).filter("nth > 1").select("lang", F.lit("dead key").alias("issue"), F.col("grapheme").alias("detail"))
     return empty.unionByName(ascii_g).unionByName(prose).unionByName(dead)

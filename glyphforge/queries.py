@@ -19,6 +19,7 @@ from .operators import codeswitch as cs
 from .operators import convert as cv
 from .operators import proxy as px
 from .operators import segment as sg
+from .operators.attested import attested_rules
 from .plans.charts import UNIVERSAL, Spec
 from .session import spread
 from .sources import charts as ch
@@ -27,6 +28,7 @@ from .sources import files as fl
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+CHECKS: dict[str, tuple[Query, str]] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -39,6 +41,16 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def check(name: str, sql: str):
+    """A query over small fixed input: tests hold it against its SQL, but it is not registered."""
+
+    def keep(f: Query) -> Query:
+        CHECKS[name] = f, sql
+        return f
+
+    return keep
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
 
@@ -414,6 +426,43 @@ def codeswitch_phrases(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.sha2(cs.codeswitch(F.col("text"), spec("dyu", output="ipa"), lexicon), 256).alias("h"))
 
 
+# ---------------------------------------------------------------- charts seen through the documents
+
+_KEY = f"nfc_normalize({FOLD % 'lower(grapheme)'})"
+_SEEN = f"""WITH chart_rules AS (SELECT *, {_KEY} AS key FROM {_RULES}),
+    word_counts AS (SELECT word, count(*) AS times FROM (SELECT unnest({WORDS}) AS word FROM documents) GROUP BY word),
+    word_runs AS (SELECT times, word, k, unnest(range(1, length(word) - k + 2)) AS i FROM word_counts, (SELECT DISTINCT length(key) AS k FROM chart_rules WHERE key <> '') WHERE k <= length(word)),
+    key_counts AS (SELECT substr(word, i::BIGINT, k::BIGINT) AS key, sum(times)::BIGINT AS n FROM word_runs GROUP BY 1 HAVING key IN (SELECT key FROM chart_rules)),
+    attested AS (SELECT lang, ord, grapheme, ipa, ipa_tied, n FROM chart_rules JOIN key_counts USING (key))"""
+
+
+def seen_sql(sql: str) -> str:
+    """SQL over all charts as SQL over the rules that the documents attest, and the charts that have any."""
+    sql = sql.replace(_RULES, "(SELECT * FROM attested)")
+    for whole, columns in ((_ALPHABET, "lang, pos, unit"), (_LATIN, "lang, pos, unit")):
+        sql = sql.replace(whole, f"(SELECT * FROM {whole} WHERE lang IN (SELECT lang FROM attested)) AS v({columns})")
+    return f"{_SEEN} {sql}"
+
+
+def seen(name: str, sql: str | None = None):
+    return query(name, sql and seen_sql(sql))
+
+
+def seen_rules(spark, sf_dir) -> DataFrame:
+    """The rules of all charts that the documents attest, with their occurrences n."""
+    return attested_rules(docs(spark, sf_dir), F.col("text"), ch.grapheme_rules(spark))
+
+
+def seen_charts(spark, sf_dir) -> DataFrame:
+    """The charts of which the documents attest a rule."""
+    return ch.chart_table(spark).join(seen_rules(spark, sf_dir).select("lang").distinct(), "lang", "left_semi")
+
+
+@seen("attested_rules", f"SELECT lang, grapheme, ipa, n FROM {_RULES}")
+def attested(spark, sf_dir):
+    return seen_rules(spark, sf_dir).select("lang", "grapheme", "ipa", "n")
+
+
 # ---------------------------------------------------------------- votes and charts
 
 _VOTES = f"SELECT ipa, grapheme, count(DISTINCT lang) AS votes FROM {_RULES} WHERE ipa <> '' GROUP BY ipa, grapheme"
@@ -425,24 +474,24 @@ _WINNERS = f"""SELECT ipa, grapheme, grapheme_langs, langs, base_grapheme FROM
     JOIN (SELECT ipa, {_PICK.format("base", "base")} AS base_grapheme FROM ({_BASE_VOTES}) GROUP BY ipa) USING (ipa)"""
 
 
-@query("phoneme_votes", _VOTES)
+@seen("phoneme_votes", _VOTES)
 def phoneme_votes(spark, sf_dir):
-    return an.phoneme_votes(ch.grapheme_rules(spark))
+    return an.phoneme_votes(seen_rules(spark, sf_dir))
 
 
-@query("base_votes", _BASE_VOTES)
+@seen("base_votes", _BASE_VOTES)
 def base_votes(spark, sf_dir):
-    return an.base_votes(an.phoneme_votes(ch.grapheme_rules(spark)))
+    return an.base_votes(an.phoneme_votes(seen_rules(spark, sf_dir)))
 
 
-@query("universal_winners", _WINNERS)
+@seen("universal_winners", _WINNERS)
 def universal_winners(spark, sf_dir):
-    return an.vote_winners(an.phoneme_votes(ch.grapheme_rules(spark)))
+    return an.vote_winners(an.phoneme_votes(seen_rules(spark, sf_dir)))
 
 
-@query("vote_report", f"(SELECT 'top' AS part, ipa, grapheme, grapheme_langs FROM ({_WINNERS}) ORDER BY grapheme_langs DESC, ipa LIMIT 40) UNION ALL (SELECT 'rare', ipa, grapheme, grapheme_langs FROM ({_WINNERS}) WHERE langs = 1 ORDER BY ipa LIMIT 50)")
+@seen("vote_report", f"(SELECT 'top' AS part, ipa, grapheme, grapheme_langs FROM ({_WINNERS}) ORDER BY grapheme_langs DESC, ipa LIMIT 40) UNION ALL (SELECT 'rare', ipa, grapheme, grapheme_langs FROM ({_WINNERS}) WHERE langs = 1 ORDER BY ipa LIMIT 50)")
 def vote_report(spark, sf_dir):
-    return an.vote_report(an.vote_winners(an.phoneme_votes(ch.grapheme_rules(spark))))
+    return an.vote_report(an.vote_winners(an.phoneme_votes(seen_rules(spark, sf_dir))))
 
 
 def _either(names) -> str:
@@ -460,37 +509,37 @@ _TABLES = f"""SELECT tied AS ipa, grapheme, 'write' AS direction FROM (SELECT *,
             AND (length(grapheme) = 1 OR NOT regexp_matches(grapheme, '^[{t.VOWELS}]') OR regexp_full_match(grapheme, '[{t.VOWELS}]+'))) WHERE nth = 1"""
 
 
-@query("universal_tables", _TABLES)
+@seen("universal_tables", _TABLES)
 def universal_tables(spark, sf_dir):
-    return an.shared_tables(an.phoneme_votes(ch.grapheme_rules(spark)))
+    return an.shared_tables(an.phoneme_votes(seen_rules(spark, sf_dir)))
 
 
-@query("tie_values", f"SELECT lang, grapheme, ipa, ipa_tied, translate(ipa_tied, '{t.ASPIRATION}', '') AS plain FROM {_RULES}")
+@seen("tie_values", f"SELECT lang, grapheme, ipa, ipa_tied, translate(ipa_tied, '{t.ASPIRATION}', '') AS plain FROM {_RULES}")
 def tie_values(spark, sf_dir):
-    return ch.grapheme_rules(spark).select("lang", "grapheme", "ipa", "ipa_tied", relax_aspiration(F.col("ipa_tied")).alias("plain"))
+    return seen_rules(spark, sf_dir).select("lang", "grapheme", "ipa", "ipa_tied", relax_aspiration(F.col("ipa_tied")).alias("plain"))
 
 
-@query("reverse_table", _REVERSE)
+@seen("reverse_table", _REVERSE)
 def reverse_table(spark, sf_dir):
-    return an.reverse_table(spark)
+    return an.reverse_table(spark, rules=seen_rules(spark, sf_dir))
 
 
-@query("effective_rules", f"SELECT lang, nfc_normalize({FOLD % 'lower(grapheme)'}) AS key, max_by(ipa_tied, ord) AS ipa_tied FROM {_RULES} GROUP BY ALL")
+@seen("effective_rules", f"SELECT lang, nfc_normalize({FOLD % 'lower(grapheme)'}) AS key, max_by(ipa_tied, ord) AS ipa_tied FROM {_RULES} GROUP BY ALL")
 def effective_rules(spark, sf_dir):
     from .functions.text import nfc
 
-    return ch.effective_rules(ch.grapheme_rules(spark)).select("lang", nfc(F.col("key_nfd")).alias("key"), "ipa_tied")
+    return ch.effective_rules(seen_rules(spark, sf_dir)).select("lang", nfc(F.col("key_nfd")).alias("key"), "ipa_tied")
 
 
-@query("chart_confidence", f"SELECT confidence, count(*) AS n FROM {values([(c['confidence'],) for c in _BUNDLED.charts.values()], 'confidence')} GROUP BY confidence")
+@seen("chart_confidence", f"SELECT confidence, count(*) AS n FROM {values([(k, c['confidence']) for k, c in _BUNDLED.charts.items()], 'lang, confidence')} WHERE lang IN (SELECT lang FROM {_RULES}) GROUP BY confidence")
 def chart_confidence(spark, sf_dir):
-    return an.chart_confidence(spark)
+    return an.chart_confidence(spark, charts=seen_charts(spark, sf_dir))
 
 
-@query("chart_qa_issues", f"""SELECT lang, 'few graphemes' AS issue, count(*)::VARCHAR AS detail FROM {_RULES} GROUP BY lang HAVING count(*) < 32
+@seen("chart_qa_issues", f"""SELECT lang, 'few graphemes' AS issue, count(*)::VARCHAR AS detail FROM {_RULES} GROUP BY lang HAVING count(*) < 12
         UNION ALL SELECT lang, 'suspicious sound', concat_ws('=', grapheme, ipa) FROM {_RULES} WHERE regexp_matches(ipa, '[0-9]')""")
 def chart_qa_issues(spark, sf_dir):
-    return an.chart_issues(spark, least=32)
+    return an.chart_issues(spark, rules=seen_rules(spark, sf_dir), charts=seen_charts(spark, sf_dir), least=12)
 
 
 _CHART_MARKS = values([(c, m, v) for c in _BUNDLED.languages() for m, v in (_BUNDLED.charts[c].get("diacritics") or {}).items()], "lang, mark, ipa")
@@ -513,31 +562,31 @@ def _problem_sql() -> str:
         FROM (SELECT *, {rest} AS r2 FROM (SELECT *, {tail} AS r, {inside(first, t.SOUND_VOWELS)} AS vowel FROM (SELECT lang, grapheme AS unit, ipa AS value, {_NFD} AS d FROM {_RULES})))"""
 
 
-@query(
+@seen(
     "convention_issues",
     f"""SELECT lang, unit, value, reason FROM ({_problem_sql()}) WHERE reason IS NOT NULL
         UNION ALL SELECT lang, grapheme, ipa, 'vowel sequence' FROM {_RULES} WHERE length(grapheme) > 1 AND translate(lower(grapheme), {q(t.WRITTEN_VOWELS)}, '') = ''
-        UNION ALL SELECT lang, mark, ipa, 'diacritic value' FROM {_CHART_MARKS} WHERE ipa NOT IN ('', {q(t.NASAL)})""",
+        UNION ALL SELECT lang, mark, ipa, 'diacritic value' FROM {_CHART_MARKS} WHERE lang IN (SELECT lang FROM {_RULES}) AND ipa NOT IN ('', {q(t.NASAL)})""",
 )
 def convention_issues(spark, sf_dir):
-    return an.convention_issues(spark)
+    return an.convention_issues(spark, rules=seen_rules(spark, sf_dir), charts=seen_charts(spark, sf_dir))
 
 
-@query("plain_latin_charts", f"SELECT lang FROM {_ALPHABET} GROUP BY lang HAVING bool_and(regexp_matches(lower(translate(unit, {q(t.APOSTROPHES)}, '')), '^[a-z]*$'))")
+@seen("plain_latin_charts", f"SELECT lang FROM {_ALPHABET} GROUP BY lang HAVING bool_and(regexp_matches(lower(translate(unit, {q(t.APOSTROPHES)}, '')), '^[a-z]*$'))")
 def plain_latin_charts(spark, sf_dir):
-    return an.plain_charts(spark)
+    return an.plain_charts(spark, charts=seen_charts(spark, sf_dir))
 
 
-@query("cross_matrix", f"SELECT grapheme, max(ipa) FILTER (lang = 'dyu') AS dyu, max(ipa) FILTER (lang = 'kus') AS kus, max(ipa) FILTER (lang = 'swh') AS swh, count(DISTINCT ipa) > 1 AS differs FROM {_RULES} WHERE lang IN ('dyu', 'kus', 'swh') GROUP BY grapheme")
+@seen("cross_matrix", f"SELECT grapheme, max(ipa) FILTER (lang = 'dyu') AS dyu, max(ipa) FILTER (lang = 'kus') AS kus, max(ipa) FILTER (lang = 'swh') AS swh, count(DISTINCT ipa) > 1 AS differs FROM {_RULES} WHERE lang IN ('dyu', 'kus', 'swh') GROUP BY grapheme")
 def cross_matrix(spark, sf_dir):
-    return an.cross_matrix(ch.grapheme_rules(spark), ["dyu", "kus", "swh"])
+    return an.cross_matrix(seen_rules(spark, sf_dir), ["dyu", "kus", "swh"])
 
 
 _LINES = values([(lang, i, line) for lang in ("dyu", "swh") for i, line in enumerate(fl.table_lines(lang))], "lang, line_no, value")
 _PLAIN = "replace(replace(replace(replace(replace({0}, '\\\\', chr(1)), '\\t', chr(9)), '\\n', chr(10)), '\\r', chr(13)), chr(1), '\\')"
 
 
-@query(
+@check(
     "table_files",
     f"""SELECT lang, section, {_PLAIN.format("split_part(value, chr(9), 1)")} AS key, CASE WHEN contains(value, chr(9)) THEN {_PLAIN.format("substr(value, position(chr(9) IN value) + 1)")} END AS value
         FROM (SELECT lang, line_no, value, head, last_value(head IGNORE NULLS) OVER (PARTITION BY lang ORDER BY line_no) AS section

@@ -163,8 +163,8 @@ def effective_rules(rules: DataFrame) -> DataFrame:
     return rules.groupBy("lang", "key_nfd").agg(F.max_by("ipa_tied", "ord").alias("ipa_tied"), F.max("ord").alias("ord"))
 
 
-def diacritic_rules(spark: SparkSession, catalog: Catalog | None = None) -> DataFrame:
-    return chart_table(spark, catalog).select("lang", F.explode("diacritics").alias("mark", "ipa"))
+def diacritic_rules(spark: SparkSession, catalog: Catalog | None = None, charts: DataFrame | None = None) -> DataFrame:
+    return (chart_table(spark, catalog) if charts is None else charts).select("lang", F.explode("diacritics").alias("mark", "ipa"))
 
 
 def alphabet_units(spark: SparkSession, catalog: Catalog | None = None) -> DataFrame:
@@ -175,8 +175,8 @@ def romanization_rules(spark: SparkSession, catalog: Catalog | None = None) -> D
     return chart_table(spark, catalog).select("lang", F.explode("romanization").alias("native", "latin"))
 
 
-def chart_examples(spark: SparkSession, catalog: Catalog | None = None) -> DataFrame:
-    return chart_table(spark, catalog).select("lang", F.explode("examples").alias("e")).select("lang", "e.word", "e.gloss")
+def chart_examples(spark: SparkSession, catalog: Catalog | None = None, charts: DataFrame | None = None) -> DataFrame:
+    return (chart_table(spark, catalog) if charts is None else charts).select("lang", F.explode("examples").alias("e")).select("lang", "e.word", "e.gloss")
 
 
 def with_base(df: DataFrame, column: str) -> DataFrame:
