@@ -1,16 +1,21 @@
 """Nearest neighbours by vantage-point trees, one per shard of vectors.
 
-An upper vantage-point tree, fitted on a sample of at most FIT vectors, deals all vectors
-into leaves; a leaf of more than SHARD vectors is divided further by a hash of the id.  Each
-such shard builds a tree of its own.  A query first asks the shard it lies in, which bounds
-the distance of its k-th neighbour; then it goes to every other shard whose ball (centre and
-radius of its leaf) reaches within that bound, and to no other.  In a tree, a query skips
-the far side of a ball when |d - radius| > relax * (its k-th best distance so far), and it
-skips leaves by the same factor; relax 1 is the exact triangle inequality, smaller values
-prune more and may lose neighbours.
-
-A task holds one shard and reads queries in blocks of BLOCK; leaves (at most about
-FIT / ROUTE a dimension) with their centres, radii and sizes are all that the driver sees.
+An upper vantage-point tree, fitted on a sample of at most 2 * FIT vectors, deals all vectors
+into leaves; a leaf of more than SHARD vectors is divided further by a hash of id and vector.
+Each such shard builds a tree of its own, once, and keeps it for the second pass.  A query first
+asks the shard it lies in, which bounds the distance of its k-th neighbour; then it goes to every
+other shard that this bound reaches, and to no other.  What a leaf holds is known by rings: the
+least and greatest distance to its own centre and to PIVOTS vantage points that all leaves share;
+one ring out of reach rules the leaf out.  In a tree, a query skips the far side of a ball when
+|d - radius| > relax * (its k-th best distance so far), and it skips leaves by the same factor;
+relax 1 is the exact triangle inequality, smaller values prune more and may lose neighbours.
+Where all distances are nearly equal, as between vectors without clusters in many dimensions, no
+ring rules anything out, and an exact search asks every shard.
+
+The table is read twice, for the sample and to deal it; dealt vectors, and shards with their
+trees, are tables in the shared folder.  A task holds one shard and reads queries in blocks of
+BLOCK; leaves (at most about FIT / ROUTE a dimension) with their centres, rings and sizes are all
+that the driver sees.
 
 Distances that decide are exact: candidates are ranked by sqrt(sum((a - b) ** 2)) in double
 precision on the original vectors, summed in dimension order.  Bounds allow for rounding in
@@ -19,12 +24,13 @@ proportion to what they compare, so that vectors of any norm or offset lose noth
 Defined cases: vectors null, empty, zero, or with null or non-finite components take no
 part, nor do rows with a null id; vectors of another dimension than the query's are no
 candidates; ties go to the smaller id; a row is no candidate of a query with its own id;
-rows that repeat an id and its vector count once; an empty table gives no rows; further
+rows that repeat an id and its vector count once (within a batch before anything moves); an empty table gives no rows; further
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import mix, shared_folder
 
 SHARD = 4096  # vectors in a shard, about
 BLOCK = 256  # queries in a block, at most
 LEAF = 128
 FIT = 16384  # vectors that the upper tree is fitted on, about, at most
 ROUTE = 8  # of these, as many in one of its leaves at least
+PIVOTS = 32  # vantage points that the rings of all leaves of a dimension share
 RELAX = 1.0
 _EPS = float(np.finfo(float).eps)
 
@@ -73,6 +80,13 @@ class Tree:
         self.rng = np.random.default_rng(seed)
         self.root = self._build(np.arange(len(x)))
 
+    @classmethod
+    def kept(cls, x: np.ndarray, root) -> Tree:
+        """The tree over `x` that was built before, from its nodes."""
+        tree = cls.__new__(cls)
+        tree.x, tree.norm, tree.root = x, (x * x).sum(axis=1), root
+        return tree
+
     def _build(self, rows: np.ndarray):
         if len(rows) <= LEAF:
             return rows
@@ -166,6 +180,7 @@ class Router:
         self.least, self.rng = max(ROUTE, int(share * len(x))), np.random.default_rng(7)
         self.root = self._build(x)
         self.centre = np.stack(self.centres)
+        self.pivots = self.rng.permutation(x)[:PIVOTS]
 
     def _build(self, x: np.ndarray):
         if len(x) > self.least:
@@ -177,6 +192,10 @@ class Router:
         self.centres.append(x.mean(axis=0))
         return len(self.centres) - 1
 
+    def rings(self, leaf: int, x: np.ndarray) -> np.ndarray:
+        """Distances of the rows of x, all in one leaf, to its centre and to the pivots."""
+        return exact(x, np.concatenate((self.centre[leaf : leaf + 1], self.pivots)))
+
     def leaf(self, x: np.ndarray) -> np.ndarray:
         out, stack = np.zeros(len(x), dtype=np.int64), [(self.root, np.arange(len(x)))]
         while stack:
@@ -192,7 +211,7 @@ class Router:
 
 
 class Plan:
-    """Leaves by dimension, with the shards they are divided into and the balls that hold them."""
+    """Leaves by dimension, with the shards they are divided into and the rings that hold them."""
 
     def __init__(self, sample: list[np.ndarray], total: int, shard: int) -> None:
         kinds: dict[int, list[np.ndarray]] = {}
@@ -207,44 +226,72 @@ class Plan:
             self.routers[dim] = Router(np.zeros((1, dim)), 1.0)
         return self.routers[dim]
 
-    def number(self, leaves: list[tuple[int, int, int, float]]) -> int:
-        """Shard numbers for (dimension, leaf, vectors, radius) of all leaves; how many there are."""
+    def number(self, leaves: list[tuple[int, int, int, list[tuple[float, float]]]]) -> int:
+        """Shard numbers for (dimension, leaf, vectors, rings) of all leaves; how many there are."""
         self.first: dict[int, np.ndarray] = {}
         self.subs: dict[int, np.ndarray] = {}
-        self.far: dict[int, np.ndarray] = {}
+        self.low: dict[int, np.ndarray] = {}
+        self.high: dict[int, np.ndarray] = {}
         total = 0
-        for dim, leaf, n, far in sorted(leaves):
+        for dim, leaf, n, rings in sorted(leaves):
+            router = self.router(dim)
             if dim not in self.first:
-                size = len(self.router(dim).centre)
-                self.first[dim], self.subs[dim], self.far[dim] = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), np.zeros(size)
-            self.first[dim][leaf], self.subs[dim][leaf], self.far[dim][leaf] = total, max(1, -(-n // self.shard)), far
+                size, kinds = len(router.centre), 1 + len(router.pivots)
+                self.first[dim], self.subs[dim] = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+                self.low[dim], self.high[dim] = np.zeros((size, kinds)), np.full((size, kinds), np.inf)
+            self.first[dim][leaf], self.subs[dim][leaf] = total, max(1, -(-n // self.shard))
+            self.low[dim][leaf], self.high[dim][leaf] = np.array(rings).T
             total += int(self.subs[dim][leaf])
         return total
 
-    def part(self, dim: int, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        leaf = self.router(dim).leaf(x)
-        spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        return self.first[dim][leaf] + (spread % self.subs[dim][leaf].astype(np.uint64)).astype(np.int64)
+    def part(self, dim: int, leaf: int, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Shards of vectors of one leaf; rows of the same id and vector meet."""
+        first, subs = self.first[dim][leaf], self.subs[dim][leaf]
+        if subs == 1:
+            return np.full(len(x), first)
+        odd = 2 * np.arange(dim, dtype=np.uint64) + np.uint64(1)
+        bits = (np.ascontiguousarray(x).view(np.uint64) >> np.uint64(20)) * odd
+        spread = mix(ids.astype(np.uint64) + bits.sum(axis=1, dtype=np.uint64))
+        return first + (spread % np.uint64(subs)).astype(np.int64)
+
+    def reached(self, dim: int, q: np.ndarray, bound: np.ndarray, relax: float) -> np.ndarray:
+        """Queries by leaves: whether the leaf may hold something within the query's bound."""
+        router, low, high = self.router(dim), self.low[dim], self.high[dim]
+        kinds = np.concatenate((exact(q, router.centre)[:, :, None], np.broadcast_to(exact(q, router.pivots)[:, None, :], (len(q), len(low), len(router.pivots)))), axis=2)
+        gap = np.maximum(0.0, np.maximum(kinds - high, low - kinds))
+        margin = slack(dim, kinds, np.where(np.isinf(high), 0.0, high))
+        return reaches(gap, bound[:, None, None], relax, margin).all(axis=2) & (self.subs[dim] > 0)
 
     def others(self, dim: int, q: np.ndarray, bound: np.ndarray, relax: float, home: int) -> Iterator[tuple[int, np.ndarray]]:
         """(shard, queries) for each shard but the home that may hold something within the bounds."""
-        far = self.far[dim]
-        d = exact(q, self.router(dim).centre)
-        reach = reaches(np.maximum(0.0, d - far), bound[:, None], relax, slack(dim, d, far))
-        for leaf in np.flatnonzero(reach.any(axis=0) & (self.subs[dim] > 0)).tolist():
+        reach = self.reached(dim, q, bound, relax)
+        for leaf in np.flatnonzero(reach.any(axis=0)).tolist():
             asks = np.flatnonzero(reach[:, leaf])
             for part in range(int(self.first[dim][leaf]), int(self.first[dim][leaf] + self.subs[dim][leaf])):
                 if part != home:
                     yield part, asks
 
 
-_DEALT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary()), ("bound", pa.binary())])
-_DEALT_SQL = "part int, kind int, dim int, ids binary, vecs binary, bound binary"
-_FIRST = pa.schema([("home", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary()), ("bound", pa.binary()), ("hits", pa.binary()), ("scores", pa.binary())])
-_FIRST_SQL = "home int, dim int, ids binary, vecs binary, bound binary, hits binary, scores binary"
+_LEAVES = pa.schema([("dim", pa.int32()), ("leaf", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("ids", pa.binary()), ("vecs", pa.binary())])
+_LEAVES_SQL = "dim int, leaf int, kind int, n long, low array<double>, high array<double>, ids binary, vecs binary"
+_DEALT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary()), ("more", pa.binary())])
+_DEALT_SQL = "part int, kind int, dim int, ids binary, vecs binary, more binary"  # more: the tree of a shard, the bounds of queries
+_FIRST = pa.schema([("part", pa.int32()), ("dim", pa.int32()), ("shard_ids", pa.binary()), ("shard_vecs", pa.binary()), ("tree", pa.binary()), ("ids", pa.binary()), ("vecs", pa.binary()), ("bound", pa.binary()), ("hits", pa.binary()), ("scores", pa.binary())])
+_FIRST_SQL = "part int, dim int, shard_ids binary, shard_vecs binary, tree binary, ids binary, vecs binary, bound binary, hits binary, scores binary"
 _HITS_SQL = "query_id long, vec_id long, score double"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder, so that a later pass reads only the columns it needs."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """In order of id; of rows that repeat an id and its vector one."""
     order = np.argsort(ids, kind="stable")
@@ -259,23 +306,6 @@ def once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[keep], x[keep]
 
 
-class Shard:
-    """What a task holds of one shard: vectors and trees by dimension."""
-
-    def __init__(self) -> None:
-        self.held: dict[int, list[tuple[bytes, bytes]]] = {}
-        self.trees: dict[int, tuple[np.ndarray, Tree]] = {}
-
-    def add(self, dim: int, ids: bytes, vecs: bytes) -> None:
-        self.held.setdefault(dim, []).append((ids, vecs))
-
-    def tree(self, dim: int) -> tuple[np.ndarray, Tree] | None:
-        if dim in self.held:
-            ids, x = unpacked(self.held.pop(dim), dim)
-            self.trees[dim] = ids, Tree(x)
-        return self.trees.get(dim)
-
-
 def unpacked(rows: list[tuple[bytes, bytes]], dim: int) -> tuple[np.ndarray, np.ndarray]:
     ids, x = (np.frombuffer(b"".join(r[k] for r in rows), dtype=kind) for k, kind in ((0, np.int64), (1, np.float64)))
     return once(ids, x.reshape(-1, dim))
@@ -284,104 +314,118 @@ def unpacked(rows: list[tuple[bytes, bytes]], dim: int) -> tuple[np.ndarray, np.
 def search(vectors: DataFrame, queries: Column, k: int = 10, relax: float = RELAX, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row for which `queries` holds."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(queries, F.lit(False)).alias("asks")).filter(F.col("id").isNotNull() & usable(F.col("vec")))
-    total = rows.count()
-    share = F.xxhash64("id", F.lit(3)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
-    fitted = rows.filter(share < min(1.0, FIT / max(1, total))).select("vec").limit(2 * FIT).collect()
-    plan = Plan([np.asarray(r["vec"]) for r in fitted], total, shard)
-
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], list] = {}
-        for batch in batches:
-            for dim, _, x in by_dimension(batch.column(0)):
-                router = plan.router(dim)
-                leaf = router.leaf(x)
-                d = distances(x, router.centre[leaf])
-                for at in np.unique(leaf).tolist():
-                    own = found.setdefault((dim, at), [0, 0.0])
-                    own[0] += int((leaf == at).sum())
-                    own[1] = max(own[1], float(d[leaf == at].max()))
-        if found:
-            yield pa.RecordBatch.from_pydict({"dim": pa.array([x[0] for x in found], pa.int32()), "leaf": pa.array([x[1] for x in found], pa.int32()), "n": pa.array([x[0] for x in found.values()], pa.int64()), "far": [x[1] for x in found.values()]})
+    total = vectors.count()
+    share = F.xxhash64("id", "vec", F.lit(3)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dim, _, x in by_dimension(b.column(0)):
+                yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "vecs": pa.array([x.tobytes()], pa.binary())})
 
-    counted = rows.select("vec").mapInArrow(leaves, "dim int, leaf int, n long, far double").groupBy("dim", "leaf").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()
-    shards = max(1, plan.number([(r["dim"], r["leaf"], r["n"], r["far"]) for r in counted]))
+    fitted = rows.filter(share < min(1.0, FIT / max(1, total))).select("vec").limit(2 * FIT).mapInArrow(packed, "dim int, vecs binary").collect()
+    plan = Plan([v for r in fitted for v in np.frombuffer(r["vecs"]).reshape(-1, r["dim"])], total, shard)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, asks, out = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), []
-            for dim, at, x in by_dimension(batch.column(1)):
-                part = plan.part(dim, x, ids[at])
-                for kind, some in ((0, np.arange(len(at))), (1, np.flatnonzero(asks[at]))):
-                    if not len(some):
-                        continue
-                    some = some[np.argsort(part[some], kind="stable")]
-                    edge = np.flatnonzero(np.diff(part[some], prepend=-1))
-                    for a, e in zip(edge, np.append(edge[1:], len(some)), strict=True):
-                        own = some[a:e]
-                        out.append((int(part[own[0]]), kind, dim, ids[at[own]].tobytes(), x[own].tobytes(), None))
+        """Rows of a batch by leaf, with the rings that hold them."""
+        for b in batches:
+            ids, asks, out = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), []
+            for dim, at, x in by_dimension(b.column(1)):
+                router = plan.router(dim)
+                leaf = router.leaf(x)
+                for one in np.unique(leaf).tolist():
+                    here = np.flatnonzero(leaf == one)
+                    own, v = once(ids[at[here]], x[here])
+                    rings = router.rings(one, v)
+                    out.append((dim, one, 0, len(own), rings.min(axis=0), rings.max(axis=0), own.tobytes(), v.tobytes()))
+                    if (some := here[asks[at[here]]]).size:
+                        own, v = once(ids[at[some]], x[some])
+                        out.append((dim, one, 1, 0, None, None, own.tobytes(), v.tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _DEALT, strict=True)], schema=_DEALT)
+                yield batch(out, _LEAVES)
+
+    dealt = stored(rows.mapInArrow(deal, _LEAVES_SQL), "leaves")
+    rings = dealt.filter("kind = 0").select("dim", "leaf", "n", F.posexplode(F.arrays_zip("low", "high")).alias("ring", "r"))
+    found: dict[tuple[int, int], tuple[int, list[tuple[float, float]]]] = {}
+    for r in rings.groupBy("dim", "leaf", "ring").agg(F.sum("n").alias("n"), F.min("r.low").alias("low"), F.max("r.high").alias("high")).orderBy("dim", "leaf", "ring").collect():
+        found.setdefault((r["dim"], r["leaf"]), (r["n"], []))[1].append((r["low"], r["high"]))
+    shards = max(1, plan.number([(*key, n, ring) for key, (n, ring) in found.items()]))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of leaves by shard."""
+        for b in batches:
+            out = []
+            for dim, leaf, kind, names, vecs in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids, x = np.frombuffer(names, dtype=np.int64), np.frombuffer(vecs).reshape(-1, dim)
+                part = plan.part(dim, leaf, x, ids)
+                out += [(one, kind, dim, ids[part == one].tobytes(), x[part == one].tobytes(), None) for one in np.unique(part).tolist()]
+            if out:
+                yield batch(out, _DEALT)
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query in its own shard."""
-        at, own, asking = None, Shard(), {}
+        """Shards with their trees, and each query's neighbours in its own shard."""
+        at, held, asking = None, {}, {}
 
         def close():
-            for dim, rows in asking.items():
-                q_ids, q = unpacked(rows, dim)
-                ids, tree = own.tree(dim)
+            for dim, own in held.items():
+                ids, x = unpacked(own, dim)
+                tree = Tree(x)
+                if shards > 1:
+                    yield batch([(at, dim, ids.tobytes(), x.tobytes(), pickle.dumps(tree.root), None, None, None, None, None)], _FIRST)
+                if dim not in asking:
+                    continue
+                q_ids, q = unpacked(asking[dim], dim)
                 for i in range(0, len(q), BLOCK):
                     part, names = q[i : i + BLOCK], q_ids[i : i + BLOCK]
-                    found, d = tree.search(part, names, ids, k, relax)
-                    hits = np.where(found >= 0, ids[found], 0)
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((at, dim, names.tobytes(), part.tobytes(), d[:, -1].tobytes(), hits.tobytes(), d.tobytes()), _FIRST, strict=True)], schema=_FIRST)
+                    rows_of, d = tree.search(part, names, ids, k, relax)
+                    hits = np.where(rows_of >= 0, ids[rows_of], 0)
+                    yield batch([(at, dim, None, None, None, names.tobytes(), part.tobytes(), d[:, -1].tobytes(), hits.tobytes(), d.tobytes())], _FIRST)
 
-        for batch in batches:
-            for part, kind, dim, ids, vecs, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for b in batches:
+            for part, kind, dim, ids, vecs, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if part != at:
                     yield from close()
-                    at, own, asking = part, Shard(), {}
-                if kind == 0:
-                    own.add(dim, ids, vecs)
-                else:
-                    asking.setdefault(dim, []).append((ids, vecs))
+                    at, held, asking = part, {}, {}
+                (asking if kind else held).setdefault(dim, []).append((ids, vecs))
         yield from close()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries to the other shards within their bounds."""
-        for batch in batches:
-            for at, dim, ids, vecs, bound, _, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                names, q, most = np.frombuffer(ids, dtype=np.int64), np.frombuffer(vecs, dtype=np.float64).reshape(-1, dim), np.frombuffer(bound, dtype=np.float64)
+        for b in batches:
+            for at, dim, ids, vecs, bound in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                names, q, most = np.frombuffer(ids, dtype=np.int64), np.frombuffer(vecs).reshape(-1, dim), np.frombuffer(bound)
                 for part, asks in plan.others(dim, q, most, relax, at):
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, 1, dim, names[asks].tobytes(), q[asks].tobytes(), most[asks].tobytes()), _DEALT, strict=True)], schema=_DEALT)
+                    yield batch([(part, 1, dim, names[asks].tobytes(), q[asks].tobytes(), most[asks].tobytes())], _DEALT)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, Shard()
-        for batch in batches:
-            for part, kind, dim, ids, vecs, bound in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        at, trees = None, {}
+        for b in batches:
+            for part, kind, dim, ids, vecs, more in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if part != at:
-                    at, own = part, Shard()
+                    at, trees = part, {}
+                names, x = np.frombuffer(ids, dtype=np.int64), np.frombuffer(vecs).reshape(-1, dim)
                 if kind == 0:
-                    own.add(dim, ids, vecs)
-                elif (met := own.tree(dim)) is not None:
-                    names = np.frombuffer(ids, dtype=np.int64)
-                    found, d = met[1].search(np.frombuffer(vecs, dtype=np.float64).reshape(-1, dim), names, met[0], k, relax, np.frombuffer(bound, dtype=np.float64))
-                    some = found >= 0
-                    yield pa.RecordBatch.from_pydict({"query_id": np.broadcast_to(names[:, None], found.shape)[some], "vec_id": met[0][found[some]], "score": d[some]})
+                    trees[dim] = names, Tree.kept(x, pickle.loads(more))
+                elif dim in trees:
+                    own, tree = trees[dim]
+                    rows_of, d = tree.search(x, names, own, k, relax, np.frombuffer(more))
+                    some = rows_of >= 0
+                    yield pa.RecordBatch.from_pydict({"query_id": np.broadcast_to(names[:, None], rows_of.shape)[some], "vec_id": own[rows_of[some]], "score": d[some]})
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, hits, scores in zip(*(batch.column(c).to_pylist() for c in (2, 5, 6)), strict=True):
-                names, d = np.frombuffer(ids, dtype=np.int64), np.frombuffer(scores, dtype=np.float64).reshape(-1, k)
+        for b in batches:
+            for ids, hits, scores in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                names, d = np.frombuffer(ids, dtype=np.int64), np.frombuffer(scores).reshape(-1, k)
                 some = np.isfinite(d)
                 yield pa.RecordBatch.from_pydict({"query_id": np.broadcast_to(names[:, None], d.shape)[some], "vec_id": np.frombuffer(hits, dtype=np.int64).reshape(-1, k)[some], "score": d[some]})
 
     together = lambda df: df.repartitionById(shards, F.col("part")).sortWithinPartitions("part", "kind")
-    dealt = rows.mapInArrow(deal, _DEALT_SQL)
-    first = cut(together(dealt).mapInArrow(home, _FIRST_SQL))
-    near = first.mapInArrow(told, _HITS_SQL)
+    parted = dealt.select("dim", "leaf", "kind", "ids", "vecs").mapInArrow(split, _DEALT_SQL)
+    first = stored(together(parted).mapInArrow(home, _FIRST_SQL), "shards")
+    asked = first.filter("ids IS NOT NULL")
+    near = asked.select("ids", "hits", "scores").mapInArrow(told, _HITS_SQL)
     if shards > 1:
-        sent = first.mapInArrow(send, _DEALT_SQL)
-        near = near.unionByName(together(dealt.filter("kind = 0").unionByName(sent)).mapInArrow(visit, _HITS_SQL))
+        kept = first.filter("tree IS NOT NULL").select("part", F.lit(0).alias("kind"), "dim", F.col("shard_ids").alias("ids"), F.col("shard_vecs").alias("vecs"), F.col("tree").alias("more"))
+        sent = asked.select("part", "dim", "ids", "vecs", "bound").mapInArrow(send, _DEALT_SQL)
+        near = near.unionByName(together(kept.unionByName(sent)).mapInArrow(visit, _HITS_SQL))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -44,6 +44,47 @@ KEPT = 200_000
 KEPT_CHARACTERS = 8 << 20
 
 
+def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a protocol buffer's fields: numbers, and bytes of strings and messages."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = message[at]
+            at, value, shift = at + 1, value | (b & 127) << shift, shift + 7
+            if b < 128:
+                return value
+
+    while at < len(message):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(tag & 7) or varint()
+            yield tag >> 3, message[at : at + size]
+            at += size
+
+
+def model_kind(model: bytes) -> tuple[str, str]:
+    """A model file's kind, and how it rewrites text first ('' if it does not).
+
+    Read from the file's public format: field 2 is the training's settings, whose field 3 is
+    the kind; field 3 is the normaliser, with a character map (2), whether a space goes before
+    the text (3) and whether repeated spaces go (4).
+    """
+    kind, charsmap, prefix, squeeze = 1, b"", 1, 1
+    for number, value in fields(model):
+        if number == 2:
+            kind = dict(fields(value)).get(3, kind)
+        elif number == 3:
+            own = dict(fields(value))
+            charsmap, prefix, squeeze = own.get(2, charsmap), own.get(3, prefix), own.get(4, squeeze)
+    rewrites = "maps characters" if charsmap else "drops repeated spaces" if squeeze else "puts no space before a text" if not prefix else ""
+    return {1: "unigram", 2: "bpe", 3: "word", 4: "char"}.get(kind, str(kind)), rewrites
+
+
 @dataclass
 class Vocabulary:
     pieces: list[str]
@@ -53,10 +94,22 @@ class Vocabulary:
     tables: Tables | None = field(default=None, repr=False)
 
     @classmethod
-    def load(cls, path: str, kind: str = "bpe") -> Vocabulary:
-        """From a SentencePiece model file with the identity normaliser and byte fallback."""
+    def load(cls, path: str, kind: str | None = None) -> Vocabulary:
+        """From a SentencePiece model file, BPE or unigram as the file says.
+
+        Models of other kinds, of another kind than `kind`, or that rewrite characters or
+        spaces before they are cut are refused, since their ids would differ.
+        """
         import sentencepiece
 
+        with open(path, "rb") as f:
+            found, rewrites = model_kind(f.read())
+        if found not in ("bpe", "unigram") or kind not in (None, found):
+            raise ValueError(f"{path}: a model of kind {found}, {kind or 'bpe or unigram'} wanted")
+        if rewrites:
+            raise ValueError(f"{path}: the model {rewrites}, which is not supported")
+        kind = found
+
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         n = p.get_piece_size()
         kinds = np.array([1 if p.is_control(i) else 2 if p.is_unknown(i) else 3 if p.is_byte(i) else 4 if p.is_unused(i) else 0 for i in range(n)], dtype=np.int8)

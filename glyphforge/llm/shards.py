@@ -10,7 +10,8 @@ each as one record of fixed stride, so record r of a shard starts at r * stride,
 reader resumes at any slot by arithmetic.
 
 Tokens travel once by document, to number them, and once by shard.  Bucket totals (BUCKETS
-numbers) are the only thing that the driver sees; documents without an id, or that share
+numbers, or one for each BUCKET_TOKENS tokens where these are more: 1.5 million at 100 TB) are
+the only thing that the driver sees; documents without an id, or that share
 one, spread over buckets by their tokens.
 
 Tokens are bytes (a binary column, ids 0 to 255) or ids of a tokenizer (an array of int, as
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import mix
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 15  # at least
+BUCKET_TOKENS = 1 << 26  # in a bucket, about, at most: larger inputs get more buckets
 ROUNDS = 4
 END, PAD = 256, 257  # after the 256 byte values
 
@@ -102,13 +104,18 @@ def sequences(rows: DataFrame, layout: Layout, tokens: Column, id_col: str = "do
     else:
         rows = rows.select("doc_id", F.coalesce("tokens", F.lit(b"")).alias("tokens"))
         length = F.octet_length("tokens")
-    bucket = F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(BUCKETS)).cast("int")
     n = F.floor(length / F.lit(layout.seq_len)) + 1  # with the end token
-    counts = {r["bucket"]: r["n"] for r in rows.groupBy(bucket.alias("bucket")).agg(F.sum(n.cast("long")).alias("n")).collect()}
-    starts, total = np.zeros(BUCKETS, dtype=np.int64), 0
-    for k in range(BUCKETS):
-        starts[k] = total
-        total += counts.get(k, 0)
+
+    def counted(buckets: int) -> tuple[Column, np.ndarray]:
+        bucket, out = F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(buckets)).cast("int"), np.zeros(buckets, dtype=np.int64)
+        for r in rows.groupBy(bucket.alias("bucket")).agg(F.sum(n.cast("long")).alias("n")).collect():
+            out[r["bucket"]] = r["n"]
+        return bucket, out
+
+    bucket, counts = counted(BUCKETS)
+    if (wanted := 1 << (int(counts.sum()) * layout.seq_len // BUCKET_TOKENS).bit_length()) > BUCKETS:
+        bucket, counts = counted(wanted)
+    starts, total = np.cumsum(counts) - counts, int(counts.sum())
     # a task numbers about 128 MB of tokens at most
     partitions = max(int(session.conf.get("spark.sql.shuffle.partitions")), total * layout.seq_len >> 27)
 
@@ -184,11 +191,14 @@ def materialise(rows: DataFrame, layout: Layout = Layout(), tokens: Column | Non
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """Write each shard of `materialise` as a file of records, and return (shard, path, records, bytes, crc32).
 
-    `folder` is a path that every executor can write (a shared mount) or a URI that pyarrow
-    knows.  A shard is written under a name of its attempt and renamed, so a retry of a lost
+    `folder` is a URI that pyarrow knows; a plain path is taken on a single machine alone, since
+    elsewhere each executor would keep its own shards (name a shared mount as file:///...).  A shard is written under a name of its attempt and renamed, so a retry of a lost
     task writes the same bytes again and readers never see half a shard.
     """
 
+    if "://" not in folder and not ordered.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError(f"{folder!r} is a path of one machine: name a folder that all executors share, with its scheme")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
