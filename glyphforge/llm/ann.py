@@ -107,36 +107,37 @@ class Tree:
         self._visit(self.root, np.arange(len(q)))
         return self.rows, self.best
 
-    def _offer(self, active: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
-        """Take the better of what the active queries hold and the distances d to rows."""
-        d = np.where(self.ids[rows][None, :] == self.own[active][:, None], np.inf, d)
-        both = np.concatenate((self.best[active], d), axis=1)
-        names = np.concatenate((self.rows[active], np.broadcast_to(rows, d.shape)), axis=1)
-        names = np.where(np.isinf(both), -1, names)
-        # order by distance, ties by id
-        tie = np.where(names >= 0, self.ids[names], np.iinfo(np.int64).max)
-        order = np.lexsort((tie, both), axis=1)[:, : self.k]
-        self.best[active] = np.take_along_axis(both, order, axis=1)
-        self.rows[active] = np.take_along_axis(names, order, axis=1)
+    def _offer(self, asks: np.ndarray, rows: np.ndarray) -> None:
+        """Let pairs of a query and a row compete with what these queries hold; ties go to the smaller id."""
+        other = self.ids[rows] != self.own[asks]
+        asks, rows = asks[other], rows[other]
+        if not len(asks):
+            return
+        who = np.unique(asks)
+        query = np.concatenate((np.repeat(who, self.k), asks))
+        d = np.concatenate((self.best[who].ravel(), paired(self.q[asks], self.x[rows])))
+        names = np.concatenate((self.rows[who].ravel(), rows))
+        order = np.lexsort((np.where(names >= 0, self.ids[names], np.iinfo(np.int64).max), d, query))
+        first = np.searchsorted(query[order], who)[:, None] + np.arange(self.k)
+        self.best[who], self.rows[who] = d[order][first], names[order][first]
 
     def _visit(self, node, active: np.ndarray) -> None:
         if not len(active):
             return
         if isinstance(node, np.ndarray):
             if len(node):
-                # a cheap bound first, then exact differences for what may enter
+                # a cheap bound first, then exact differences for the pairs that may enter
                 # (of squares, whose rounding errors grow with the norms and dimensions)
                 norms = self.qn[active][:, None] + self.norm[node][None, :]
                 rough = norms - 2 * self.q[active] @ self.x[node].T
                 near = rough <= self.best[active, -1][:, None] ** 2 * (1 + slack(self.x.shape[1], 1.0)) + slack(self.x.shape[1], norms)
-                some = near.any(axis=0)
-                if some.any():
-                    rows, take = node[some], near.any(axis=1)
-                    self._offer(active[take], rows, exact(self.q[active[take]], self.x[rows]))
+                asks, rows = np.nonzero(near)
+                self._offer(active[asks], node[rows])
             return
         at, radius, inner, outer = node
         d = exact(self.q[active], self.x[[at]])[:, 0]
-        self._offer(active, np.array([at]), d[:, None])
+        asks = active[d <= self.best[active, -1]]
+        self._offer(asks, np.full(len(asks), at))
         inside = d <= radius
         self._visit(inner, active[inside])
         self._visit(outer, active[~inside])
@@ -156,6 +157,14 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of the rows of a to those of b at the same places, as `exact` sums them."""
+    total = np.zeros(len(a))
+    for column in (a - b).T:
+        total += column * column
+    return np.sqrt(total)
+
+
 def usable(vec: Column) -> Column:
     """Not null or empty, all components finite numbers, not all zero."""
     fine = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
