@@ -14,7 +14,7 @@ ring rules anything out, and an exact search asks every shard.
 
 The table is read twice, for the sample and to deal it; dealt vectors, and shards with their
 trees, are tables in the shared folder.  A task holds one shard and reads queries in blocks of
-BLOCK; leaves (at most about FIT / ROUTE a dimension) with their centres, rings and sizes are all
+BLOCK or twice that; leaves (at most about FIT / ROUTE a dimension) with their centres, rings and sizes are all
 that the driver sees.
 
 Distances that decide are exact: candidates are ranked by sqrt(sum((a - b) ** 2)) in double
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import mix, shared_folder
 
 SHARD = 4096  # vectors in a shard, about
-BLOCK = 256  # queries in a block, at most
+BLOCK = 1024  # queries in a block, at most
 LEAF = 128
 FIT = 16384  # vectors that the upper tree is fitted on, about, at most
 ROUTE = 8  # of these, as many in one of its leaves at least
@@ -406,19 +406,31 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, relax: float = RELA
                     yield batch([(part, 1, dim, names[asks].tobytes(), q[asks].tobytes(), most[asks].tobytes())], _DEALT)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, trees = None, {}
+        at, trees, waiting, size = None, {}, {}, 0
+
+        def close():
+            """Ask for the queries that wait, together."""
+            for dim, asks in waiting.items():
+                if dim not in trees:
+                    continue
+                (own, tree), names = trees[dim], np.concatenate([a[0] for a in asks])
+                rows_of, d = tree.search(np.concatenate([a[1] for a in asks]), names, own, k, relax, np.concatenate([a[2] for a in asks]))
+                some = rows_of >= 0
+                yield pa.RecordBatch.from_pydict({"query_id": np.broadcast_to(names[:, None], rows_of.shape)[some], "vec_id": own[rows_of[some]], "score": d[some]})
+
         for b in batches:
             for part, kind, dim, ids, vecs, more in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if part != at:
-                    at, trees = part, {}
+                if part != at or size >= BLOCK:
+                    yield from close()
+                    waiting, size = {}, 0
+                    at, trees = part, trees if part == at else {}
                 names, x = np.frombuffer(ids, dtype=np.int64), np.frombuffer(vecs).reshape(-1, dim)
                 if kind == 0:
                     trees[dim] = names, Tree.kept(x, pickle.loads(more))
-                elif dim in trees:
-                    own, tree = trees[dim]
-                    rows_of, d = tree.search(x, names, own, k, relax, np.frombuffer(more))
-                    some = rows_of >= 0
-                    yield pa.RecordBatch.from_pydict({"query_id": np.broadcast_to(names[:, None], rows_of.shape)[some], "vec_id": own[rows_of[some]], "score": d[some]})
+                else:
+                    waiting.setdefault(dim, []).append((names, x, np.frombuffer(more)))
+                    size += len(names)
+        yield from close()
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
