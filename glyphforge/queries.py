@@ -531,9 +531,11 @@ def effective_rules(spark, sf_dir):
     return ch.effective_rules(seen_rules(spark, sf_dir)).select("lang", nfc(F.col("key_nfd")).alias("key"), "ipa_tied")
 
 
-@seen("chart_confidence", f"SELECT confidence, count(*) AS n FROM {values([(k, c['confidence']) for k, c in _BUNDLED.charts.items()], 'lang, confidence')} WHERE lang IN (SELECT lang FROM {_RULES}) GROUP BY confidence")
+@seen("chart_confidence", f"SELECT confidence, count(*) AS n, count(*) FILTER (lang IN (SELECT lang FROM {_RULES})) AS attested FROM {values([(k, c['confidence']) for k, c in _BUNDLED.charts.items()], 'lang, confidence')} GROUP BY confidence")
 def chart_confidence(spark, sf_dir):
-    return an.chart_confidence(spark, charts=seen_charts(spark, sf_dir))
+    """All charts by confidence, and of how many the documents attest a rule."""
+    attested = an.chart_confidence(spark, charts=seen_charts(spark, sf_dir)).withColumnRenamed("n", "attested")
+    return an.chart_confidence(spark).join(attested, "confidence", "left").fillna(0, ["attested"])
 
 
 @seen("chart_qa_issues", f"""SELECT lang, 'few graphemes' AS issue, count(*)::VARCHAR AS detail FROM {_RULES} GROUP BY lang HAVING count(*) < 12
