@@ -538,10 +538,10 @@ def chart_confidence(spark, sf_dir):
     return an.chart_confidence(spark).join(attested, "confidence", "left").fillna(0, ["attested"])
 
 
-@seen("chart_qa_issues", f"""SELECT lang, 'few graphemes' AS issue, count(*)::VARCHAR AS detail FROM {_RULES} GROUP BY lang HAVING count(*) < 12
+@seen("chart_qa_issues", f"""SELECT lang, 'few graphemes' AS issue, count(*)::VARCHAR AS detail FROM {_RULES} GROUP BY lang HAVING count(*) < 32
         UNION ALL SELECT lang, 'suspicious sound', concat_ws('=', grapheme, ipa) FROM {_RULES} WHERE regexp_matches(ipa, '[0-9]')""")
 def chart_qa_issues(spark, sf_dir):
-    return an.chart_issues(spark, rules=seen_rules(spark, sf_dir), charts=seen_charts(spark, sf_dir), least=12)
+    return an.chart_issues(spark, rules=seen_rules(spark, sf_dir), charts=seen_charts(spark, sf_dir), least=32)
 
 
 _CHART_MARKS = values([(c, m, v) for c in _BUNDLED.languages() for m, v in (_BUNDLED.charts[c].get("diacritics") or {}).items()], "lang, mark, ipa")
