@@ -231,3 +231,9 @@ def test_command_line(capsys, monkeypatch):
     assert cli.main(["dyu", "--lines"]) == 0 and capsys.readouterr().out == "ny i n i\nkp a k o\n"
     assert cli.main(["zzz", "a"]) == 1 and "zzz" in capsys.readouterr().err
     assert cli.main(["--list"]) == 0 and "dyu\t" in capsys.readouterr().out
+
+
+def test_picks_count_every_document_of_a_text(spark):
+    rows = spark.createDataFrame([("a", "z", 1.0, 2), ("a", "y", 1.0, 1), ("b", "z", 1.0, 1), ("b", "y", 0.95, 3), ("b", "x", 0.9, 1), ("b", "w", 0.5, 1)], "lang string, text string, coverage double, times int")
+    assert sorted((r.lang, r.text) for r in an.sample_picks(rows, "lang", "text", times="times").collect()) == [("a", "z"), ("b", "y"), ("b", "z")]
+    assert sorted((r.lang, r.text) for r in an.sample_picks(rows, "lang", "text").collect()) == [("a", "y"), ("a", "z"), ("b", "y"), ("b", "z")]
