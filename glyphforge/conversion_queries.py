@@ -233,8 +233,11 @@ _UNIT_SUMS = "lang, is_word, base, marks, known, count(*) AS n, count(DISTINCT d
 def unit_relation(spark, sf_dir):
     """Every written unit of every document with its place, counted and summed by base and marks."""
     rows = un.unit_relation(docs(spark, sf_dir), "text", spec("kus"), ["doc_id", "lang"])
-    sums = [F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"), F.sum("tok").alias("toks"), F.sum("pos").alias("places"), F.max(F.sha2("unit", 256)).alias("unit")]
-    return rows.groupBy("lang", "is_word", "base", "marks", "known").agg(*sums)
+    by = ["lang", "is_word", "base", "marks", "known"]
+    # once for each document and unit; the digest is taken of distinct units
+    each = rows.groupBy(*by, "unit", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tok").alias("toks"), F.sum("pos").alias("places"))
+    sums = [F.sum("n").alias("n"), F.count_distinct("doc_id").alias("docs"), F.sum("toks").alias("toks"), F.sum("places").alias("places"), F.max(F.sha2("unit", 256)).alias("unit")]
+    return each.groupBy(*by).agg(*sums)
 
 
 # ---------------------------------------------------------------- drafted charts

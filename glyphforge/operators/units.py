@@ -5,33 +5,69 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.text import _lookup, compose, nfd_str, normalize_str, tokenize_str
+from ..functions.text import REMEMBERED, Memo, nfd_str, normalize_str, piece_pattern, slices, word_pattern
 from ..plans.charts import Spec
 from ..sources.charts import Catalog, bundled
+from .words import free
 
-TOKEN = "array<struct<text:string,is_word:boolean,parts:string>>"
-COLUMNS = "tok pos is_word unit base marks known"
+COLUMNS, KINDS = "tok pos is_word unit base marks known", "integer integer boolean string string string boolean"
 ROWS = "key string, tok int, pos int, is_word boolean, unit string, base string, marks string, known boolean"
 
 
-def tokens_decomposed(text: Column) -> Column:
-    """Tokens of the normalised text with their decomposition; one trip through Arrow, as Catalyst has no normal forms."""
-
-    @F.pandas_udf(TOKEN)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda x: [{"text": w, "is_word": is_word, "parts": nfd_str(w) if is_word else ""} for w, is_word in tokenize_str(normalize_str(x))], na_action="ignore")
-
-    return run(text)
+TYPES = (pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_())
+PART = 1 << 18  # bytes of text whose units are made at once
+
+
+class Units:
+    """The unit relation of batches of texts in Arrow columns; a worker cuts a distinct word once."""
+
+    def __init__(self, spec: Spec) -> None:
+        self.spec = spec
+        self._begin()
+
+    def _begin(self) -> None:
+        self.number: dict[tuple, int] = {}  # (is_word, unit, base, marks, known)
+        self.pieces, self.columns = Memo(self._cut), []
+
+    def _cut(self, piece: str) -> np.ndarray:
+        """Numbers of the units of a word, or of what stands between two."""
+        found = [(False, piece, None, None, False)]
+        if word_pattern().match(piece):
+            found = []
+            for key, marks, other in self.spec.pattern.findall(nfd_str(piece)):
+                if key:
+                    base = self.spec.latin.get(key, key)
+                    found.append((True, unicodedata.normalize("NFC", base + marks), base, marks, True))
+                elif not unicodedata.combining(other):
+                    found.append((True, other, other, "", False))
+        return np.array([self.number.setdefault(u, len(self.number)) for u in found], np.int32)
+
+    def rows(self, texts: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
+        """For each unit the place of its text, and the columns of the relation."""
+        if len(self.number) > REMEMBERED:
+            self._begin()
+        split = [[] if x is None else piece_pattern().findall(normalize_str(x)) for x in texts.to_pylist()]
+        counts = np.array([len(s) for s in split], np.int64)
+        cut = [self.pieces[p] for s in split for p in s]
+        sizes = np.array([len(c) for c in cut], np.int64)
+        ids = np.concatenate([np.empty(0, np.int32), *cut])
+        row = np.repeat(np.repeat(np.arange(len(split)), counts), sizes)
+        tok = np.repeat(np.arange(len(cut)) - np.repeat(counts.cumsum() - counts, counts), sizes)
+        pos = np.arange(len(ids)) - np.repeat(sizes.cumsum() - sizes, sizes)
+        if not self.columns or len(self.columns[0]) < len(self.number):
+            self.columns = [pa.array([u[k] for u in self.number], kind) for k, kind in enumerate(TYPES[2:])]
+        at = pa.array(ids)
+        return pa.array(row), [pa.array(tok.astype(np.int32)), pa.array(pos.astype(np.int32)), *[c.take(at) for c in self.columns]]
 
 
 def unit_relation(docs: DataFrame, text: str, spec: Spec, keep: list[str]) -> DataFrame:
-    """keep, tok, pos, is_word, unit, base, marks, known: units are cut in the JVM by generators and capturing expressions.
+    """keep, tok, pos, is_word, unit, base, marks, known: Arrow batches go in, parts of bounded size come out.
 
     `base` is the key that a unit was matched by (its latin form in that output), decomposed
     as `marks` are, `unit` both composed.  A character that is no key is a unit of its own,
@@ -40,58 +76,41 @@ def unit_relation(docs: DataFrame, text: str, spec: Spec, keep: list[str]) -> Da
     """
     if spec.output == "ipa":
         raise ValueError("written units need output grapheme or latin; `respell.word_sounds` gives sounds")
-    keys = spec.java.partition("[")[0] if spec.keys else ""
-    own = docs.select(*keep, F.posexplode(tokens_decomposed(F.col(text))).alias("tok", "t_"))
-    cut = F.when(F.col("t_.is_word"), F.regexp_extract_all("t_.parts", F.lit(spec.java), F.lit(0))).otherwise(F.array(F.col("t_.text")))
-    rows = own.select(*keep, "tok", F.col("t_.is_word").alias("is_word"), F.posexplode(cut).alias("pos", "u_"))
-    key = F.when(F.col("is_word"), F.regexp_extract("u_", f"^{keys}", 0) if keys else F.lit(""))
-    rows = rows.withColumn("key_", key)
-    base = F.coalesce(F.element_at(_lookup(spec.latin), F.col("key_")), F.col("key_"))
-    known = F.coalesce(F.col("key_") != "", F.lit(False))
-    marks = F.when(known, F.expr("substr(u_, length(key_) + 1)"))
-    rows = rows.select(*keep, "tok", "pos", "is_word", "u_", F.when(F.col("is_word"), F.when(known, base).otherwise(F.col("u_"))).alias("base"), F.when(F.col("is_word"), F.coalesce(marks, F.lit(""))).alias("marks"), known.alias("known"))
-    unit = F.when(F.col("is_word"), compose(F.concat("base", "marks"))).otherwise(F.col("u_"))
-    return rows.select(*keep, "tok", "pos", "is_word", unit.alias("unit"), "base", "marks", "known")
+    given = docs.select(*keep, F.col(text).alias(free(docs.columns, "text_")))
+    schema = StructType(given.schema.fields[:-1])
+    for name, kind in zip(COLUMNS.split(" "), KINDS.split(" "), strict=True):
+        schema = schema.add(name, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units(spec)
+        for batch in batches:
+            for part in slices(batch, PART):
+                row, columns = units.rows(part.column(len(keep)))
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(row) for k in range(len(keep))], *columns], names=schema.names)
+
+    return given.mapInArrow(run, schema)
 
 
 def units_function(catalog: Catalog | None = None):
     """The SQL table function `unit_rows(TABLE(SELECT key, text FROM t), 'swh')`: key as a string, and the columns of the unit relation.
 
-    The table's first column is the key, its second the text.  Arrow batches go in and out;
-    each worker cuts a distinct word once.  (Arrow table functions have a fixed schema.)
+    The table's first column is the key, its second the text.  Arrow batches go in, parts of
+    bounded size come out; each worker cuts a distinct word once.  (Arrow table functions have a fixed schema.)
     """
     charts = (catalog or bundled()).charts
 
     class UnitRows:
         def __init__(self) -> None:
-            self.made: dict[str, tuple[Spec, dict]] = {}
-
-        def _words(self, lang: str, word: str) -> list[tuple[str, str, str, bool]]:
-            spec, seen = self.made.setdefault(lang, (Spec(charts[lang]), {}))
-            if word not in seen:
-                if len(seen) > 100_000:
-                    seen.clear()
-                found = []
-                for key, marks, other in spec.pattern.findall(nfd_str(word)):
-                    if key:
-                        base = spec.latin.get(key, key)
-                        found.append((unicodedata.normalize("NFC", base + marks), base, marks, True))
-                    elif not unicodedata.combining(other):
-                        found.append((other, other, "", False))
-                seen[word] = found
-            return seen[word]
+            self.made: dict[str, Units] = {}
 
         def eval(self, table: pa.RecordBatch, lang: pa.Array) -> Iterator[pa.Table]:
             code = lang[0].as_py()
             if code not in charts:
                 raise ValueError(f"no chart for {code!r}")
-            rows, cells = [], []
-            for i, x in enumerate(table.column(1).to_pylist()):
-                for tok, (w, is_word) in enumerate(tokenize_str(normalize_str(x)) if x is not None else ()):
-                    for pos, (unit, base, marks, known) in enumerate(self._words(code, w) if is_word else [(w, None, None, False)]):
-                        rows.append(i)
-                        cells.append((tok, pos, is_word, unit, base, marks, known))
-            columns = [pa.array([c[k] for c in cells], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_()))]
-            yield pa.Table.from_arrays([table.column(0).cast(pa.string()).take(pa.array(rows, pa.int64())), *columns], names=["key", *COLUMNS.split(" ")])
+            if code not in self.made:
+                self.made[code] = Units(Spec(charts[code]))
+            for part in slices(table, PART):
+                row, columns = self.made[code].rows(part.column(1))
+                yield pa.Table.from_arrays([part.column(0).cast(pa.string()).take(row), *columns], names=["key", *COLUMNS.split(" ")])
 
     return F.arrow_udtf(UnitRows, returnType=ROWS)

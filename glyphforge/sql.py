@@ -3,11 +3,11 @@ unit_rows (a table in Arrow batches) and segment_units (one text)."""
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import normalize_str, tokenize_str
+from .functions.text import normalize_str, plain_udf, tokenize_str, whole
 from .operators.convert import Converter
 from .operators.proxy import decode_str, encode_str
 from .operators.segment import Segmenter
@@ -37,32 +37,19 @@ def register(spark: SparkSession, catalog: Catalog | None = None) -> None:
     reader = Made(lambda lang, output: Segmenter(Spec(catalog.load(lang), output=output)))
     converter = Made(lambda source, target: Converter(source, target, catalog=catalog))
 
-    def rows(f, *series):
-        return pd.Series([None if any(x is None for x in r) else f(*r) for r in zip(*series, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def g2p(text: pa.Array, lang: pa.Array, output: pa.Array) -> pa.Array:
+        return whole(lambda t, c, o: reader(c, o).convert(t), "string", text, lang, output)
 
-    @F.pandas_udf("string")
-    def g2p(text: pd.Series, lang: pd.Series, output: pd.Series) -> pd.Series:
-        return rows(lambda t, c, o: reader(c, o).convert(t), text, lang, output)
+    @F.arrow_udf("array<string>")
+    def phonemes(text: pa.Array, lang: pa.Array) -> pa.Array:
+        return whole(lambda t, c: reader(c, "ipa").phonemes(t), "array<string>", text, lang)
 
-    @F.pandas_udf("array<string>")
-    def phonemes(text: pd.Series, lang: pd.Series) -> pd.Series:
-        return rows(lambda t, c: reader(c, "ipa").phonemes(t), text, lang)
+    @F.arrow_udf("string")
+    def convert_lang(text: pa.Array, source: pa.Array, target: pa.Array) -> pa.Array:
+        return whole(lambda t, a, b: converter(a, b).convert(t), "string", text, source, target)
 
-    @F.pandas_udf("string")
-    def convert_lang(text: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
-        return rows(lambda t, a, b: converter(a, b).convert(t), text, source, target)
-
-    @F.pandas_udf("string")
-    def to_proxy(text: pd.Series) -> pd.Series:
-        return rows(encode_str, text)
-
-    @F.pandas_udf("string")
-    def from_proxy(text: pd.Series) -> pd.Series:
-        return rows(decode_str, text)
-
-    @F.pandas_udf("string")
-    def normalize_text(text: pd.Series) -> pd.Series:
-        return rows(normalize_str, text)
+    to_proxy, from_proxy, normalize_text = plain_udf(encode_str), plain_udf(decode_str), plain_udf(normalize_str)
 
     for f, name in ((g2p, "g2p"), (phonemes, "phonemes"), (convert_lang, "convert_lang"), (to_proxy, "to_proxy"), (from_proxy, "from_proxy"), (normalize_text, "normalize_text")):
         spark.udf.register(name, f)

@@ -50,3 +50,20 @@ def test_table_function_equals_the_relation(spark):
 def test_sounds_are_no_written_units(spark):
     with pytest.raises(ValueError):
         unit_relation(spark.createDataFrame([("a",)], "t string"), "t", Spec(bundled().load("kus"), output="ipa"), [])
+
+
+def test_units_of_a_batch_come_out_in_parts(spark):
+    """What a worker makes at once is bounded, however many rows an Arrow batch has."""
+    import pyarrow as pa
+
+    from glyphforge.functions.text import over_slices, slices
+    from glyphforge.operators import units as un
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["Ng'ombe na " * 100] * 10_000)], names=["text"])
+    parts = list(slices(batch, un.PART))
+    assert sum(len(p) for p in parts) == 10_000 and max(p.nbytes for p in parts) <= 2 * un.PART
+    units = un.Units(Spec(bundled().load("swh")))
+    row, columns = units.rows(parts[0].column(0))
+    assert len(set(row.to_pylist())) == len(parts[0]) and all(len(c) == len(row) for c in columns)
+    made = list(over_slices(str.upper, "string", batch.column(0)))
+    assert len(made) > 1 and sum(map(len, made)) == 10_000
