@@ -15,18 +15,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import tables as t
-from ..functions.text import clean_str, nfc_str, nfd_str, normalize_str, tokenize_str
+from ..functions.text import REMEMBERED, Memo, clean_str, nfc_str, nfd_str, normalize_str, over_slices, per_row, rewrite_words, tokenize_str, word_pattern
 from ..plans.charts import REPLACEMENT, Spec
 from ..sources.charts import Catalog, bundled
 
-REMEMBERED = 100_000
-
-
 def fallback_sound(letter: str) -> str | None:
     """The usual sound of a letter that a chart leaves out."""
     return t.FALLBACK_SOUNDS.get(letter) or t.FALLBACK_SOUNDS.get(letter.lower())
@@ -38,7 +35,8 @@ class Segmenter:
     def __init__(self, spec: Spec) -> None:
         self.spec = spec
         self.seen: dict[str, list[str]] = {}
-        self._known = None
+        self.joined: dict[str, Memo] = {}
+        self.made = Memo(self._unit)
 
     def __reduce__(self):
         return Segmenter, (self.spec,)
@@ -53,13 +51,14 @@ class Segmenter:
         return found
 
     def _units(self, text: str) -> list[str]:
-        render = self._sound if self.spec.output == "ipa" else self._written
-        out = []
-        for key, marks, other in self.spec.pattern.findall(text):
-            unit = render(key, marks) if key else self._other(other)
-            if unit is not None:
-                out.append(unit)
-        return out
+        made = self.made
+        return [unit for m in self.spec.pattern.findall(text) if (unit := made[m]) is not None]
+
+    def _unit(self, found: tuple[str, str, str]) -> str | None:
+        key, marks, other = found
+        if not key:
+            return self._other(other)
+        return self._sound(key, marks) if self.spec.output == "ipa" else self._written(key, marks)
 
     def _written(self, key: str, marks: str) -> str:
         s = self.spec
@@ -90,7 +89,9 @@ class Segmenter:
         return {"drop": "", "mark": REPLACEMENT}.get(s.unknown, char)
 
     def convert(self, text: str, sep: str = "", lower: bool = True) -> str:
-        return "".join(sep.join(self.units(w)) if is_word else w for w, is_word in tokenize_str(normalize_str(text, lower)))
+        if sep not in self.joined:
+            self.joined[sep] = Memo(lambda w: sep.join(self._units(nfd_str(w))))
+        return rewrite_words(normalize_str(text, lower), self.joined[sep])
 
     def convert_word(self, word: str, sep: str = "", lower: bool = True) -> str:
         return sep.join(self.units(normalize_str(word, lower)))
@@ -180,18 +181,6 @@ class Pipeline:
 # ---------------------------------------------------------------- columns
 
 
-def _per_row(method, kind: str):
-    """An Arrow UDF over texts; nulls stay null."""
-
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        f = method()
-        for s in batches:
-            yield s.map(f, na_action="ignore")
-
-    return run
-
-
 def convert(text: Column, spec: Spec, sep: str = "") -> Column:
     """Words as units joined by `sep`, everything else as it is."""
 
@@ -199,7 +188,7 @@ def convert(text: Column, spec: Spec, sep: str = "") -> Column:
         s = Segmenter(spec)
         return lambda x: s.convert(x, sep)
 
-    return _per_row(method, "string")(text)
+    return per_row(method, "string")(text)
 
 
 def phonemes(text: Column, spec: Spec, punctuation: bool = True) -> Column:
@@ -207,26 +196,26 @@ def phonemes(text: Column, spec: Spec, punctuation: bool = True) -> Column:
         s = Segmenter(spec)
         return lambda x: s.phonemes(x, punctuation=punctuation)
 
-    return _per_row(method, "array<string>")(text)
+    return per_row(method, "array<string>")(text)
 
 
 def convert_by_language(text: Column, lang: Column, catalog: Catalog | None = None, sep: str = "", **options) -> Column:
     """Each row in the language its code names; null where there is no chart."""
     specs = {code: Spec(chart, **options) for code, chart in (catalog or bundled()).charts.items()}
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         made: dict[str, Segmenter] = {}
+
+        def one(x: str, code: str) -> str | None:
+            if code not in specs:
+                return None
+            if code not in made:
+                made[code] = Segmenter(specs[code])
+            return made[code].convert(x, sep)
+
         for texts, codes in batches:
-            out = []
-            for x, code in zip(texts, codes, strict=True):
-                if x is None or code not in specs:
-                    out.append(None)
-                    continue
-                if code not in made:
-                    made[code] = Segmenter(specs[code])
-                out.append(made[code].convert(x, sep))
-            yield pd.Series(out, dtype=object)
+            yield from over_slices(one, "string", texts, codes)
 
     return run(text, lang)
 
@@ -235,9 +224,9 @@ def words_nfd(text: Column) -> Column:
     """The words of the normalised text, decomposed one by one; one trip through Arrow."""
 
     def method():
-        return lambda x: [nfd_str(w) for w, is_word in tokenize_str(normalize_str(x)) if is_word]
+        return lambda x: [nfd_str(w) for w in word_pattern().findall(normalize_str(x))]
 
-    return _per_row(method, "array<string>")(text)
+    return per_row(method, "array<string>")(text)
 
 
 def units_native(word: Column, spec: Spec) -> Column:
@@ -276,7 +265,7 @@ def _counted(docs, text: str, lang: str):
 
         return run
 
-    rows = docs.select(F.col(lang).alias("lang"), _per_row(method, "array<string>")(F.col(text)).alias("words"))
+    rows = docs.select(F.col(lang).alias("lang"), per_row(method, "array<string>")(F.col(text)).alias("words"))
     return rows.select("lang", F.explode_outer("words").alias("word")).filter("word IS NOT NULL").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
