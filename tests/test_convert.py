@@ -150,3 +150,17 @@ def test_codeswitch(spark, tmp_path):
     from glyphforge.operators.segment import G2P
 
     assert G2P("dyu", output="ipa", codeswitch={"supermarket": "S"}).convert("nyini supermarket") == "ɲini S"
+
+
+def test_collisions_are_sought_in_distinct_words(spark, tmp_path, monkeypatch):
+    from glyphforge import queries
+
+    texts = ["réel reel réel, idéee", "aà bo", "...", None, "oôo noon réel"]
+    spark.createDataFrame([(i, x, "fr", "s") for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked, plain = [], queries.cv.vary_vowels_window
+    monkeypatch.setattr(queries.cv, "vary_vowels_window", lambda units, shifted: asked.append(units) or plain(units, shifted))
+    got = {r.doc_id: (r.n, r.vowels) for r in queries.collision_rewrite(spark, str(tmp_path)).collect()}
+    near = t.SHIFTED_VOWEL_SHARED
+    assert got[0] == (4, near["e"] * 4) and got[1] == (1, near["a"]) and set(got) == {0, 1, 4}
+    assert sorted(r.word for r in asked[0].select("word").distinct().collect()) == ["aà", "idéee", "oôo", "réel"]
+    assert asked[0].count() == 2 + 5 + 3 + 4
