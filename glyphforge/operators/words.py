@@ -5,18 +5,23 @@ composes with, no word holds, and no case rule looks through (so not the apostro
 full stops and colons only where a separator or the end follows).  What is done to a text is
 then what is done to its cores one by one; separators stay as they are.
 
-Occurrences meet their dictionary in two ways.  The HOT most frequent entries, of bounded
-length, are broadcast.  Of what is left none has more than 1 / HOT of all occurrences, since
-HOT others have as many, so the rest joins by a plain shuffle without a hot key.
+Texts meet their dictionary in two ways.  The HOT most frequent entries, of bounded length,
+are broadcast.  Of what is left none has more than 1 / HOT of all occurrences, since HOT
+others have as many, so the rest joins by a plain shuffle without a hot key: each text asks
+for its distinct other words once (`asked`), and gets them as a dictionary of its own.  Texts
+stay whole; no row is made for an occurrence that is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import over_slices, per_row
 from ..session import settle
 
 _SEPARATOR = r"\x09-\x0D\x20!\"#$%&()*+,\-/;?@\[\\\]{|}~"
@@ -79,6 +84,50 @@ def dictionary(occurrences: DataFrame, key: str, values: dict[str, Callable[[Col
     return settle(counted.select(key, "times_", *[f(F.col(key)).alias(name) for name, f in values.items()]))
 
 
+def no_entries() -> Column:
+    return F.create_map().cast("map<string,string>")
+
+
+def known(entries: DataFrame, key: str, value: str, hot: int = HOT) -> tuple[Broadcast, bool]:
+    """Entries (key, times_, value) as a dictionary that workers share: all of them, or the most frequent; and whether it holds all."""
+    size = F.length(key) + F.coalesce(F.length(value), F.lit(0))
+    n, total = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    whole = n <= hot and total <= HOT * HOT_CHARS
+    often = entries if whole else entries.filter(size <= HOT_CHARS).orderBy(F.col("times_").desc(), key).limit(hot)
+    return entries.sparkSession.sparkContext.broadcast(dict(map(tuple, often.select(key, value).collect()))), whole
+
+
+def asked(rows: DataFrame, text: str, keys: Callable[[], Callable[[str], Iterable[str]]], key: str, often: Broadcast | None = None) -> DataFrame:
+    """row_ and key: what the function that `keys` makes finds in a text, each once, unless `often` holds it."""
+
+    def method():
+        find, held = keys(), often.value if often else ()
+        return lambda x: [k for k in dict.fromkeys(find(x)) if k not in held]
+
+    return rows.select("row_", F.explode(per_row(method, "array<string>")(F.col(text))).alias(key))
+
+
+def own(rows: DataFrame, wanted: DataFrame, entries: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """rows with `name`: a map of the entries that each row_ asked for."""
+    found = wanted.join(entries.select(key, value), key).groupBy("row_").agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
+    return rows.join(found, "row_", "left").withColumn(name, F.coalesce(name, no_entries()))
+
+
+def by_dictionaries(make: Callable[..., Callable], *often: Broadcast):
+    """An Arrow UDF of a text and, for each of `often`, a map of the row's own further entries.
+
+    `make` gets the shared dictionaries once a worker and gives a function of a text and its own ones.
+    """
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        f = make(*[b.value for b in often])
+        for batch in batches:
+            yield from over_slices(lambda x, *more: f(x, *map(dict, more)), "string", *batch)
+
+    return run
+
+
 def _occurrences(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     rows = numbered(docs.select(*keep, F.col(text).alias("text_")), "row_")
     rows = rows.select("row_", *keep, F.col("text_").isNull().alias("none_"), F.posexplode_outer(pairs(F.col("text_"))).alias("pos_", "pair_"))
