@@ -14,6 +14,7 @@ stay whole; no row is made for an occurrence that is shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -128,10 +129,14 @@ def by_dictionaries(make: Callable[..., Callable], *often: Broadcast):
     return run
 
 
-def _occurrences(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    rows = numbered(docs.select(*keep, F.col(text).alias("text_")), "row_")
-    rows = rows.select("row_", *keep, F.col("text_").isNull().alias("none_"), F.posexplode_outer(pairs(F.col("text_"))).alias("pos_", "pair_"))
-    return rows.withColumn("core_", core(F.col("pair_")))
+_CORES = re.compile(_CORE.replace("\\z", "\\Z"))
+
+
+def _replacer(shared: dict[str, str | None]) -> Callable[[str, dict], str]:
+    def run(x: str, more: dict[str, str | None]) -> str:
+        return _CORES.sub(lambda m: (shared[w] if (w := m.group()) in shared else more[w]) or "", x)
+
+    return run
 
 
 def through_words(docs: DataFrame, text: str, convert: Callable[[Column], Column], keep: list[str], out: str = "converted", hot: int = HOT) -> DataFrame:
@@ -140,12 +145,19 @@ def through_words(docs: DataFrame, text: str, convert: Callable[[Column], Column
     Rows are told apart by their number (see `numbered`).  A null text stays null, an empty one
     empty.
     """
-    parts = _occurrences(docs, text, keep)
-    joined = met(parts, dictionary(parts, "core_", {"out_": convert}), "core_", hot)
-    after = F.expr("substr(pair_, 1 + coalesce(length(core_), 0))")
-    piece = F.struct("pos_", F.concat(F.coalesce("out_", F.lit("")), after).alias("s"))
-    whole = joined.groupBy("row_", "none_", *keep).agg(F.array_sort(F.collect_list(piece)).alias("pieces_"))
-    return whole.select(*keep, F.when(~F.col("none_"), F.array_join("pieces_.s", "")).alias(out))
+    rows = numbered(docs.select(*keep, F.col(text).alias("text_")), "row_").withColumn("own_", no_entries())
+    cores = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_CORE), F.lit(0))).alias("core_"))
+    entries = dictionary(cores, "core_", {"out_": convert})
+    often, whole = known(entries, "core_", "out_", hot)
+    if not whole:
+        rows = own(rows.drop("own_"), asked(rows, "text_", lambda: _CORES.findall, "core_", often), entries, "core_", "out_", "own_")
+    return rows.select(*keep, by_dictionaries(_replacer, often)(F.col("text_"), F.col("own_")).alias(out))
+
+
+def _occurrences(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    rows = numbered(docs.select(*keep, F.col(text).alias("text_")), "row_")
+    rows = rows.select("row_", *keep, F.col("text_").isNull().alias("none_"), F.posexplode_outer(pairs(F.col("text_"))).alias("pos_", "pair_"))
+    return rows.withColumn("core_", core(F.col("pair_")))
 
 
 def word_sums(docs: DataFrame, text: str, measures: dict[str, Callable[[Column], Column]], keep: list[str], hot: int = HOT) -> DataFrame:

@@ -60,6 +60,18 @@ def test_texts_through_their_words(spark):
             assert sorted(map(str, wd.through_words(df, "text", f, ["id"], hot=hot).collect())) == want
 
 
+def test_texts_stay_whole(spark):
+    """Words with a dictionary that all workers share move no text; others come back once a text."""
+    df = spark.createDataFrame([(1, "aa b, aa. " * 300 + "c"), (2, None)], "id int, text string")
+    want = {1: "AA B, AA. " * 300 + "C", 2: None}
+    got = wd.through_words(df, "text", F.upper, ["id"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert dict(map(tuple, got.collect())) == want
+    rare = wd.through_words(df, "text", F.upper, ["id"], hot=1)
+    assert "posexplode" not in rare._jdf.queryExecution().optimizedPlan().toString()
+    assert dict(map(tuple, rare.collect())) == want
+
+
 def test_sums_over_words(spark):
     df = spark.createDataFrame([(1, "aa b, aa"), (2, None), (3, ""), (1, "b")], "id int, text string")
     got = wd.word_sums(df, "text", {"n": F.length, "a": lambda c: F.length(F.regexp_replace(c, "[^a]", ""))}, ["id"]).collect()
