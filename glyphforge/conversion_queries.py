@@ -157,8 +157,8 @@ _RESPELLED = " UNION ALL ".join(f"SELECT {q(x)} AS target, w, spelled FROM ({let
 def respelled_words(spark, sf_dir):
     """Every distinct word in the spelling of twenty languages at once."""
     seen = docs(spark, sf_dir).select(F.explode(words(normalize_text(F.col("text")))).alias("word")).distinct()
-    spelt = rs.respell(seen, "dyu", list(TARGETS))
-    return spelt.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("target", "spelled"))).alias("l")).select("word", F.sha2(F.array_join("l.spelled", ","), 256).alias("h"), F.size("l").cast("long").alias("n"))
+    spelt = rs.respellings(seen, "dyu", list(TARGETS))
+    return spelt.select("word", F.sha2(F.array_join("spelled.spelled", ","), 256).alias("h"), F.size("spelled").cast("long").alias("n"))
 
 
 @query(

@@ -1,11 +1,14 @@
 """Conversion as relations: words to sounds, sounds to letters of many languages at once, letters to words.
 
-Everything behind the decomposition of distinct words is built from JVM expressions, joins
-and windows.  The string functions of `segment` and `convert` compute the same.
+Sounds are cut by JVM expressions and resolved by joins, once for each distinct sound; a word stays
+one row, in which its letters are put together for all targets.  The string functions of `segment` and `convert` compute the same.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +18,10 @@ from ..plans.charts import REPLACEMENT, UNIVERSAL, Spec
 from ..session import settle
 from ..sources.charts import Catalog, bundled
 from .analytics import reverse_table
-from .convert import vary_vowels_window
+from .convert import vary_vowels
+from .words import asked, by_dictionaries, known, no_entries, numbered, own
 
-#: Resolved sounds that are broadcast at most; more join by a shuffle.
+#: Spellings of sounds, over all targets, that are broadcast at most; more join by a shuffle.
 BROADCAST_SOUNDS = 100_000
 
 
@@ -104,31 +108,52 @@ def resolved(heard: DataFrame, targets: list[str], catalog: Catalog | None = Non
     return asked.join(best, ["target", "sound"], "left").select("target", "sound", F.coalesce("letters", "sound").alias("letters"), "place")
 
 
-def respell(words: DataFrame, source: str, targets: list[str], catalog: Catalog | None = None, word: str = "word") -> DataFrame:
+def _speller(targets: list[str]) -> Callable[[dict[str, str]], Callable[[list[str], dict[str, str]], list[str]]]:
+    """For `by_dictionaries`: sounds of a word in the spelling of every target."""
+    shifted = [t.SHIFTED_VOWEL_SHARED if x == UNIVERSAL else t.SHIFTED_VOWEL for x in targets]
+
+    def make(shared: dict[str, str]):
+        table = {sound: json.loads(row) for sound, row in shared.items()}
+
+        def run(heard: list[str], more: dict[str, str]) -> list[str]:
+            rows = [table[s] if s in table else json.loads(more[s]) for s in heard]
+            return ["".join(vary_vowels([(r[k]["letters"], s, r[k]["converted"]) for s, r in zip(heard, rows, strict=True)], shifted[k])) for k in range(len(targets))]
+
+        return run
+
+    return make
+
+
+def respellings(words: DataFrame, source: str, targets: list[str], catalog: Catalog | None = None, word: str = "word", most: int = BROADCAST_SOUNDS) -> DataFrame:
+    """word, spelled: array of target and spelled, by target, of each distinct normalised word of a language.
+
+    A word stays one row, whatever the number of its sounds and of targets.  Distinct sounds
+    are resolved for all targets by joins; at most `most` letters of them, the most frequent,
+    are shared by all workers, and words with other sounds get those from a join.
+    """
+    catalog, targets = catalog or bundled(), sorted(set(targets))
+    spec = Spec(catalog.load(source), output="ipa")
+    cut = words.select(word, sounds(nfd(F.col(word)), spec).alias("s"))
+    # a word without sounds has one empty sound, as conversion counts it
+    cut = numbered(settle(cut.select(word, F.when(F.size("s") > 0, F.col("s")).otherwise(F.array(F.lit(""))).alias("s"))), "row_").withColumn("own_", no_entries())
+    times = settle(cut.select(F.explode("s").alias("sound")).groupBy("sound").agg(F.count(F.lit(1)).alias("times_")))
+    own_table = reverse_table(words.sparkSession, catalog).filter(F.col("lang") == source).select(F.col("ipa").alias("sound"), F.col("grapheme").alias("own"))
+    table = resolved(times, targets, catalog).join(own_table, "sound", "left").withColumn("converted", F.col("place").isNotNull() & ~F.col("own").eqNullSafe(F.col("letters")))
+    table = table.groupBy("sound").agg(F.to_json(F.array_sort(F.collect_list(F.struct("target", "letters", "converted")))).alias("letters"))
+    entries = settle(table.join(times, "sound"))
+    often, whole = known(entries, "sound", "letters", max(1, most // len(targets)), 64 * (len(targets) + 1))
+    rows = cut
+    if not whole:
+        rows = own(cut.drop("own_"), asked(cut, "s", lambda: list, "sound", often), entries, "sound", "letters", "own_")
+    spelled = by_dictionaries(_speller(targets), often, kind="array<string>")(F.col("s"), F.col("own_"))
+    names = F.array(*[F.lit(x) for x in targets])
+    return rows.select(word, spelled.alias("l")).select(word, F.zip_with(names, F.col("l"), lambda a, b: F.struct(a.alias("target"), b.alias("spelled"))).alias("spelled"))
+
+
+def respell(words: DataFrame, source: str, targets: list[str], catalog: Catalog | None = None, word: str = "word", most: int = BROADCAST_SOUNDS) -> DataFrame:
     """target, word, spelled: each distinct normalised word of a language in the spelling of every target.
 
     Equals `Converter(source, target).convert_word` before the shared spelling's last
     clean-up, for words of Latin letters and a source that is not passed through.
     """
-    catalog = catalog or bundled()
-    units = settle(word_sounds(words, Spec(catalog.load(source), output="ipa"), word))
-    table = settle(resolved(units, targets, catalog))
-    own = reverse_table(words.sparkSession, catalog).filter(F.col("lang") == source).select(F.col("ipa").alias("sound"), F.col("grapheme").alias("own"))
-    table = table.join(own, "sound", "left").withColumn("converted", F.col("place").isNotNull() & ~F.col("own").eqNullSafe(F.col("letters")))
-    table = table.select("sound", "target", "letters", "converted")
-    rows = units.join(F.broadcast(table) if table.count() <= BROADCAST_SOUNDS else table, "sound")
-    vowels = f"^([{t.VOWELS}])\\1+$"
-    out = []
-    for shared in (False, True):
-        shifted = t.SHIFTED_VOWEL_SHARED if shared else t.SHIFTED_VOWEL
-        near = lambda v, shifted=shifted: F.coalesce(F.element_at(_lookup(shifted), v), F.when(v.isin("o", "ɔ"), F.lit("u")).otherwise(F.lit("i")))
-        mine = [x for x in targets if (x == UNIVERSAL) == shared]
-        if not mine:
-            continue
-        first = F.substring("letters", 1, 1)
-        some = rows.filter(F.col("target").isin(*mine)).withColumn("letters", F.when(F.col("converted") & F.col("letters").rlike(vowels), F.concat(near(first), first)).otherwise(F.col("letters")))
-        some = some.select(F.struct("target", F.col(word).alias("word")).alias("word"), "pos", "letters", "sound")
-        out.append(vary_vowels_window(some, shifted))
-    varied = out[0] if len(out) == 1 else out[0].unionByName(out[1])
-    whole = varied.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pos", "out"))).alias("l"))
-    return whole.select("word.target", F.col("word.word").alias(word), F.array_join("l.out", "").alias("spelled"))
+    return respellings(words, source, targets, catalog, word, most).select(word, F.explode("spelled").alias("x")).select("x.target", word, "x.spelled")

@@ -89,12 +89,12 @@ def no_entries() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
-def known(entries: DataFrame, key: str, value: str, hot: int = HOT) -> tuple[Broadcast, bool]:
+def known(entries: DataFrame, key: str, value: str, hot: int = HOT, longest: int = HOT_CHARS) -> tuple[Broadcast, bool]:
     """Entries (key, times_, value) as a dictionary that workers share: all of them, or the most frequent; and whether it holds all."""
     size = F.length(key) + F.coalesce(F.length(value), F.lit(0))
     n, total = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    whole = n <= hot and total <= HOT * HOT_CHARS
-    often = entries if whole else entries.filter(size <= HOT_CHARS).orderBy(F.col("times_").desc(), key).limit(hot)
+    whole = n <= hot and total <= hot * longest
+    often = entries if whole else entries.filter(size <= longest).orderBy(F.col("times_").desc(), key).limit(hot)
     return entries.sparkSession.sparkContext.broadcast(dict(map(tuple, often.select(key, value).collect()))), whole
 
 
@@ -114,17 +114,17 @@ def own(rows: DataFrame, wanted: DataFrame, entries: DataFrame, key: str, value:
     return rows.join(found, "row_", "left").withColumn(name, F.coalesce(name, no_entries()))
 
 
-def by_dictionaries(make: Callable[..., Callable], *often: Broadcast):
-    """An Arrow UDF of a text and, for each of `often`, a map of the row's own further entries.
+def by_dictionaries(make: Callable[..., Callable], *often: Broadcast, kind: str = "string"):
+    """An Arrow UDF of a text (or an array) and, for each of `often`, a map of the row's own further entries.
 
     `make` gets the shared dictionaries once a worker and gives a function of a text and its own ones.
     """
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(kind)
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         f = make(*[b.value for b in often])
         for batch in batches:
-            yield from over_slices(lambda x, *more: f(x, *map(dict, more)), "string", *batch)
+            yield from over_slices(lambda x, *more: f(x, *map(dict, more)), kind, *batch)
 
     return run
 

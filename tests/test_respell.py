@@ -51,6 +51,18 @@ def test_all_targets_at_once_equal_the_converters(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("most", [rs.BROADCAST_SOUNDS, 1])
+def test_a_word_stays_one_row(spark, most):
+    """Whatever the number of targets, a word's sounds are spelled in its row; sounds that are not shared come from a join."""
+    targets = ["kus", "swh", UNIVERSAL]
+    words = sorted({tx.normalize_str(w) for w in WORDS})
+    got = rs.respellings(spark.createDataFrame([(w,) for w in words], "word string"), "dyu", targets, most=most)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Generate") == (0 if most > 1 else 1)
+    found = {r["word"]: [tuple(x) for x in r["spelled"]] for r in got.collect()}
+    assert found == {w: [(x, cv.Converter("dyu", x)._word(w, "")) for x in sorted(targets)] for w in words}
+
+
 def test_texts_through_their_words(spark):
     texts = ["Kɔnɔ, dodoɔ; kɔnɔ.", "", None, "  ", "a. b.c: d's 'e f'g ...h", "ΣΑΣ, ΑΣ. ΑΣ.Α ΑΣ:Α", "x́,́y ≠ ≮ a", "é éé", "tab\tnew\nline\r\n", "«q»   [z]\\{|}~"] * 3
     df = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts)], "id int, text string")
