@@ -237,3 +237,22 @@ def test_picks_count_every_document_of_a_text(spark):
     rows = spark.createDataFrame([("a", "z", 1.0, 2), ("a", "y", 1.0, 1), ("b", "z", 1.0, 1), ("b", "y", 0.95, 3), ("b", "x", 0.9, 1), ("b", "w", 0.5, 1)], "lang string, text string, coverage double, times int")
     assert sorted((r.lang, r.text) for r in an.sample_picks(rows, "lang", "text", times="times").collect()) == [("a", "z"), ("b", "y"), ("b", "z")]
     assert sorted((r.lang, r.text) for r in an.sample_picks(rows, "lang", "text").collect()) == [("a", "y"), ("a", "z"), ("b", "y"), ("b", "z")]
+
+
+def test_words_of_keys_are_not_cut(monkeypatch):
+    """Letters missed are those that the segmenter marks, and words of keys alone are seen without it."""
+    from glyphforge.functions.text import nfd_str, normalize_str
+    from glyphforge.operators.segment import Segmenter
+    from glyphforge.plans.charts import REPLACEMENT
+
+    words = ["ng'ombe", "ngano", "chxa", "cafe", "éà", "xyz", "kɔnɔ", "", "x", "q\u0301", "ß", "a'b", "ŋ̀ŋ́wa", "ɡa", "Ａb"]
+    for chart in ({"graphemes": {"ab": "1", "abc": "2", "cd": "3"}}, {"graphemes": {"a": "x", "�": "y", "b": "�"}}, {"graphemes": {}}, ch.bundled().load("swh"), ch.bundled().load("kea"), ch.bundled().load("bez")):
+        for output in ("grapheme", "ipa"):
+            spec = Spec(chart, output, "mark")
+            count, s = an._unread(spec), Segmenter(spec)
+            for w in map(normalize_str, [*words, "abcd", "abcabcd", "abab", "ba"]):
+                assert count(w) == s.convert_word(w, lower=False).count(REPLACEMENT), (w, output)
+    cut = []
+    monkeypatch.setattr(Segmenter, "_units", lambda self, text: cut.append(text) or [])
+    count = an._unread(Spec(ch.bundled().load("swh"), "grapheme", "mark"))
+    assert [count(w) for w in ("ngano", "shamba", "chakula")] == [0, 0, 0] and not cut
