@@ -34,3 +34,17 @@ def test_nothing_is_attested_by_no_texts(spark):
     none = spark.createDataFrame([], "text string")
     assert attested_rules(none, F.col("text"), rules).count() == 0
     assert key_counts(none, F.col("text"), spark.createDataFrame([], "key string")).count() == 0
+
+
+def test_texts_go_back_in_slices(spark, monkeypatch):
+    """Running text is normalised by a UDF that returns slices, so that no worker holds a batch and its copy."""
+    from glyphforge.functions import text as tx
+
+    asked, plain = [], tx.per_row
+    monkeypatch.setattr(tx, "per_row", lambda make, kind: asked.append(kind) or plain(make, kind))
+    df = spark.createDataFrame([("Kɔ́kɔ " * 400_000,), (None,), ("",), ("K\u0301a",)] * 3, "text string").coalesce(1)
+    keys = spark.createDataFrame([("kɔ",), ("ḱa",)], "key string")
+    assert dict(map(tuple, key_counts(df, F.col("text"), keys).collect())) == {"kɔ": 2_400_000, "ḱa": 3}
+    assert asked == ["string"]
+    rows = df.select(tx.normalize_text(F.col("text")).alias("a"), tx.normalized(F.col("text")).alias("b"))
+    assert rows.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
